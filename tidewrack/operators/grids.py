@@ -456,8 +456,7 @@ def mark_selected_tiles(tiles: DataFrame, cells: DataFrame, image: str, cell_px:
 
 def expand_index_list(df: DataFrame, col: str, out: str = "index") -> DataFrame:
     """Rows of a list such as ``1,3-5``; parts that are no number or range are skipped."""
-    part = F.explode(F.split(F.col(col), ","))
-    df = df.withColumn("_p", F.trim(part))
+    df = df.withColumn("_p", F.explode(F.transform(F.split(F.col(col), ","), lambda p: F.trim(p))))
     ok = df.filter(F.col("_p").rlike(r"^\d+(\s*-\s*\d+)?$"))
     a = F.regexp_extract("_p", r"^(\d+)", 1).cast("long")
     b = F.regexp_extract("_p", r"(\d+)$", 1).cast("long")
