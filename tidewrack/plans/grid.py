@@ -305,14 +305,14 @@ def _by_corner(t: Tables, blobs: DataFrame) -> DataFrame:
 
 @query("G13_manual_scores", """
 WITH box AS (SELECT DISTINCT CAST(floor(image_id / CAST(200 AS DOUBLE)) AS BIGINT) AS frame_id, manual_id * 1000000 + image_id AS manual_id, y0, x0, y1, x1 FROM v_manual)
-SELECT b.frame_id, b.manual_id, round(MAX(m.score), 11) AS peak_intensity, round(AVG(m.score), 11) AS region_mean_intensity
+SELECT b.frame_id, b.manual_id, round(MAX(m.score) + 1e-10, 6) AS peak_intensity, round(AVG(m.score) + 1e-10, 6) AS region_mean_intensity
 FROM box b JOIN v_map m ON m.frame_id = b.frame_id AND m.r >= floor(b.y0 / 8.5::DOUBLE) AND m.r < floor(b.y1 / 8.5::DOUBLE)
  AND m.c >= floor(b.x0 / 8.5::DOUBLE) AND m.c < floor(b.x1 / 8.5::DOUBLE) GROUP BY b.frame_id, b.manual_id""")
 def manual_scores(t: Tables) -> DataFrame:
     boxes = t.v_manual.select(F.floor(F.col("image_id") / 200).alias("frame_id"), (F.col("manual_id") * 1000000 + F.col("image_id")).alias("manual_id"),
                               "y0", "x0", "y1", "x1").distinct()
     out = G.manual_scores(boxes, G.patch_map(t.v_tile_score, fill=False, **MAP), 8.5)
-    return out.withColumns({c: F.round(c, 11) for c in ("peak_intensity", "region_mean_intensity")})
+    return out.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in ("peak_intensity", "region_mean_intensity")})
 
 
 @query("G14_image_mask_summary", f"""WITH {PIXELS}, {QUADS},

@@ -88,7 +88,7 @@ SELECT o_orderkey AS stem, CASE o_orderstatus WHEN 'O' THEN 'incoming' WHEN 'P'
 FROM orders""",
     # config snapshots (key, value) over turns
     "v_config": """
-SELECT conv_id AS station, turn AS snapshot_no, role AS k, CAST(length(text) % 5 AS STRING) AS v FROM conversations""",
+SELECT conv_id AS station, CAST(floor(turn / CAST(2 AS DOUBLE)) AS BIGINT) AS snapshot_no, role AS k, CAST(length(text) % 5 AS STRING) AS v FROM conversations""",
     # sensor lines, some with a missing key, a bad number or a repeated key
     "v_line": """
 SELECT event_id,
