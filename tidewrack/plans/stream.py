@@ -1 +1,188 @@
+"""Streaming queries and file round trips over the given tables, written to the shared folder first."""
 
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewrack.operators.slices import us
+from tidewrack.plans.grid import CUT, MAP, UP, CAND, NMS_SQL
+from tidewrack.plans.pixel import frames
+from tidewrack.plans.registry import _SQL, query, with_views
+from tidewrack.plans.standins import Tables
+from tidewrack.session import scratch_root
+from tidewrack.sources import files as S
+from tidewrack.streaming import jobs as B
+
+HOUR = 3600
+
+
+def _dir(t: Tables, name: str) -> str:
+    return f"{scratch_root(t.spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def _stream(t: Tables, df: DataFrame) -> DataFrame:
+    """A table replayed as a folder stream."""
+    path = _dir(t, "source")
+    df.write.parquet(path)
+    return S.stream_files(t.spark, path, df.schema)
+
+
+def _run(t: Tables, stream: DataFrame) -> DataFrame:
+    path = _dir(t, "sink")
+    B.to_table(stream, path, _dir(t, "state")).awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(path)
+
+
+def _r(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+CLOSED = "epoch_us(time_bucket(INTERVAL '6 hours', ts)) + 21600000000 <= (SELECT MAX(epoch_us(ts)) - 600000000 FROM v_telemetry)"
+
+
+@query("R1_stream_device_rollup", f"""
+SELECT device_id, epoch_us(MIN(ts)) AS start_us, epoch_us(MAX(ts)) AS end_us, COUNT(*) AS sample_count, round(AVG(temp_c), 6) AS temp_c_mean, MAX(temp_c) AS temp_c_peak, MIN(depth_m) AS depth_m_min, bool_or(leak) AS leak_any,
+  arg_max(sample_id, (ts, sample_id)) AS sample_id FROM v_telemetry WHERE {CLOSED} GROUP BY device_id, time_bucket(INTERVAL '6 hours', ts)""")
+def stream_device_rollup(t: Tables) -> DataFrame:
+    out = B.stream_device_rollup(_stream(t, t.v_telemetry), ["device_id"], "10 minutes", width="6 hours", mean=["temp_c"], peak=["temp_c"], low=["depth_m"], any_of=["leak"], last=["sample_id"], tie="sample_id")
+    out = _run(t, out).withColumns({"start_us": us("window_start"), "end_us": us("window_end")}).drop("window_start", "window_end")
+    return _r(out, "temp_c_mean")
+
+
+@query("R1_stream_environment_rollup", f"""
+SELECT device_id, epoch_us(MIN(ts)) AS start_us, COUNT(*) AS sample_count, round(AVG(depth_m), 6) AS depth_m_mean, MIN(depth_m) AS depth_m_min, MAX(depth_m) AS depth_m_max
+FROM v_telemetry WHERE {CLOSED} GROUP BY device_id, time_bucket(INTERVAL '6 hours', ts)""")
+def stream_environment_rollup(t: Tables) -> DataFrame:
+    out = _run(t, B.stream_environment_rollup(_stream(t, t.v_telemetry), ["device_id"], "10 minutes", width="6 hours"))
+    return _r(out.withColumn("start_us", us("window_start")).select("device_id", "start_us", "sample_count", "depth_m_mean", "depth_m_min", "depth_m_max"), "depth_m_mean")
+
+
+_SQL["R2_stream_leak_alerts"] = _SQL.get("W4_alert_cooldown", "")
+
+
+@query("R2_stream_leak_alerts")
+def stream_leak_alerts(t: Tables) -> DataFrame:
+    return _run(t, B.stream_leak_alerts(_stream(t, t.v_telemetry), ["device_id"], "sample_id", 2, 6 * HOUR, 12 * HOUR))
+
+
+_SQL["R3_stream_stage_alerts"] = _SQL.get("W5_stage_alerts", "")
+
+
+@query("R3_stream_stage_alerts")
+def stream_stage_alerts(t: Tables) -> DataFrame:
+    return _run(t, B.stream_stage_alerts(_stream(t, t.v_heartbeat), ["stage"], "event_id"))
+
+
+_SQL["R4_stream_background"] = _SQL["F1_ema_background"].replace("round(bg, 6) AS bg, ", "")
+
+
+@query("R4_stream_background")
+def stream_background(t: Tables) -> DataFrame:
+    out = _run(t, B.stream_background(_stream(t, frames(t)), ["site"], "frame_id", 0.25, 100.0))
+    return out.select("site", "frame_id", F.posexplode("corrected").alias("i", "corrected"))
+
+
+@query("R5_stream_rolling_24h", """
+WITH h AS (SELECT DISTINCT station, unnest(range(floor(epoch(ts) / 3600)::BIGINT + 1, floor(epoch(ts) / 3600)::BIGINT + 25)) AS e FROM v_crop_event)
+SELECT h.station, h.e * 3600 AS end_s, COUNT(*) AS crops FROM h JOIN v_crop_event c ON c.station = h.station AND epoch(c.ts) >= (h.e - 24) * 3600 AND epoch(c.ts) < h.e * 3600
+WHERE h.e * 3600000000 <= (SELECT MAX(epoch_us(ts)) - 600000000 FROM v_crop_event) GROUP BY 1, 2""")
+def stream_rolling_24h(t: Tables) -> DataFrame:
+    out = _run(t, B.stream_rolling(_stream(t, t.v_crop_event), ["station"], "10 minutes"))
+    return out.select("station", F.unix_timestamp("window_end").alias("end_s"), "crops")
+
+
+@query("R5_stream_daily", """
+SELECT strftime(ts, '%Y-%m-%d') AS date, COUNT(*) AS crops, COUNT(*) FILTER (WHERE class_label = 'purchase') AS of_class FROM v_crop_event
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL '10 minutes' FROM v_crop_event) GROUP BY 1""")
+def stream_daily(t: Tables) -> DataFrame:
+    return _run(t, B.stream_daily(_stream(t, t.v_crop_event), "purchase", "10 minutes")).withColumn("date", F.col("date").cast("string"))
+
+
+@query("R6_stream_dedup_crops", "SELECT crop_id, station FROM v_crop_event")
+def stream_dedup_crops(t: Tables) -> DataFrame:
+    twice = t.v_crop_event.unionByName(t.v_crop_event)
+    return _run(t, B.stream_dedup(_stream(t, twice), ["crop_id"], "10 minutes").select("crop_id", "station"))
+
+
+@query("R7_stream_catalogue", "SELECT f.doc_id, f.source, s.quality, CASE WHEN s.doc_id IS NULL THEN TRUE END AS metadata_missing FROM v_file f LEFT JOIN v_sidecar s ON s.doc_id = f.doc_id")
+def stream_catalogue(t: Tables) -> DataFrame:
+    path = _dir(t, "catalogue")
+    items = t.v_file.unionByName(t.v_file)
+    B.stream_catalogue(_stream(t, items), t.v_sidecar, path, _dir(t, "state"), ["doc_id"]).awaitTermination()
+    return t.spark.read.parquet(path).select("doc_id", "source", "quality", "metadata_missing")
+
+
+_SQL["R8_stream_detect"] = with_views(CAND + NMS_SQL.format(iou=0.3, cap=5) + """ SELECT frame_id, crop_y0, crop_x0, crop_y1, crop_x1, round(peak_val, 6) AS peak_val FROM kept""")
+
+
+@query("R8_stream_detect")
+def stream_detect(t: Tables) -> DataFrame:
+    path = _dir(t, "crops")
+    source = _stream(t, t.v_tile_score.coalesce(1))
+    B.stream_detect(source, path, _dir(t, "state"), **MAP, **CUT, upscale=UP).awaitTermination()
+    return t.spark.read.parquet(path).select("frame_id", "crop_y0", "crop_x0", "crop_y1", "crop_x1", F.round("peak_val", 6).alias("peak_val"))
+
+
+# ---- sources and sinks ------------------------------------------------------------------------------------------
+
+
+@query("S1_read_file_index", "SELECT source, folder, 1 AS found FROM v_file GROUP BY ALL")
+def read_file_index(t: Tables) -> DataFrame:
+    path = _dir(t, "index")
+    # one Parquet file per folder: the listing must find every folder once, and skip the markers
+    t.v_file.repartition("source", "folder").write.partitionBy("source", "folder").parquet(path)
+    files = S.read_file_index(t.spark, path, ["PARQUET"])
+    part = lambda n: F.regexp_extract("path", rf"{n}=([^/]+)/", 1)
+    return files.groupBy(part("source").alias("source"), part("folder").alias("folder")).agg(F.count(F.lit(1)).cast("int").alias("found"))
+
+
+@query("S2_read_sidecars", """
+SELECT crop_id, class_label, class_confidence, region_size_mm2, 'ok' AS state FROM v_crop_event WHERE crop_id % 20 <> 0 UNION ALL SELECT NULL, NULL, NULL, NULL, 'unreadable' FROM v_crop_event WHERE crop_id % 20 = 0""")
+def read_sidecars(t: Tables) -> DataFrame:
+    path = _dir(t, "sidecars")
+    doc = F.to_json(F.struct("crop_id", "class_label", "class_confidence", "region_size_mm2"))
+    torn = F.when(F.col("crop_id") % 20 == 0, F.expr("substring(doc, 1, length(doc) - 4)")).otherwise(F.col("doc"))
+    t.v_crop_event.select(doc.alias("doc"), "crop_id").select(torn.alias("value")).write.text(path)
+    good, bad = S.read_sidecars(t.spark, path, multi_line=False)
+    rows = good.select(F.col("crop_id").cast("long").alias("crop_id"), "class_label", "class_confidence", "region_size_mm2", F.lit("ok").alias("state"))
+    return rows.unionByName(bad.select(F.lit("unreadable").alias("state")), allowMissingColumns=True)
+
+
+@query("S3_read_labelme", """
+SELECT image_id, COUNT(*) AS shapes, CAST(SUM(x0) AS BIGINT) AS x_sum, CAST(SUM(y1) AS BIGINT) AS y_sum FROM v_manual GROUP BY image_id""")
+def read_labelme(t: Tables) -> DataFrame:
+    path = _dir(t, "annotations")
+    point = lambda x, y: F.array(F.col(x).cast("double"), F.col(y).cast("double"))
+    shape = F.struct(F.col("image_id").cast("string").alias("label"), F.lit("rectangle").alias("shape_type"), F.array(point("x0", "y0"), point("x1", "y1")).alias("points"))
+    # the reader takes one document per file; here each task writes one document with the shapes of its images
+    docs = t.v_manual.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(32)).alias("d")).agg(F.collect_list(shape).alias("shapes"))
+    docs.repartition(32, "d").select(F.to_json(F.struct("shapes")).alias("value"), "d").write.partitionBy("d").text(path)
+    shapes = S.read_labelme(t.spark, path)
+    return shapes.groupBy(F.col("label").cast("long").alias("image_id")).agg(
+        F.count(F.lit(1)).alias("shapes"), F.sum(F.col("points")[0][0]).cast("long").alias("x_sum"), F.sum(F.col("points")[1][1]).cast("long").alias("y_sum"))
+
+
+@query("S4_read_sensor_log", """
+SELECT device_id, COUNT(*) AS rows, round(SUM(pressure_mbar), 4) AS p, COUNT(temp_c) AS temps FROM v_telemetry WHERE sample_id % 25 <> 0 GROUP BY device_id""")
+def read_sensor_log(t: Tables) -> DataFrame:
+    path = _dir(t, "sensor")
+    num = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    good = F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), num("device_id"), num("pressure_mbar"), num("pressure_mbar"), num("temp_c"), num("humidity_pct"), F.lit("0.0"))
+    line = F.when(F.col("sample_id") % 25 == 0, F.concat(good, F.lit("x,garbled"))).otherwise(good)
+    t.v_telemetry.select(line.alias("value")).write.text(path)
+    log = S.read_sensor_log(t.spark, path, header=False)
+    return log.groupBy(F.col("t_rel_s").cast("long").alias("device_id")).agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("p_int_pa"), 4).alias("p"), F.count("temp_int_c").alias("temps"))
+
+
+@query("S7_write_by_date", "SELECT ymd AS date, COUNT(*) AS files FROM v_name GROUP BY ymd")
+def write_by_date(t: Tables) -> DataFrame:
+    path = _dir(t, "dated")
+    S.write_by_date(t.v_name.select("event_id", "name"), path, "crops", "name")
+    return t.spark.read.parquet(f"{path}/crops").groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("S8_read_stream", "SELECT crop_id, station FROM v_crop_event")
+def read_stream(t: Tables) -> DataFrame:
+    return _run(t, _stream(t, t.v_crop_event.repartition(4)).select("crop_id", "station"))
