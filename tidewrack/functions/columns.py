@@ -142,9 +142,8 @@ def renumber(df: DataFrame, name: str, offset: int = 0, prefix: str = "img_") ->
     number = _blank(F.regexp_extract(F.col(name), rf"^{prefix}(\d+)\.png$", 1)).try_cast("long") + offset
     rows = df.withColumn("_n", number).filter(F.col("_n").isNotNull())
     width = rows.agg(F.max(F.length(F.col("_n").cast("string"))).alias("_w"))
-    return rows.crossJoin(F.broadcast(width)).withColumn(  # one-row aggregate
-        "new_name", F.concat(F.lit(prefix), F.lpad(F.col("_n").cast("string"), F.col("_w"), F.lit("0")), F.lit(".png"))
-    ).drop("_n", "_w")
+    padded = F.lpad(F.col("_n").cast("string"), width.scalar(), F.lit("0"))
+    return rows.withColumn("new_name", F.concat(F.lit(prefix), padded, F.lit(".png"))).drop("_n")
 
 
 def rename_label(df: DataFrame, col: str, old: str, new: str) -> DataFrame:

@@ -12,13 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.operators.ordering import running_totals
+from tidewrack.operators.ordering import exact_percentile, running_totals, with_scalars
 
 BETAS = (0.25, 0.5, 1.0, 2.0, 3.0)
 
 
 def _join(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(side, list(keys)) if keys else df.crossJoin(F.broadcast(side))  # without keys: one row
+    """Join per-key totals; without keys ``side`` has one row, or none if it was filtered away."""
+    return df.join(side, list(keys)) if keys else with_scalars(df, side).filter(F.col(side.columns[0]).isNotNull())
 
 
 def curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), parts: int | None = None) -> DataFrame:
@@ -101,18 +102,19 @@ def cost_threshold(df: DataFrame, score: str, label: str, fp_cost: float = 0.4,
 def site_thresholds(df: DataFrame, score: str, label: str, site: str, beta: float = 2.0, percentile: float = 0.99) -> DataFrame:
     """Per site: the F-beta threshold, or a high percentile of its empty scores where it has no positives."""
     rows = df.filter(F.col(score).isNotNull())
-    empty = rows.groupBy(site).agg(F.count_if(F.col(label).cast("int") == 1).alias("_p"), F.percentile(score, F.lit(percentile)).alias("_q"))
+    counts = rows.groupBy(site).agg(F.count_if(F.col(label).cast("int") == 1).alias("_p"), F.min(score).alias("_min"))
+    bare = rows.join(counts.filter(F.col("_p") == 0).select(site), site, "left_semi")
+    empty = counts.join(exact_percentile(bare, [site], score, percentile, "_q"), site, "left")
     best = best_thresholds(rows, score, label, [beta], [site]).select(site, F.col("threshold").alias("_t"))
     use_percentile = F.col("_p") == 0
     # a site with positives only has no curve; every score is a hit, so the lowest one is the threshold
-    lowest = rows.groupBy(site).agg(F.min(score).alias("_min"))
-    j = empty.join(best, site, "left").join(lowest, site)
+    j = empty.join(best, site, "left")
     return j.select(site, F.when(use_percentile, F.col("_q")).otherwise(F.coalesce("_t", "_min")).alias("threshold"),
                     F.when(use_percentile, "percentile").otherwise("f_beta").alias("rule"))
 
 
 def one_class_threshold(df: DataFrame, score: str, keys: Sequence[str] = (), q: float = 0.99) -> DataFrame:
-    return df.groupBy(*keys).agg(F.percentile(score, F.lit(q)).alias("threshold"))
+    return exact_percentile(df, keys, score, q, "threshold")
 
 
 def class_scores(df: DataFrame, true: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.arrays import squared_distance
 from tidewrack.operators.joins import new_only
-from tidewrack.operators.ordering import running_totals, top_per_key
+from tidewrack.operators.ordering import _attach, exact_percentile, running_totals, top_per_key, with_scalars
 
 MAX_DIM = 1024
 
@@ -121,7 +121,7 @@ def empirical_rank(df: DataFrame, value: str, calib: DataFrame, calib_value: str
     known = calib.filter(F.col(calib_value).isNotNull()).groupBy(F.col(calib_value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     table = wanted.filter(F.col("_v").isNotNull()).unionByName(known).groupBy("_v").agg(F.sum("_c").alias("_c"))
     size = known.agg(F.sum("_c").alias("_all"))
-    ranks = running_totals(table, [], ["_v"], {"_t": "_c"}, parts).crossJoin(F.broadcast(size))  # one-row count
+    ranks = with_scalars(running_totals(table, [], ["_v"], {"_t": "_c"}, parts), size)
     ranks = ranks.select("_v", ((F.col("_t") - F.col("_c")) / F.col("_all")).alias(out))
     return df.join(ranks, F.col(value).cast("double") == F.col("_v"), "left").drop("_v")
 
@@ -140,8 +140,9 @@ def one_class_score(df: DataFrame, centre: Column, vec: str = "px", out: str = "
 
 def one_class_stats(df: DataFrame, score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     s = F.col(score)
-    return df.groupBy(*keys).agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"),
-                                 F.percentile(s, F.lit(0.99)).alias("q99"))
+    out = df.groupBy(*keys).agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"))
+    q99 = exact_percentile(df, keys, score, 0.99, "q99")
+    return _attach(out, q99, list(keys)) if keys else with_scalars(out, q99)
 
 
 def dimension_stats(train: DataFrame, vec: str = "px") -> DataFrame:
@@ -154,7 +155,7 @@ def dimension_stats(train: DataFrame, vec: str = "px") -> DataFrame:
 
 def standardise(df: DataFrame, stats: DataFrame, vec: str = "px") -> DataFrame:
     """(x - mean) / std with the training statistics; a constant dimension is only centred."""
-    j = df.crossJoin(F.broadcast(stats))  # one row of two d-long arrays
+    j = with_scalars(df, stats)
     centred = F.zip_with(vec, "mean", lambda v, m: v - m)
     return j.withColumn(vec, F.zip_with(centred, "std", lambda v, s: v / F.when(s == 0, 1.0).otherwise(s))).drop("mean", "std")
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tidewrack.session import durable
 
 _LOW33 = (1 << 33) - 1
+# largest n for which Spark pushes a rank limit below the shuffle by default
+_TRIMMED = 1000
 
 
 def _cols(order: Sequence[str | Column]) -> list[Column]:
@@ -92,8 +94,37 @@ def running_totals(
     return out.drop("_part", "_idx", *[f"_v_{n}" for n in sources], *[f"_b_{n}" for n in sources])
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row, as a scalar subquery."""
+    return df.withColumn("_s", one_row.select(F.struct("*")).scalar()).select("*", "_s.*").drop("_s")
+
+
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str | Column, q: float, name: str, parts: int | None = None) -> DataFrame:
+    """Linear-interpolated percentile per key, from cumulated counts of distinct values.
+
+    The built-in percentile keeps all distinct values of a group in one task;
+    here a large group stays spread over range partitions. Nulls are skipped.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    counts = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_totals(counts, keys, ["_v"], {"_cum": "_c"}, parts)
+    sizes = ranked.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    ranked = _attach(ranked, sizes, list(keys)) if keys else with_scalars(ranked, sizes)
+    pos = (F.col("_n") - 1) * q
+    at = lambda p: F.min(F.when(F.col("_cum") > p, F.col("_v")))
+    ends = ranked.withColumns({"_lo": F.floor(pos), "_hi": F.ceil(pos), "_f": pos - F.floor(pos)}).groupBy(*keys).agg(
+        at(F.col("_lo")).alias("_a"), at(F.col("_hi")).alias("_b"), F.max("_f").alias("_f"))
+    return ends.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(name))
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, name: str = "rank") -> DataFrame:
-    """First ``n`` rows of each key. The rank filter lets Spark trim every input partition to ``n`` per key first."""
+    """First ``n`` rows of each key.
+
+    For a small ``n`` the rank filter lets Spark trim every input partition to ``n``
+    per key before the shuffle; a large ``n`` ranks over range partitions.
+    """
+    if n > _TRIMMED:
+        return rank_rows(df, keys, order, name).filter(F.col(name) <= n)
     w = Window.partitionBy(*keys).orderBy(*_cols(order))
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 

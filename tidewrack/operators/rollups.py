@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.operators.ordering import with_scalars
 from tidewrack.operators.slices import us
 
 
@@ -80,7 +81,7 @@ def class_weights(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFr
     """n / (k * count) per present class, n rows and k classes."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_k"))
-    j = counts.join(totals, list(keys)) if keys else counts.crossJoin(F.broadcast(totals))  # totals: one row
+    j = counts.join(totals, list(keys)) if keys else with_scalars(counts, totals)
     return j.withColumn("weight", F.col("_all") / (F.col("_k") * F.col("n"))).drop("_all", "_k")
 
 

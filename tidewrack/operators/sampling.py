@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.columns import valid_public_name
-from tidewrack.operators.ordering import md5_order, py_round, rank_rows, top_per_key
+from tidewrack.operators.ordering import md5_order, py_round, rank_rows, top_per_key, with_scalars
 
 
 def recent_crops(files: DataFrame, sidecars: DataFrame, n: int, date: str = "date", name: str = "name") -> DataFrame:
@@ -26,7 +26,7 @@ def select_uniform(df: DataFrame, order: Sequence[str], n: int, parts: int | Non
     """Rows number int(i * len / n) of the sorted list; all rows if there are no more than ``n``."""
     ranked = rank_rows(df, [], order, "_n", parts)
     total = ranked.agg(F.count(F.lit(1)).alias("_len"))
-    d = ranked.crossJoin(F.broadcast(total))  # one-row count
+    d = with_scalars(ranked, total)
     row, size = F.col("_n") - 1, F.col("_len")
     # row j is picked when some i has floor(i * len / n) = j, i.e. the first i with i * len >= j * n still falls on j
     i = F.ceil(row * n / size)
@@ -69,7 +69,7 @@ def balanced_split(df: DataFrame, label: str, key: Sequence[str], min_count: int
     big = df.groupBy(label).agg(F.count(F.lit(1)).alias("_len")).filter((F.col("_len") >= min_count) & F.col(label).isNotNull())
     least = big.agg(F.min("_len").alias("_min"))
     d = rank_rows(df.join(big.select(label), label, "left_semi").withColumn("_h", md5_order(seed, *key)), [label], ["_h", *key], "_n", parts)
-    d = d.crossJoin(F.broadcast(least))  # one-row minimum
+    d = with_scalars(d, least)
     a, b, c = (F.floor(F.col("_min") * r) for r in ratios)
     split = F.when(F.col("_n") <= a, "train").when(F.col("_n") <= a + b, "val").when(F.col("_n") <= a + b + c, "test")
     return d.withColumn("split", split).filter(F.col("split").isNotNull()).drop("_h", "_n", "_min")
@@ -86,7 +86,7 @@ def group_split(df: DataFrame, group: str, seed: int | str = 42, train: float =
     total = ranked.agg(F.count(F.lit(1)).alias("_len"))
     a = F.floor(F.col("_len") * train)
     b = F.floor((F.col("_len") - a) * val_of_rest)
-    cut = ranked.crossJoin(F.broadcast(total)).select(group, _cut(F.col("_n"), a, b).alias("split"))  # one-row count
+    cut = with_scalars(ranked, total).select(group, _cut(F.col("_n"), a, b).alias("split"))
     return df.join(cut, group)
 
 
@@ -99,7 +99,7 @@ def random_split(df: DataFrame, key: Sequence[str], seed: int | str = 42, ratios
     """Split of single rows without groups. (0.75, 0.25) gives train and val only."""
     ranked = rank_rows(df.withColumn("_h", md5_order(seed, *key)), [], ["_h", *key], "_n", parts)
     total = ranked.agg(F.count(F.lit(1)).alias("_len"))
-    return ranked.crossJoin(F.broadcast(total)).withColumn(  # one-row count
+    return with_scalars(ranked, total).withColumn(
         "split", _cut(F.col("_n"), F.floor(F.col("_len") * ratios[0]), F.floor(F.col("_len") * ratios[1]))).drop("_h", "_n", "_len")
 
 
@@ -107,22 +107,22 @@ def balance_classes(df: DataFrame, label: str, key: Sequence[str], seed: int | s
     """Negatives (label 0) cut to the number of positives if there are more of them; without positives all stay."""
     counts = df.agg(F.count_if(F.col(label) == 1).alias("_pos"))
     neg = rank_rows(df.filter(F.col(label) == 0).withColumn("_h", md5_order(seed, *key)), [], ["_h", *key], "_n", parts)
-    neg = neg.crossJoin(F.broadcast(counts)).filter((F.col("_pos") == 0) | (F.col("_n") <= F.col("_pos")))  # one-row count
+    neg = with_scalars(neg, counts).filter((F.col("_pos") == 0) | (F.col("_n") <= F.col("_pos")))
     return df.filter(F.col(label) == 1).unionByName(neg.drop("_h", "_n", "_pos"))
 
 
 def mine_hard_negatives(df: DataFrame, label: str, score: str, key: Sequence[str], seed: int | str = 42, parts: int | None = None) -> DataFrame:
     """All positives, the k highest scoring negatives and k random others; k = min(positives, negatives). Adds ``kind``."""
     counts = df.agg(F.least(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).alias("_k"))
-    neg = rank_rows(df.filter(F.col(label) == 0), [], [F.col(score).desc(), *key], "_n", parts).crossJoin(F.broadcast(counts))  # one-row count
+    neg = with_scalars(rank_rows(df.filter(F.col(label) == 0), [], [F.col(score).desc(), *key], "_n", parts), counts)
     hard = neg.filter(F.col("_n") <= F.col("_k")).drop("_n", "_k").withColumn("kind", F.lit("hard"))
     rest = neg.filter(F.col("_n") > F.col("_k")).drop("_n", "_k")
-    easy = rank_rows(rest.withColumn("_h", md5_order(seed, *key)), [], ["_h", *key], "_n", parts).crossJoin(F.broadcast(counts))  # one-row count
+    easy = with_scalars(rank_rows(rest.withColumn("_h", md5_order(seed, *key)), [], ["_h", *key], "_n", parts), counts)
     easy = easy.filter(F.col("_n") <= F.col("_k")).drop("_h", "_n", "_k").withColumn("kind", F.lit("easy"))
     return df.filter(F.col(label) == 1).withColumn("kind", F.lit("positive")).unionByName(hard).unionByName(easy)
 
 
-def filter_rare_classes(df: DataFrame, label: str, min_count: int = 40, exclude: Sequence[str] = (), max_broadcast: int = 100_000) -> DataFrame:
+def filter_rare_classes(df: DataFrame, label: str, min_count: int = 40, exclude: Sequence[str] = ()) -> DataFrame:
     """Rows of the remaining classes, with ``class_idx`` numbering them alphabetically from 0."""
     counts = df.filter(F.col(label).isNotNull() & ~F.col(label).isin(*exclude)).groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     kept = rank_rows(counts.filter(F.col("_c") >= min_count).select(label), [], [label], "_n").select(label, (F.col("_n") - 1).alias("class_idx"))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.columns import KELVIN, PA_PER_INHG, dew_point_c, sane_filter
 from tidewrack.operators.folds import thin
-from tidewrack.operators.ordering import rank_rows, running_totals
+from tidewrack.operators.ordering import exact_percentile, rank_rows, running_totals, with_scalars
 from tidewrack.operators.slices import DAY_US, micros, own_rows, running, us, with_halo
+from tidewrack.session import durable
 
 # Alert thresholds.
 DEW_RISE_C, PRESSURE_SHIFT_MBAR = 0.60, 9.74
@@ -153,11 +154,11 @@ def calibrate_thresholds(samples: DataFrame, keys: Sequence[str], ts: str, range
     by = [*keys, "signal"]
     rows = windowed_rise(detrend(rows, by, ts, "value", window_s * detrend_factor), by, ts, "residual", window_s, "_rise")
     rows = windowed_rise(rows, by, ts, "value", window_s, "_raw")
-    level = lambda c: F.percentile(F.abs(F.col(c)), F.lit(percentile)) * margin
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"), ((F.max(us(ts)) - F.min(us(ts))) / 3.6e9).alias("hours"),
-        level("_rise").alias("threshold"), level("_raw").alias("threshold_raw"),
-    ).withColumn("enough_rows", F.col("rows") >= min_rows).withColumn("enough_hours", F.col("hours") >= min_hours)
+    rows = durable(rows.select(*by, ts, "_rise", "_raw"))
+    level = lambda c, n: exact_percentile(rows, by, F.abs(F.col(c)), percentile, n).withColumn(n, F.col(n) * margin)
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), ((F.max(us(ts)) - F.min(us(ts))) / 3.6e9).alias("hours"))
+    out = out.join(level("_rise", "threshold"), by, "left").join(level("_raw", "threshold_raw"), by, "left")
+    return out.withColumn("enough_rows", F.col("rows") >= min_rows).withColumn("enough_hours", F.col("hours") >= min_hours)
 
 
 # Physical constants and the leak limit.
@@ -251,7 +252,7 @@ def prune_oldest(files: DataFrame, mtime: str, tie: str, bytes_: str, max_bytes:
     """
     lit = lambda x: F.lit(x) if isinstance(x, int) else x
     total = files.agg(F.sum(bytes_).alias("_total"))
-    over = running_totals(files, [], [mtime, tie], {"_cum": bytes_}, parts).crossJoin(F.broadcast(total))  # one-row total
+    over = with_scalars(running_totals(files, [], [mtime, tie], {"_cum": bytes_}, parts), total)
     freed_before = F.col("_cum") - F.col(bytes_)
     return over.filter((F.col("_total") > lit(max_bytes)) & (freed_before < F.col("_total") - lit(target_bytes))).drop("_cum", "_total")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.operators import sampling as P
 from tidewrack.operators.grids import crop_outcome
+from tidewrack.operators.ordering import with_scalars
 from tidewrack.plans.registry import query
 from tidewrack.plans.standins import Tables
 
@@ -63,7 +64,7 @@ SELECT s.row_id, s.image_id, k.split, 0 AS leaked FROM v_scores s JOIN k ON k.im
 def group_split(t: Tables) -> DataFrame:
     split = P.group_split(t.v_scores, "image_id")
     leaked = P.leaked_groups(split, "image_id").agg(F.count(F.lit(1)).alias("leaked"))
-    return split.select("row_id", "image_id", "split").crossJoin(F.broadcast(leaked))  # one-row count
+    return with_scalars(split.select("row_id", "image_id", "split"), leaked)
 
 
 @query("T8_random_split", """

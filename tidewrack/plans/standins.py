@@ -122,7 +122,8 @@ SELECT p_partkey, 'img_' || lpad(CAST(p_partkey AS STRING), 6, '0')
 FROM part""",
 }
 
-# the recursion is spelled out once for spec queries that need the regions of the score maps
+# the session's own views keep their names: ours carry a prefix
+_SOURCE = re.compile(r"\bFROM (\w+)")
 _NEEDS = re.compile(r"\bv_[a-z_]+\b")
 
 
@@ -153,13 +154,13 @@ class Tables:
                     self._register(table)
             for view in needed(VIEWS[name]):
                 self._register(view)
-            self.spark.sql(VIEWS[name]).createOrReplaceTempView(name)
+            self.spark.sql(_SOURCE.sub(r"FROM tidewrack_\1", VIEWS[name])).createOrReplaceTempView(f"tidewrack_{name}")
         else:
-            read_table(self.spark, self.folder, name).createOrReplaceTempView(name)
+            read_table(self.spark, self.folder, name).createOrReplaceTempView(f"tidewrack_{name}")
         self._ready.add(name)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS and name not in TABLES:
             raise AttributeError(name)
         self._register(name)
-        return self.spark.table(name)
+        return self.spark.table(f"tidewrack_{name}")
