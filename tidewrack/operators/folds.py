@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.operators.slices import micros, us, with_slice
+from tidewrack.session import durable
 
 DAY = 86_400
 
@@ -66,7 +67,8 @@ def thin(
     ``tie`` is a unique column that orders rows of equal time.
     """
     gap, once = micros(min_gap_s), once_per is not None
-    size = max(micros(slice_s), gap)
+    df = durable(df)  # read three times below
+    size = max(micros(slice_s), 8 * gap)
     spark_cols = [*keys, tie]
     ev = with_slice(
         df.select(*keys, tie, us(ts).alias("_t"), (F.col(once_per) if once else F.lit(0)).cast("long").alias("_g")),

@@ -234,16 +234,15 @@ def _iou(a: Column, b: Column) -> Column:
 
 def _nms_fold(df: DataFrame, frame: str, tie: str, iou: float) -> DataFrame:
     """Greedy pass over each frame's short sorted list, inside the JVM."""
-    item = F.struct((-F.col("peak_val")).alias("p"), F.col(tie).alias("k"), F.col("crop_y0").alias("y0"),
-                    F.col("crop_x0").alias("x0"), F.col("crop_y1").alias("y1"), F.col("crop_x1").alias("x1"))
+    item = F.struct((-F.col("peak_val")).alias("p"), F.col(tie).alias("k"), F.col("crop_y0").alias("y0"), F.col("crop_x0").alias("x0"),
+                    F.col("crop_y1").alias("y1"), F.col("crop_x1").alias("x1"), F.struct(*[c for c in df.columns if c != frame]).alias("row"))
     lists = df.groupBy(frame).agg(F.sort_array(F.collect_list(item)).alias("_all"))
     kind = lists.schema["_all"].dataType.simpleString()
     kept = F.aggregate(
         "_all", F.array().cast(kind),
         lambda acc, x: F.when(F.exists(acc, lambda y: _iou(x, y) > iou), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    keys = lists.select(frame, F.explode(kept).alias("_k")).select(frame, F.col("_k.k").alias(tie))
-    return df.join(keys, [frame, tie], "left_semi")
+    return lists.select(frame, F.explode(kept).alias("_k")).select(frame, "_k.row.*").select(*df.columns)
 
 
 def _nms_rounds(df: DataFrame, frame: str, tie: str, iou: float) -> DataFrame:

@@ -12,8 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.operators.ordering import _attach
-
 SECOND = 1_000_000
 
 
@@ -73,20 +71,22 @@ def running(
         *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in total],
     )
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # the state before a slice enters its window as one extra first row
     carry = summary.select(
         *keys,
         "_slice",
-        *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_cl_{n}") for n in last],
-        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_cs_{n}") for n in total],
+        F.lit(0).alias("_real"),
+        *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_l_{n}") for n in last],
+        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in total],
     )
-    joined = _attach(rows, carry, [*keys, "_slice"])
-    so_far = Window.partitionBy(*keys, "_slice").orderBy("_t", *tie).rowsBetween(Window.unboundedPreceding, 0)
-    out = joined.select(
+    both = rows.withColumn("_real", F.lit(1)).unionByName(carry, allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys, "_slice").orderBy("_real", "_t", *tie).rowsBetween(Window.unboundedPreceding, 0)
+    return both.select(
         *df.columns,
-        *[F.coalesce(F.last(f"_l_{n}", ignorenulls=True).over(so_far), F.col(f"_cl_{n}")).alias(n) for n in last],
-        *[(F.coalesce(F.sum(f"_s_{n}").over(so_far), F.lit(0)) + F.col(f"_cs_{n}")).alias(n) for n in total],
-    )
-    return out
+        "_real",
+        *[F.last(f"_l_{n}", ignorenulls=True).over(so_far).alias(n) for n in last],
+        *[F.sum(f"_s_{n}").over(so_far).alias(n) for n in total],
+    ).filter(F.col("_real") == 1).drop("_real")
 
 
 DAY_US = 86_400 * SECOND

@@ -286,21 +286,11 @@ pad AS (SELECT *, greatest(0, y0 - 3) AS a, greatest(0, x0 - 3) AS b, least(140,
 sz AS (SELECT *, greatest(e - a, f - b) AS s FROM pad),
 st AS (SELECT *, greatest(0, (a + e) // 2 - s // 2) AS ya, greatest(0, (b + f) // 2 - s // 2) AS xa FROM sz),
 en AS (SELECT *, least(140, ya + s) AS ye, least(140, xa + s) AS xe FROM st)
-SELECT image_id, root AS region, greatest(0, ye - s) AS crop_y0, greatest(0, xe - s) AS crop_x0, ye AS crop_y1, xe AS crop_x1, px AS region_size_pixels,
+SELECT image_id, greatest(0, ye - s) AS crop_y0, greatest(0, xe - s) AS crop_x0, ye AS crop_y1, xe AS crop_x1, px AS region_size_pixels,
        round(px * (91.0::DOUBLE / 4512) * (91.0::DOUBLE / 4512), 6) AS region_size_mm2 FROM en""")
 def manual_crops(t: Tables) -> DataFrame:
-    # the region number comes from the first pixel; the spec numbers by box corner, so use the smallest corner of each component
-    return _by_corner(t, G.mask_crops(_runs(t), "image_id", padding=3, **CANVAS)).withColumn("region_size_mm2", F.round("region_size_mm2", 6))
-
-
-def _by_corner(t: Tables, blobs: DataFrame) -> DataFrame:
-    """Rename regions from first pixel to smallest box corner, to be comparable with the box-based spec."""
-    corner = F.shiftleft(F.col("y0"), 32) + F.col("x0")
-    first = G.label_runs(_runs(t), ["image_id"], height=140)
-    boxes = t.v_manual.select("image_id", F.col("y0").alias("y"), "x0", corner.alias("corner")).distinct()
-    owner = boxes.join(first.select("image_id", "y", F.col("x0").alias("a"), F.col("x1").alias("b"), "region"), ["image_id", "y"]).filter(
-        (F.col("x0") >= F.col("a")) & (F.col("x0") < F.col("b"))).groupBy("image_id", "region").agg(F.min("corner").alias("corner"))
-    return blobs.join(owner, ["image_id", "region"]).withColumn("region", F.col("corner")).drop("corner")
+    out = G.mask_crops(_runs(t), "image_id", padding=3, **CANVAS).drop("region")
+    return out.withColumn("region_size_mm2", F.round("region_size_mm2", 6))
 
 
 @query("G13_manual_scores", """
@@ -325,12 +315,12 @@ def image_mask_summary(t: Tables) -> DataFrame:
 
 
 @query("G15_blob_metrics", f"""WITH RECURSIVE {PIXELS}, {TOUCH}
-SELECT image_id, root AS region, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h, px AS area,
+SELECT image_id, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h, px AS area,
        round(px / ((x1 - x0) * (y1 - y0) + 0.00001::DOUBLE), 6) AS compactness, round(2 * sqrt(px / pi()), 6) AS esd,
        greatest(0, x0 - 5) AS box_x0, greatest(0, y0 - 5) AS box_y0, least(140, x1 + 5) AS box_x1, least(140, y1 + 5) AS box_y1
 FROM blob WHERE px >= 200""")
 def blob_metrics(t: Tables) -> DataFrame:
-    out = _by_corner(t, G.blob_metrics(_runs(t), "image_id", 200, 5, **CANVAS)).drop("crop_no")
+    out = G.blob_metrics(_runs(t), "image_id", 200, 5, **CANVAS).drop("crop_no", "region")
     return out.withColumns({c: F.round(c, 6) for c in ("compactness", "esd")})
 
 
