@@ -46,14 +46,20 @@ def ema_background(frames: DataFrame, alpha: float, top: float, site: str = "sit
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_n")
-        bg, out = None, []
-        offset = int(pdf["_k"].iloc[0]) * chunk
-        for own, where, key, part in zip(pdf["_own"], pdf[site], pdf[order], pdf["part"]):
+        bg, after, diff = None, [], []
+        for own, part in zip(pdf["_own"], pdf["part"]):
             f = np.asarray(part, dtype=np.float64)
             bg = f.copy() if bg is None else alpha * f + (1 - alpha) * bg
             if own:
-                out.append(pd.DataFrame({site: where, order: key, "i": offset + np.arange(len(f)), "bg": bg, "corrected": np.clip(f - bg, 0, top).astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({site: [], order: [], "i": [], "bg": [], "corrected": []})
+                after.append(bg)
+                diff.append(np.clip(f - bg, 0, top).astype(np.int64))
+        mine = pdf.loc[pdf["_own"], [site, order]]
+        width = len(pdf["part"].iloc[0])
+        out = mine.loc[mine.index.repeat(width)].reset_index(drop=True)
+        out["i"] = np.tile(int(pdf["_k"].iloc[0]) * chunk + np.arange(width), len(mine))
+        out["bg"] = np.concatenate(after) if after else np.zeros(0)
+        out["corrected"] = np.concatenate(diff) if diff else np.zeros(0, dtype=np.int64)
+        return out
 
     return rows.groupBy(site, "_slice", "_k").applyInPandas(fold, f"{site_ddl}, {order_ddl}, i long, bg double, corrected long")
 

@@ -15,12 +15,12 @@ from tidewrack.operators.components import merge_runs
 
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
 
-ANNOTATION = T.StructType.fromDDL("shapes array<struct<label string, shape_type string, points array<array<double>>>>")
-SENSOR_LOG = T.StructType.fromDDL(
+ANNOTATION = "shapes array<struct<label string, shape_type string, points array<array<double>>>>"
+SENSOR_LOG = (
     "iso_time timestamp, t_rel_s double, p_int_pa double, p_ext_pa double, temp_int_c double, humidity_pct double, leak_flag double")
-FRAME_SIDECAR = T.StructType.fromDDL(
+FRAME_SIDECAR = (
     "frame_id long, timestamp_unix double, capture_iso string, width int, height int, hdr_max int, gain_db double, camera_serial string")
-CROP_SIDECAR = T.StructType.fromDDL(
+CROP_SIDECAR = (
     "source_frame_id long, source_timestamp_unix double, image_name string, crop_id int, crop_y0 int, crop_x0 int, crop_y1 int, crop_x1 int, "
     "region_size_pixels double, region_size_mm2 double, peak_val double, mean_val double, class_label string, class_confidence double, "
     "class_idx int, classifier_checkpoint string, processed_iso string, upload_attempts int")
@@ -33,9 +33,11 @@ def read_file_index(spark: SparkSession, path: str, extensions: Sequence[str] =
     return files.filter(known).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime")).orderBy("path")
 
 
-def read_sidecars(spark: SparkSession, path: str, schema: T.StructType = CROP_SIDECAR, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_sidecars(spark: SparkSession, path: str, schema: T.StructType | str = CROP_SIDECAR, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Readable sidecars and unreadable ones (torn or corrupt JSON), each with the file they came from."""
-    text = spark.read.option("wholetext", multi_line).option("recursiveFileLookup", "true").text(path)
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=multi_line)
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     rows = text.select(F.col("_metadata.file_path").alias("file"), "value", parsed.alias("_j"))
@@ -116,20 +118,14 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType | str, fmt
 
 
 def _edge_runs(p: np.ndarray, closed: bool) -> list[tuple[int, int, int]]:
-    """Pixels of the outline, one run per row and edge."""
+    """Pixels of the outline: one per row on steep edges, one per column on flat ones."""
     q = np.roll(p, -1, axis=0) if closed else p[1:]
     out = []
-    for (xa, ya), (xb, yb) in zip(p[: len(q)], q):
-        if ya == yb:
-            out.append((int(ya), int(min(xa, xb)), int(max(xa, xb)) + 1))
-            continue
-        if ya > yb:
-            xa, ya, xb, yb = xb, yb, xa, ya
-        ys = np.arange(ya, yb + 1)
-        slope = (xb - xa) / (yb - ya)
-        low, high = (np.clip(xa + slope * (ys + d - ya), min(xa, xb), max(xa, xb)) for d in (-0.5, 0.5))
-        left, right = np.floor(np.minimum(low, high) + 0.5).astype(int), np.floor(np.maximum(low, high) + 0.5).astype(int)
-        out += list(zip(ys.astype(int).tolist(), left.tolist(), (right + 1).tolist()))
+    for (xa, ya), (xb, yb) in zip(p[: len(q)].tolist(), q.tolist()):
+        steps = max(abs(xb - xa), abs(yb - ya), 1)
+        at = np.arange(steps + 1) / steps
+        xs, ys = np.floor(xa + at * (xb - xa) + 0.5).astype(int), np.floor(ya + at * (yb - ya) + 0.5).astype(int)
+        out += [(y, x, x + 1) for y, x in zip(ys.tolist(), xs.tolist())]
     return out
 
 
