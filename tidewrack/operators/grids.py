@@ -87,14 +87,10 @@ def patch_map(tiles: DataFrame, n: int = 5, size: int = 80, frame: str = "frame_
     """
     start = lambda x: F.greatest(F.lit(0).cast("long"), F.least(py_round(F.col(x) * n), F.lit(size - 1).cast("long")))
     unit = F.round(F.col(score) * _UNIT).cast("long")
-    per_start = (
-        tiles.select(frame, start(row).alias("_r0"), start(col).alias("_c0"), unit.alias("_s"))
-        .groupBy(frame, "_r0", "_c0")
-        .agg(F.sum("_s").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    )
     block = lambda s: F.sequence(F.col(s), F.least(F.col(s) + n - 1, F.lit(size - 1).cast("long")))
     parts = (
-        per_start.withColumn("r", F.explode(block("_r0"))).withColumn("c", F.explode(block("_c0"))).select(frame, "r", "c", "_s", "_n")
+        tiles.select(frame, start(row).alias("_r0"), start(col).alias("_c0"), unit.alias("_s"), F.lit(1).cast("long").alias("_n"))
+        .withColumn("r", F.explode(block("_r0"))).withColumn("c", F.explode(block("_c0"))).select(frame, "r", "c", "_s", "_n")
     )
     if fill:
         axis = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
@@ -108,23 +104,27 @@ def patch_map(tiles: DataFrame, n: int = 5, size: int = 80, frame: str = "frame_
     return sums.select(frame, "r", "c", F.coalesce(mean, F.lit(0.0)).alias("score"), "coverage")
 
 
-def local_maxima(cells: DataFrame, threshold: float, frame: str = "frame_id") -> DataFrame:
-    """Cells that equal the largest value of their 3x3 neighbourhood and reach ``threshold``.
+def mark_maxima(cells: DataFrame, threshold: float, frame: str = "frame_id") -> DataFrame:
+    """Add ``is_peak``: the cell reaches ``threshold`` and equals the largest value of its 3x3 neighbourhood.
 
-    Cells below the threshold can neither be a peak nor outrank one, so they are
-    left out before the neighbours are compared.
+    Only cells that reach the threshold can outrank a peak, so only they are
+    copied to their neighbours.
     """
-    step = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
-    near = (
-        cells.filter(F.col("score") >= threshold)
-        .withColumn("_dr", F.explode(step)).withColumn("_dc", F.explode(step))
-        .select(
-            frame, (F.col("r") + F.col("_dr")).alias("r"), (F.col("c") + F.col("_dc")).alias("c"), "score",
-            F.when((F.col("_dr") == 0) & (F.col("_dc") == 0), F.col("score")).alias("_own"),
-        )
+    long = lambda v: F.lit(v).cast("long")
+    step = lambda r, c: F.struct(long(r).alias("dr"), long(c).alias("dc"))
+    around = F.array(*[step(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)])
+    near = cells.withColumn("_d", F.explode(F.when(F.col("score") >= threshold, around).otherwise(F.array(step(0, 0))))).select(
+        frame, (F.col("r") + F.col("_d.dr")).alias("r"), (F.col("c") + F.col("_d.dc")).alias("c"), "score",
+        F.when((F.col("_d.dr") == 0) & (F.col("_d.dc") == 0), F.col("score")).alias("_own"),
     )
-    best = near.groupBy(frame, "r", "c").agg(F.max("score").alias("_best"), F.max("_own").alias("score"))
-    return best.filter(F.col("score") == F.col("_best")).select(frame, "r", "c", "score")
+    best = near.groupBy(frame, "r", "c").agg(F.max("score").alias("_best"), F.max("_own").alias("_own")).filter(F.col("_own").isNotNull())
+    top = (F.col("_own") >= threshold) & (F.col("_own") == F.col("_best"))
+    return best.select(frame, "r", "c", F.col("_own").alias("score"), top.alias("is_peak"))
+
+
+def local_maxima(cells: DataFrame, threshold: float, frame: str = "frame_id") -> DataFrame:
+    """Cells that equal the largest value of their 3x3 neighbourhood and reach ``threshold``."""
+    return mark_maxima(cells.filter(F.col("score") >= threshold), threshold, frame).filter("is_peak").drop("is_peak")
 
 
 def regions(cells: DataFrame, secondary: float, connectivity: int = 8, frame: str = "frame_id", size: int | None = 80) -> DataFrame:
@@ -163,10 +163,6 @@ def _lin(r: str = "r", c: str = "c") -> Column:
     return F.shiftleft(F.col(r).cast("long"), 32) + F.col(c)
 
 
-def _with_peaks(labelled: DataFrame, peaks: DataFrame, frame: str) -> DataFrame:
-    return labelled.join(peaks.select(frame, "r", "c", F.lit(True).alias("_peak")), [frame, "r", "c"], "left")
-
-
 def _region_stats() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("region_size_points"), F.avg("score").alias("mean_val"),
@@ -183,12 +179,10 @@ def candidates(cells: DataFrame, peak: float, secondary: float, min_side: int =
     """
     if peak < secondary:
         raise ValueError("peak threshold below the secondary one: use candidates_per_peak")
-    marked = _with_peaks(regions(cells, secondary, 8, frame, size), local_maxima(cells, peak, frame), frame)
-    grouped = marked.groupBy(frame, "region").agg(
-        *_region_stats(),
-        F.min(F.when(F.col("_peak"), _lin())).alias("peak_order"),
-        F.min_by("score", F.when(F.col("_peak"), _lin())).alias("peak_val"),
-    )
+    marked = mark_maxima(cells.filter(F.col("score") >= secondary), peak, frame)
+    first = F.min(F.when(F.col("is_peak"), F.struct(_lin().alias("at"), F.col("score").alias("val"))))
+    grouped = regions(marked, secondary, 8, frame, size).groupBy(frame, "region").agg(*_region_stats(), first.alias("_first"))
+    grouped = grouped.withColumns({"peak_order": F.col("_first.at"), "peak_val": F.col("_first.val")}).drop("_first")
     kept = grouped.filter(F.col("peak_order").isNotNull() & (F.col("region_size_points") >= min_side**2))
     return square_boxes(kept, upscale, padding, image).drop("r_min", "r_max", "c_min", "c_max")
 
@@ -200,15 +194,14 @@ def candidates_per_peak(cells: DataFrame, peak: float, secondary: float, mean_th
 
     A peak below ``secondary`` belongs to no region and yields nothing.
     """
-    labelled = regions(cells, secondary, 8, frame, size)
-    stats = labelled.groupBy(frame, "region").agg(*_region_stats()).filter(
+    marked = mark_maxima(cells.filter(F.col("score") >= secondary), max(peak, secondary), frame)
+    tops = F.array_compact(F.collect_list(F.when(F.col("is_peak"), F.struct(_lin().alias("at"), F.col("score").alias("val")))))
+    stats = regions(marked, secondary, 8, frame, size).groupBy(frame, "region").agg(*_region_stats(), tops.alias("_tops")).filter(
         (F.col("region_size_points") >= min_side**2) & (F.col("mean_val") >= mean_threshold)
     )
-    tops = local_maxima(cells, peak, frame).filter(F.col("score") >= secondary)
-    owned = tops.join(labelled.select(frame, "r", "c", "region"), [frame, "r", "c"]).select(
-        frame, "region", _lin().alias("peak_order"), F.col("score").alias("peak_val")
-    )
-    return square_boxes(owned.join(stats, [frame, "region"]), upscale, padding, image).drop("r_min", "r_max", "c_min", "c_max")
+    # a map is size x size cells, which bounds the list of a region's peaks
+    owned = stats.withColumn("_t", F.explode("_tops")).withColumns({"peak_order": F.col("_t.at"), "peak_val": F.col("_t.val")}).drop("_t", "_tops")
+    return square_boxes(owned, upscale, padding, image).drop("r_min", "r_max", "c_min", "c_max")
 
 
 def robust_regions(cells: DataFrame, peak: float = 0.98, secondary: float = 0.75, min_size: int = 9, min_mean: float = 0.85,
