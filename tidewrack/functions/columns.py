@@ -323,13 +323,21 @@ BLOB_LOG_MAPPING = {
 }
 
 
+# The same for the crop log of an evaluation run; SurfaceAreaMS comes after the format's own columns.
+CROP_LOG_MAPPING = {
+    "Name": "folder", "ImageFilename": "image_name", "ImageW": "crop_width", "ImageH": "crop_height", "FilledArea": "region_size_pixels",
+    "AbdArea": "crop_width * crop_height", "CircleFit": "region_mean_intensity", "SurfaceAreaMS": "region_max_intensity",
+}
+
+
 def to_labelchecker(df: DataFrame, mapping: Mapping[str, str] | None = None, with_uuid: bool = True) -> DataFrame:
-    """Wide import table for the label tool; columns without a source are null."""
+    """Wide import table for the label tool; ``mapping`` gives the expression of each filled column, the others are null."""
     mapping = BLOB_LOG_MAPPING if mapping is None else mapping
     uid = F.upper(F.regexp_replace(F.uuid(), "-", "")) if with_uuid else F.lit(None).cast("string")
+    extra = [c for c in mapping if c not in LABELCHECKER_COLUMNS]
     return df.select(*[
-        F.col(mapping[c]).alias(c) if c in mapping else uid.alias(c) if c == "Uuid" else F.lit(None).cast("string").alias(c)
-        for c in LABELCHECKER_COLUMNS
+        F.expr(mapping[c]).alias(c) if c in mapping else uid.alias(c) if c == "Uuid" else F.lit(None).cast("string").alias(c)
+        for c in [*LABELCHECKER_COLUMNS, *extra]
     ])
 
 

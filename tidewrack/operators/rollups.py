@@ -159,6 +159,21 @@ def drain_status(items: DataFrame, keys: Sequence[str], total: str, elapsed_s: s
         "eta_hours", F.col("remaining") / F.nullif(F.col("rate_per_hour"), F.lit(0.0))).drop("_e")
 
 
+def backlog_stages(stages: DataFrame, position: str = "position", active: str = "active", waiting: str = "waiting",
+                   processed: str = "processed", elapsed_s: str = "elapsed_s") -> DataFrame:
+    """Status, remaining items, rate per hour and hours left of ordered backlog stages.
+
+    Only the active stage has a rate: items processed since it began. Stages before
+    it are done, later ones pending with unknown remainder.
+    """
+    now = F.col(position) == F.col(active)
+    status = F.when(F.col(position) < F.col(active), "done").when(now, "active").otherwise("pending")
+    left = F.when(F.col(position) < F.col(active), F.lit(0).cast("long")).when(now, F.col(waiting))
+    rate = F.when(now & (F.col(processed) > 0), F.col(processed) / F.when(F.col(elapsed_s) > 0, F.col(elapsed_s)) * 3600)
+    return stages.withColumns({"status": status, "remaining": left, "rate_per_hour": rate}).withColumn(
+        "eta_hours", F.when(now, F.col(waiting) / F.col("rate_per_hour")))
+
+
 def upload_health(attempts: DataFrame, keys: Sequence[str], ts: str, tie: str, ok: str = "ok", bytes_: str = "bytes", seconds: str = "seconds") -> DataFrame:
     """Last attempt, last success, speed of the last successful batch, failures since then."""
     place = F.struct(us(ts).alias("t"), F.col(tie).alias("k"))

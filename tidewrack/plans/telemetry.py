@@ -339,6 +339,18 @@ def drain_status(t: Tables) -> DataFrame:
     return _r(R.drain_status(items, ["state"], "total", "elapsed"), "rate_per_hour", "eta_hours")
 
 
+@query("W12_backlog_stages", """
+WITH q AS (SELECT o_orderpriority AS station, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS position, length(o_orderpriority) % 3 AS active, COUNT(*) AS waiting, CAST(SUM(o_custkey % 3) AS BIGINT) AS processed FROM orders GROUP BY 1, 2, 3)
+SELECT station, position, CASE WHEN position < active THEN 'done' WHEN position = active THEN 'active' ELSE 'pending' END AS status, CASE WHEN position < active THEN 0 WHEN position = active THEN waiting END AS remaining,
+  CASE WHEN position = active THEN round(processed / 7200.0::DOUBLE * 3600, 6) END AS rate_per_hour, CASE WHEN position = active THEN round(waiting / (processed / 7200.0::DOUBLE * 3600), 6) END AS eta_hours FROM q""")
+def backlog_stages(t: Tables) -> DataFrame:
+    place = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
+    stages = t.orders.groupBy(F.col("o_orderpriority").alias("station"), place.alias("position"), (F.length("o_orderpriority") % 3).alias("active")).agg(
+        F.count(F.lit(1)).alias("waiting"), F.sum(F.col("o_custkey") % 3).alias("processed")).withColumn("elapsed_s", F.lit(7200.0))
+    out = R.backlog_stages(stages).select("station", "position", "status", "remaining", "rate_per_hour", "eta_hours")
+    return _r(out, "rate_per_hour", "eta_hours")
+
+
 @query("W13_upload_health", """
 WITH a AS (SELECT station, crop_id, epoch_us(ts) AS t, crop_id % 5 < 2 AS ok, crop_id * 17 % 9000 AS bytes, CASE WHEN crop_id % 10 = 0 THEN 0.0::DOUBLE ELSE crop_id % 9 + 0.5::DOUBLE END AS seconds FROM v_crop_event),
 g AS (SELECT station, arg_max(ok, (t, crop_id)) AS last_ok, MAX(t) AS last_attempt_us, MAX(t) FILTER (WHERE ok) AS last_success_us,

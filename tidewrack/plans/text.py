@@ -202,6 +202,21 @@ def to_labelchecker(t: Tables) -> DataFrame:
     return C.to_labelchecker(log, with_uuid=False)
 
 
+_CROP_LC_SQL = {
+    "Name": "'run'", "ImageFilename": "CAST(crop_id AS STRING) || '.png'", "ImageW": "x1 - x0", "ImageH": "y1 - y0", "FilledArea": "(y1 - y0) * 5",
+    "AbdArea": "(x1 - x0) * (y1 - y0)", "CircleFit": "round(peak / 2, 6)", "SurfaceAreaMS": "peak",
+}
+
+
+@query("P17_to_labelchecker_crops", "SELECT " + ", ".join(
+    f"{_CROP_LC_SQL.get(c, 'CAST(NULL AS VARCHAR)')} AS \"{c}\"" for c in [*C.LABELCHECKER_COLUMNS, "SurfaceAreaMS"]) + " FROM v_pred")
+def to_labelchecker_crops(t: Tables) -> DataFrame:
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    log = t.v_pred.select(F.lit("run").alias("folder"), F.concat(F.col("crop_id"), F.lit(".png")).alias("image_name"), w.alias("crop_width"), h.alias("crop_height"),
+                          (h * 5).alias("region_size_pixels"), F.round(F.col("peak") / 2, 6).alias("region_mean_intensity"), F.col("peak").alias("region_max_intensity"))
+    return C.to_labelchecker(log, C.CROP_LOG_MAPPING, with_uuid=False)
+
+
 @query("P18_renumber", """
 WITH n AS (SELECT p_partkey, p_partkey + 250 AS n FROM part WHERE p_partkey % 9 = 0)
 SELECT p_partkey, 'img_' || lpad(CAST(n AS STRING), CAST((SELECT MAX(length(CAST(n AS STRING))) FROM n) AS INT), '0') || '.png' AS new_name FROM n""")
