@@ -30,8 +30,9 @@ def curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), parts
     rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     y = F.col(label).cast("int")
     table = rows.groupBy(*keys, F.col(score).alias("threshold")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    totals = rows.groupBy(*keys).agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n")).filter((F.col("p") > 0) & (F.col("n") > 0))
     table = running_totals(table, keys, [F.col("threshold").desc()], {"tp": "pos", "fp": "neg"}, parts)
+    # from the stored table of distinct scores, not from the rows again
+    totals = table.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).filter((F.col("p") > 0) & (F.col("n") > 0))
     return _join(table, totals, keys)
 
 
