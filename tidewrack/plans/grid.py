@@ -69,18 +69,23 @@ kept AS (SELECT r.* FROM ranked r WHERE (r.frame_id, r.k) IN (
   SELECT (frame_id, u.k) FROM (SELECT frame_id, unnest(acc) AS u FROM walk w WHERE w.k = (SELECT MAX(k) FROM walk z WHERE z.frame_id = w.frame_id))))"""
 
 
+def _mean_val():
+    """Means of few decimals often end in an exact half; a nudge makes both engines round it the same way."""
+    return F.round(F.col("mean_val") + 1e-10, 6)
+
+
 def _cells(t: Tables) -> DataFrame:
     return G.patch_map(t.v_tile_score, **MAP)
 
 
 @query("FLAG_detect", CAND + NMS_SQL.format(iou=0.3, cap=5) + """
 SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY peak_val DESC, peak_order) - 1 AS crop_id,
-       crop_y0, crop_x0, crop_y1, crop_x1, region_size_points, round(peak_val, 6) AS peak_val, round(mean_val, 6) AS mean_val,
+       crop_y0, crop_x0, crop_y1, crop_x1, region_size_points, round(peak_val, 6) AS peak_val, round(mean_val + 1e-10, 6) AS mean_val,
        region_size_points * 282.0::DOUBLE * 282 AS region_size_pixels,
        round(region_size_points * 282.0::DOUBLE * 282 * (91.0::DOUBLE / 4512) * (91.0::DOUBLE / 4512), 4) AS region_size_mm2 FROM kept""")
 def detect(t: Tables) -> DataFrame:
     found = G.detect(t.v_tile_score, **MAP, **CUT, upscale=UP)
-    return found.withColumns({"peak_val": F.round("peak_val", 6), "mean_val": F.round("mean_val", 6), "region_size_mm2": F.round("region_size_mm2", 4)})
+    return found.withColumns({"peak_val": F.round("peak_val", 6), "mean_val": _mean_val(), "region_size_mm2": F.round("region_size_mm2", 4)})
 
 
 @query("G1_tile_grid", """
@@ -143,12 +148,12 @@ def regions(t: Tables) -> DataFrame:
     return G.regions(_cells(t), CUT["secondary"], size=16).select("frame_id", "r", "c", "region")
 
 
-BOX_OUT = "crop_y0, crop_x0, crop_y1, crop_x1, region_size_points, round(mean_val, 6) AS mean_val, round(peak_val, 6) AS peak_val"
+BOX_OUT = "crop_y0, crop_x0, crop_y1, crop_x1, region_size_points, round(mean_val + 1e-10, 6) AS mean_val, round(peak_val, 6) AS peak_val"
 
 
 def _box_out(df: DataFrame) -> DataFrame:
     return df.select("frame_id", "peak_order", "crop_y0", "crop_x0", "crop_y1", "crop_x1", "region_size_points",
-                     F.round("mean_val", 6).alias("mean_val"), F.round("peak_val", 6).alias("peak_val"))
+                     _mean_val().alias("mean_val"), F.round("peak_val", 6).alias("peak_val"))
 
 
 @query("G6_candidates", CAND + f" SELECT frame_id, peak_order, {BOX_OUT} FROM boxed")
@@ -168,12 +173,12 @@ def candidates_per_peak(t: Tables) -> DataFrame:
 
 
 @query("G7_robust_regions", f"""WITH RECURSIVE {REACH.format(level=0.5, near="abs(a.r - b.r) + abs(a.c - b.c) <= 1")}
-SELECT frame_id, region, COUNT(*) AS region_size_points, round(AVG(score), 6) AS mean_val, COUNT(*) FILTER (WHERE score >= 0.6) AS core_cells
+SELECT frame_id, region, COUNT(*) AS region_size_points, round(AVG(score) + 1e-10, 6) AS mean_val, COUNT(*) FILTER (WHERE score >= 0.6) AS core_cells
 FROM reg GROUP BY frame_id, region
 HAVING MAX(score) >= 0.7 AND COUNT(*) >= 9 AND AVG(score) >= 0.55 AND COUNT(*) FILTER (WHERE score >= 0.6) >= 4""")
 def robust_regions(t: Tables) -> DataFrame:
     out = G.robust_regions(_cells(t), peak=0.7, secondary=0.5, min_size=9, min_mean=0.55, core=0.6, min_core=4, size=16)
-    return out.select("frame_id", "region", "region_size_points", F.round("mean_val", 6).alias("mean_val"), "core_cells")
+    return out.select("frame_id", "region", "region_size_points", _mean_val().alias("mean_val"), "core_cells")
 
 
 PRED_BOXED = """WITH RECURSIVE boxed AS (SELECT image_id AS frame_id, crop_id AS peak_order, peak AS peak_val, y0 AS crop_y0, x0 AS crop_x0,
