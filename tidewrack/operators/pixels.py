@@ -28,7 +28,7 @@ def numbered(frames: DataFrame, site: str, order: str) -> DataFrame:
 
 
 def ema_background(frames: DataFrame, alpha: float, top: float, site: str = "site", order: str = "frame_id", px: str = "px",
-                   chunk: int = 1024, block: int | None = None) -> DataFrame:
+                   chunk: int = 256, block: int | None = None) -> DataFrame:
     """Running background bg = alpha*f + (1-alpha)*bg per pixel, seeded by the first frame, and the frame minus the
     updated background, clipped to [0, top] and cut to whole numbers. Returns site, order, i, bg, corrected.
 
