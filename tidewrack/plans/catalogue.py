@@ -41,9 +41,9 @@ def pair_items(t: Tables) -> DataFrame:
 
 
 @query("J4_find_originals", """
-SELECT i.doc_id, MIN(c.class_label) AS species FROM v_crop_event c JOIN v_file i ON i.doc_id = c.crop_id % 700 WHERE i.folder = 'en' GROUP BY i.doc_id""")
+SELECT i.doc_id, MIN(c.class_label) AS species FROM v_crop_event c JOIN v_file i ON i.doc_id = c.crop_id // 10 WHERE i.folder = 'en' GROUP BY i.doc_id""")
 def find_originals(t: Tables) -> DataFrame:
-    crops = t.v_crop_event.select(F.concat(F.lit("img_"), F.col("crop_id") % 700, F.lit("_crop_00123")).alias("stem"), F.col("class_label").alias("species"))
+    crops = t.v_crop_event.select(F.concat(F.lit("img_"), F.floor(F.col("crop_id") / 10), F.lit("_crop_00123")).alias("stem"), F.col("class_label").alias("species"))
     originals = t.v_file.filter("folder = 'en'").select("doc_id", F.concat(F.lit("img_"), F.col("doc_id")).alias("original"))
     found = J.find_originals(crops, originals)
     return found.join(originals, "original").select("doc_id", "species")

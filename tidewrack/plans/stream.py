@@ -119,7 +119,7 @@ _SQL["R8_stream_detect"] = with_views(CAND + NMS_SQL.format(iou=0.3, cap=5) + ""
 @query("R8_stream_detect")
 def stream_detect(t: Tables) -> DataFrame:
     path = _dir(t, "crops")
-    source = _stream(t, t.v_tile_score.coalesce(1))
+    source = _stream(t, t.v_tile_score.repartition("frame_id"))
     B.stream_detect(source, path, _dir(t, "state"), **MAP, **CUT, upscale=UP).awaitTermination()
     return t.spark.read.parquet(path).select("frame_id", "crop_y0", "crop_x0", "crop_y1", "crop_x1", F.round("peak_val", 6).alias("peak_val"))
 
@@ -155,9 +155,9 @@ def read_labelme(t: Tables) -> DataFrame:
     path = _dir(t, "annotations")
     point = lambda x, y: F.array(F.col(x).cast("double"), F.col(y).cast("double"))
     shape = F.struct(F.col("image_id").cast("string").alias("label"), F.lit("rectangle").alias("shape_type"), F.array(point("x0", "y0"), point("x1", "y1")).alias("points"))
-    # the reader takes one document per file; here each task writes one document with the shapes of its images
-    docs = t.v_manual.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(32)).alias("d")).agg(F.collect_list(shape).alias("shapes"))
-    docs.repartition(32, "d").select(F.to_json(F.struct("shapes")).alias("value"), "d").write.partitionBy("d").text(path)
+    # the reader takes one document per file: one per run of 200 images
+    docs = t.v_manual.groupBy(F.floor(F.col("image_id") / 200).alias("d")).agg(F.collect_list(shape).alias("shapes"))
+    docs.repartition("d").select(F.to_json(F.struct("shapes")).alias("value"), "d").write.partitionBy("d").text(path)
     shapes = S.read_labelme(t.spark, path)
     return shapes.groupBy(F.col("label").cast("long").alias("image_id")).agg(
         F.count(F.lit(1)).alias("shapes"), F.sum(F.col("points")[0][0]).cast("long").alias("x_sum"), F.sum(F.col("points")[1][1]).cast("long").alias("y_sum"))
