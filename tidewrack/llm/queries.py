@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import bpe, token_counts, token_files
+from tidewrack.llm import bpe, line_dedup, near_dedup, token_counts, token_files
 from tidewrack.llm.common import read_table
 from tidewrack.session import prepare
 
@@ -49,3 +49,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     blocks, freq = token_files.write_token_files(read_table(spark, folder, "documents"))
     return token_files.read_token_files(blocks, freq)
+
+
+@query("op7_near_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, folder, "documents"), similarity=85)
+
+
+@query("op9_line_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, folder, "documents"))
