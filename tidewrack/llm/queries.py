@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import bpe, line_dedup, near_dedup, token_counts, token_files
+from tidewrack.llm import bpe, line_dedup, near_dedup, quality, token_counts, token_files
 from tidewrack.llm.common import read_table
 from tidewrack.session import prepare
 
@@ -59,3 +59,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_line_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(read_table(spark, folder, "documents"))
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality.assess(read_table(spark, folder, "documents"))
+    return rows.select("doc_id", *quality.BASE, "base_failed", "kept", F.round("distance2", 3).alias("distance2"))
