@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import bpe, line_dedup, near_dedup, quality, token_counts, token_files
+from tidewrack.llm import bpe, line_dedup, near_dedup, quality, token_counts, token_files, toxicity
 from tidewrack.llm.common import read_table
 from tidewrack.session import prepare
 
@@ -65,3 +65,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.assess(read_table(spark, folder, "documents"))
     return rows.select("doc_id", *quality.BASE, "base_failed", "kept", F.round("distance2", 3).alias("distance2"))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.learn(docs, read_table(spark, folder, "labels")))
