@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import bpe, line_dedup, near_dedup, quality, token_counts, token_files, toxicity
+from tidewrack.llm import bpe, line_dedup, near_dedup, quality, token_counts, token_files, toxicity, warc
 from tidewrack.llm.common import read_table
 from tidewrack.session import prepare
 
@@ -71,3 +71,15 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.learn(docs, read_table(spark, folder, "labels")))
+
+
+@query("op4_warc", """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT payload_digest, min(page_id) AS first_id, count(*) AS n FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+    SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN n > 1 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n > 1 AND page_id <> first_id THEN first_id END AS refers_to
+    FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    files = warc.write_warc(read_table(spark, folder, "pages"))
+    return warc.read_warc(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
