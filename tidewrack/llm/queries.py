@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import bpe, line_dedup, near_dedup, quality, token_counts, token_files, toxicity, warc
+from tidewrack.llm import bpe, chat, decontaminate, line_dedup, near_dedup, quality, token_counts, token_files, toxicity, warc
 from tidewrack.llm.common import read_table
 from tidewrack.session import prepare
 
@@ -83,3 +83,37 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     files = warc.write_warc(read_table(spark, folder, "pages"))
     return warc.read_warc(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_decontamination")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+#: A conversation whose texts hold the template's own marks, an escape before them.
+MARKS_WITHIN = "\\### Assistant: </turn> ok"
+
+
+@query("op3_chat_format", """
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+    ), g AS (
+        SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+            coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (lower(role) = 'assistant'), '') AS loss,
+            sum(CASE WHEN contains(text, '\\') OR contains(text, '###') OR contains(text, '</turn>')
+                     THEN length(text) + length(regexp_replace(text, '[^\\\\#<]', '', 'g')) ELSE length(text) END + length(role) + 14) AS formatted_chars
+        FROM t GROUP BY conv_id
+    )
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", MARKS_WITHIN), (-7, 1, "assistant", MARKS_WITHIN)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(rows.unionByName(extra))
+    back = chat.read_back(formatted).select("conv_id", "turns", "loss_text")
+    both = formatted.select("conv_id", "n_turns", F.char_length("formatted").cast("long").alias("formatted_chars")).join(back, "conv_id")
+    return both.select(
+        "conv_id", "n_turns", F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
