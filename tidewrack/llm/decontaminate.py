@@ -35,12 +35,12 @@ UNITS = "mm|cm|m|km|inch|inches|feet|foot|yard|yards|mile|miles|g|kg|mg|lb|lbs|p
 
 def _marked(text: Column) -> Column:
     """Text with a mark before each placeholder's value."""
-    text = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "   ")
-    text = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:)] )(\p{Lu}[\p{L}\p{N}]*+)", NAME + "$1")
-    # Texts without digits have no numbers and no units.
-    counted = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}{NAME}.,])(\d++(?:[.,]\d++)*+)", f" {NUMBER}$1 ")
+    plain = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "   ")
+    named = F.regexp_replace(plain, r"(?<=[\p{L}\p{N},;:)] )(\p{Lu}[\p{L}\p{N}]*+)", NAME + "$1")
+    counted = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}.,])(\d++(?:[.,]\d++)*+)", f" {NUMBER}$1 ")
     counted = F.regexp_replace(counted, rf"(?i)({NUMBER}[\d.,]++ {{1,2}})({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
-    return F.when(text.rlike(r"\d"), counted).otherwise(text)
+    # Texts without digits have no numbers and no units.
+    return F.when(text.rlike(r"[0-9]"), counted).otherwise(named)
 
 
 def words(text: Column) -> Column:
@@ -53,8 +53,12 @@ def blind(found: Column) -> Column:
     return F.transform(found, lambda w: F.when(w.substr(1, 1).isin(NUMBER, NAME, UNIT), w.substr(1, 1)).otherwise(w))
 
 
-def windows(canonical: Column, stride: int) -> Column:
-    """Hashes of the windows at every ``stride``-th place."""
+def windows(name: str, stride: int) -> Column:
+    """Hashes of the windows at every ``stride``-th place of a column of canonical words.
+
+    It is a column, not an expression, since the function below is evaluated for every window.
+    """
+    canonical = F.col(name)
     last = F.size(canonical) - WINDOW
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)), lambda i: F.xxhash64(F.slice(canonical, i + 1, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
 
@@ -63,7 +67,7 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
     """(h, item, q, n_item_windows, item_slots): usable windows of each distinct template."""
     items = benchmark.select(F.col(item_id).alias("item"), words(F.col(text)).alias("words")).withColumn("template", blind(F.col("words")))
     one = items.groupBy("template").agg(F.min_by("words", F.struct(F.col("item").isNull(), "item", "words")).alias("words"), F.min("item").alias("item"))
-    placed = one.select("item", "words", "template", F.posexplode(windows(F.col("template"), 1)).alias("q", "h"))
+    placed = one.select("item", "words", "template", F.posexplode(windows("template", 1)).alias("q", "h"))
     literals = F.size(F.filter(F.slice("template", F.col("q") + 1, WINDOW), lambda w: ~w.isin(NUMBER, NAME, UNIT)))
     usable = placed.where(literals >= LITERALS).select("h", "item", "q", F.slice("words", F.col("q") + 1, WINDOW).alias("item_words"), F.xxhash64("template").alias("template"))
     sizes = usable.groupBy("template").agg(F.count(F.lit(1)).alias("n_item_windows"))
@@ -77,11 +81,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     """
     items = durable(item_windows(benchmark))
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    seeds = slim.select("doc_id", F.xxhash64("text").alias("th"), F.explode(windows(blind(words(F.col("text"))), STRIDE)).alias("h"))
+    seeds = slim.select("doc_id", F.xxhash64("text").alias("th"), blind(words(F.col("text"))).alias("template")).select("doc_id", "th", F.explode(windows("template", STRIDE)).alias("h"))
     found = durable(seeds.join(items.select("h").distinct(), "h", "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
     hit = slim.withColumn("th", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("doc_id", "th", "text").distinct()
-    hit = hit.select("doc_id", "th", words(F.col("text")).alias("words"))
-    placed = hit.select("doc_id", "th", "words", F.posexplode(windows(blind(F.col("words")), 1)).alias("p", "h"))
+    hit = hit.select("doc_id", "th", words(F.col("text")).alias("words")).withColumn("blind_words", blind(F.col("words")))
+    placed = hit.select("doc_id", "th", "words", F.posexplode(windows("blind_words", 1)).alias("p", "h"))
     met = durable(
         placed.join(items, "h")
         .select("doc_id", "th", "template", "item", "q", "n_item_windows", (F.col("p") - F.col("q")).alias("shift"), F.slice("words", F.col("p") + 1, WINDOW).alias("doc_words"), "item_words")
@@ -109,4 +113,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` that no item contaminates."""
     gone = durable(matches(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left_anti")
+    packed = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text"))
+    return packed.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_anti").select("_row.*")

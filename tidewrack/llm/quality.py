@@ -273,12 +273,13 @@ def judged(stats: DataFrame, found: DataFrame) -> DataFrame:
 
 def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """doc_id, the base counts, base_failed, distance2 and kept of every row."""
-    stats = durable(with_statistics(docs.select(doc_id, text, lang, source), text, lang, source).select(doc_id, "_g", "_s"))
-    return judged(stats, models(stats)).select(doc_id, *[f"_s.{n}" for n in BASE], "_s.base_failed", "distance2", "kept")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    stats = durable(with_statistics(slim, "text", "lang", "source").select("doc_id", "_g", "_s"))
+    return judged(stats, models(stats)).select("doc_id", *[f"_s.{n}" for n in BASE], "_s.base_failed", "distance2", "kept")
 
 
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Rows of ``docs`` that are kept, with their columns."""
-    stats = durable(with_statistics(docs.select(text, lang, source), text, lang, source).select("_g", "_s"))
-    again = with_statistics(docs, text, lang, source)
-    return judged(again, models(stats)).where("kept").select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    stats = durable(with_statistics(packed.drop("_row"), "text", "lang", "source").select("_g", "_s"))
+    return judged(with_statistics(packed, "text", "lang", "source"), models(stats)).where("kept").select("_row.*")

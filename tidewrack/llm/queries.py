@@ -15,9 +15,15 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Session settings, and Arrow batches that hold some megabytes of text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return prepare(spark)
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
-        _QUERIES[name] = lambda spark, folder: fn(prepare(spark), folder)
+        _QUERIES[name] = lambda spark, folder: fn(ready(spark), folder)
         if sql is not None:
             _SQL[name] = sql
         return fn
@@ -26,7 +32,11 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict, dict]:
-    return dict(_QUERIES), dict(_SQL)
+    """Queries and SQL of the operators and of the pipeline, which belongs to this package."""
+    import corpus_pipeline
+
+    queries = dict(_QUERIES) | {"pipeline": corpus_pipeline.run}
+    return queries, dict(_SQL) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 @query("op1_token_counts")
@@ -102,7 +112,7 @@ MARKS_WITHIN = "\\### Assistant: </turn> ok"
         SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (lower(role) = 'assistant'), '') AS loss,
             sum(CASE WHEN contains(text, '\\') OR contains(text, '###') OR contains(text, '</turn>')
-                     THEN length(text) + length(regexp_replace(text, '[^\\\\#<]', '', 'g')) ELSE length(text) END + length(role) + 14) AS formatted_chars
+                     THEN length(text) + length(regexp_replace(text, '[^\\\\#/]', '', 'g')) ELSE length(text) END + length(role) + 14) AS formatted_chars
         FROM t GROUP BY conv_id
     )
     SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
