@@ -5,7 +5,7 @@ parser splits at the end marks, takes the role up to the first ": " and undoes
 escapes; it takes no turn whose body shows a control string. A turn is first
 written as it is and parsed again alone; where that does not give role and text
 back, it is written with escapes (a backslash before each backslash, #, / and, in
-roles, colon). Then the whole conversation is parsed and held against its source;
+roles, colon and blank). Then the whole conversation is parsed and held against its source;
 one that differs is written with escapes throughout, and one that would still differ
 raises. Turns that need no escape stay readable.
 
@@ -27,7 +27,7 @@ ASSISTANT = "assistant"
 
 
 def escaped(text: Column, role: bool = False) -> Column:
-    return F.regexp_replace(text, r"([\\#/:])" if role else r"([\\#/])", r"\\$1")
+    return F.regexp_replace(text, r"([\\#/: ])" if role else r"([\\#/])", r"\\$1")
 
 
 def unescaped(text: Column) -> Column:
