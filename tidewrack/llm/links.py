@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.common import durable
 
-#: Nodes of a block where the rest of a key is compared block by block.
-BLOCK = 512
+#: Pivots of a round, nodes of a block where the rest of a key is compared block by block, low bits of a key that number its slot.
+PIVOTS, BLOCK, SLOT_BITS = 4, 512, 10
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -68,39 +68,65 @@ def in_blocks(rows: DataFrame, key: str, size: str, most: int, salt: str) -> Dat
     return dealt.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other", "blocks")
 
 
-def link_nodes(nodes: DataFrame, keys: DataFrame, contents: Callable[[DataFrame], DataFrame], confirm: Callable, radius: int, kind: str) -> DataFrame:
-    """(id, root) of nodes linked to another one: pairs that share a key, lie within ``radius`` and are confirmed.
+def link_nodes(nodes: DataFrame, keys: DataFrame, contents: Callable[[DataFrame], DataFrame], confirm: Callable, near: tuple[str, str, int], owner: tuple[str, Callable]) -> DataFrame:
+    """(id, root) of nodes linked to another one: pairs that share a key, lie near each other and are confirmed.
 
-    ``nodes``: node, sig (binary: components of numpy type ``kind``, or "bits"; the distance is the number of different ones).
-    ``keys``: (key, node). ``contents`` gives (node, content) of a table of nodes, ``confirm`` decides on two contents.
+    ``nodes``: node and its signatures. ``keys``: (key, node); the last ``SLOT_BITS`` bits of a key are its slot.
+    ``near``: column, kind and radius of the signature that the distance (number of different components) is taken on; a kind is
+    a numpy type, or "bits". ``owner``: kind of ``sig`` and a function from equal components [pair, component] to the first slot
+    whose key a pair shares. ``contents`` gives (node, content) of a table of nodes, ``confirm`` decides on two contents.
 
-    A key's nodes are never written as all pairs. Each meets the key's smallest node; then, where groups still differ,
-    three other pivots; keys whose nodes then still differ are compared in pairs of blocks, and only nodes of
-    different groups within the radius leave a block. So the links found make the same groups as all links would.
+    A key's nodes are never written as all pairs. Each meets the node of the key that shares most keys with others; where groups
+    still differ, ``PIVOTS`` other pivots, twice; keys whose nodes then still differ are compared in pairs of blocks, and
+    only nodes of different groups within the radius leave a block, and only from the first key they share. So the links found make
+    the same groups as all links would.
     """
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    members = durable(keys.join(shared, "key").select("key", "n", "pivot", "node"))
-    first = durable(_near(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes, radius, kind))
-    orders = [F.xxhash64(F.lit(k), "node") for k in (1, 2, 3)]
-    larger = members.where("n > 2").select("key", "node", "n")
-    others = larger.groupBy("key").agg(*[F.min_by("node", o).alias(f"p{k}") for k, o in enumerate(orders)])
-    met = larger.join(others, "key")
-    pairs = reduce(DataFrame.unionAll, [met.where(f"node <> p{k}").select(F.least(f"p{k}", "node").alias("a"), F.greatest(f"p{k}", "node").alias("b")) for k in range(len(orders))]).distinct()
-    second = durable(_near(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), nodes, radius, kind))
-    both = first.unionAll(second)
-    content = durable(contents(both.select(F.col("a").alias("node")).unionAll(both.select(F.col("b").alias("node"))).distinct()))
-    links = durable(_confirmed(first, content, confirm))
-    groups = components(links)
-    links = links.unionAll(durable(_confirmed(_apart(second, groups), content, confirm)))
-    groups = components(links)
-    named = relabelled(larger.where(f"n > {len(orders) + 1}"), groups, "node")
-    several = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    third = durable(_across(named.join(several, "key").join(nodes.select("node", "sig"), "node"), radius, kind).distinct())
-    if third.isEmpty():
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = durable(keys.join(shared, "key").select("key", "n", "node"))
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    central = members.join(degree, "node").select("key", "node", (F.col("degree") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("order"))
+    tops = central.groupBy("key").agg(F.max_by("node", "order").alias("p0"))
+    first = _pivot_pairs(members.withColumn("root", F.col("node")), tops.withColumn("r0", F.col("p0")), 1)
+    links = content = groups = None
+    rest = members
+    for turn in range(3):
+        if turn:
+            rest = durable(_split(rest.where(f"n > {2 if turn == 1 else PIVOTS + 1}"), groups))
+            orders = [F.xxhash64(F.lit(turn * PIVOTS + k), "node") for k in range(PIVOTS)]
+            pivots = rest.groupBy("key").agg(*[F.min_by(c, o).alias(f"{p}{k}") for p, c in (("p", "node"), ("r", "root")) for k, o in enumerate(orders)])
+            first = _pivot_pairs(rest, pivots, PIVOTS)
+        content, links = _judge(durable(_near(first, nodes, near)), content, links, contents, confirm)
+        groups = components(links)
+    rest = durable(_split(rest.where(f"n > {PIVOTS + 1}"), groups).join(nodes.select("node", "sig", F.col(near[0]).alias("sketch")), "node"))
+    last = durable(_across(rest, near, owner))
+    if last.isEmpty():
         return groups
-    new = third.select(F.col("a").alias("node")).unionAll(third.select(F.col("b").alias("node"))).distinct().join(content.select("node"), "node", "left_anti")
-    content = content.unionAll(durable(contents(new)))
-    return components(links.unionAll(durable(_confirmed(third, content, confirm))))
+    return components(_judge(last, content, links, contents, confirm)[1])
+
+
+def _pivot_pairs(rows: DataFrame, pivots: DataFrame, count: int) -> DataFrame:
+    """Each row's node with the pivots of its key (p0, ..., of roots r0, ...) that are in another group."""
+    met = rows.join(pivots, "key")
+    return reduce(DataFrame.unionAll, [met.where(f"root <> r{k}").select(F.least(f"p{k}", "node").alias("a"), F.greatest(f"p{k}", "node").alias("b")) for k in range(count)]).distinct()
+
+
+def _split(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of keys whose nodes are not all in one group, with their ``root``."""
+    named = relabelled(rows.select("key", "n", "node"), groups, "node")
+    several = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    return named.join(several, "key")
+
+
+def _judge(pairs: DataFrame, content: DataFrame | None, links: DataFrame | None, contents: Callable, confirm: Callable) -> tuple[DataFrame, DataFrame]:
+    """Contents and links with those of further pairs."""
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    if content is None:
+        content = durable(contents(wanted))
+    else:
+        new = durable(wanted.join(content.select("node"), "node", "left_anti"))
+        content = content if new.isEmpty() else content.unionAll(durable(contents(new)))
+    found = durable(_confirmed(pairs, content, confirm))
+    return content, found if links is None else links.unionAll(found)
 
 
 def _sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -114,8 +140,9 @@ def _parts(sigs: list[bytes], kind: str) -> np.ndarray:
     return np.unpackbits(flat, axis=1) if kind == "bits" else flat
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, radius: int, kind: str) -> DataFrame:
+def _near(pairs: DataFrame, nodes: DataFrame, near: tuple[str, str, int]) -> DataFrame:
     """Pairs within the radius."""
+    column, kind, radius = near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,14 +150,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, radius: int, kind: str) -> DataFra
                 x, y = (_parts(batch.column(k).to_pylist(), kind) for k in (2, 3))
                 yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= radius))
 
-    return _sides(pairs, nodes, "sig").mapInArrow(run, "a long, b long")
-
-
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one group yet."""
-    a, b = (groups.select(F.col("id").alias(n), F.col("root").alias(f"root_{n}")) for n in ("a", "b"))
-    named = pairs.join(a, "a", "left").join(b, "b", "left")
-    return named.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    return _sides(pairs, nodes, column).mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, content: DataFrame, confirm: Callable) -> DataFrame:
@@ -144,25 +164,29 @@ def _confirmed(pairs: DataFrame, content: DataFrame, confirm: Callable) -> DataF
     return _sides(pairs, content, "content").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, radius: int, kind: str) -> DataFrame:
-    """Pairs of different groups within the radius that share a key, compared block by block."""
+def _across(rows: DataFrame, near: tuple[str, str, int], owner: tuple[str, Callable]) -> DataFrame:
+    """Pairs of different groups within the radius that share a key, each once, compared block by block."""
+    _, kind, radius = near
+    own_kind, first_slot = owner
 
     def run(key, table):
         """``table`` holds two blocks at most."""
         found = [pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})]
         node, root, own = (table.column(n).to_numpy() for n in ("node", "root", "own"))
-        sig = _parts(table.column("sig").to_pylist(), kind)
-        same = key[1] == key[2]
+        sketch, sig = _parts(table.column("sketch").to_pylist(), kind), _parts(table.column("sig").to_pylist(), own_kind)
+        same, slot = key[1] == key[2], key[0].as_py() & ((1 << SLOT_BITS) - 1)
         left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
-        for s in range(0, len(left), 64):
-            part = left[s:s + 64]
-            near = ((sig[part][:, None, :] != sig[right][None, :, :]).sum(axis=2) <= radius) & (root[part][:, None] != root[right][None, :])
+        for s in range(0, len(left), 32):
+            part = left[s:s + 32]
+            close = ((sketch[part][:, None, :] != sketch[right][None, :, :]).sum(axis=2) <= radius) & (root[part][:, None] != root[right][None, :])
             if same:
-                near &= node[part][:, None] < node[right][None, :]
-            i, j = np.nonzero(near)
-            a, b = node[part[i]], node[right[j]]
+                close &= node[part][:, None] < node[right][None, :]
+            i, j = np.nonzero(close)
+            i, j = part[i], right[j]
+            mine = first_slot(sig[i] == sig[j]) == slot
+            a, b = node[i[mine]], node[j[mine]]
             found.append(pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
         return pa.concat_tables(found)
 
-    dealt = in_blocks(rows, "key", "n", BLOCK, "node").select("key", "bi", "bj", "own", "node", "root", "sig")
+    dealt = in_blocks(rows, "key", "n", BLOCK, "node").select("key", "bi", "bj", "own", "node", "root", "sketch", "sig")
     return dealt.groupBy("key", "bi", "bj").applyInArrow(run, "a long, b long")

@@ -1,13 +1,14 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures.
 
-A document is its set of distinct five-word shingles. Its signature has 64
+A document is its set of distinct five-word shingles. Its key signature has 64
 components of 16 bits; two documents of similarity s differ in a component with
 probability near 1 - s. The signature is split into chunks. If two signatures
 differ in no more than 2 * chunks - 1 components, then by pigeonhole some chunk
 has one error at most, and both write the same key when the wrong component is
 masked: each chunk is written once for every component left out. So every pair
 within the distance shares a key. The number of chunks is chosen so that a pair
-of the least similarity is farther apart with probability ``MISS`` at most.
+of the least similarity is farther apart with probability ``MISS`` at most. Of pairs that
+share a key, those within the likewise chosen distance of 256 components go on.
 
 Equal sets are one node from the start. How the nodes of a key are compared without
 all pairs is in ``links.link_nodes``; each link is confirmed on the full shingle sets
@@ -31,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import durable
-from tidewrack.llm.links import link_nodes, relabelled
+from tidewrack.llm.links import SLOT_BITS, link_nodes, relabelled
 
-WORDS, COMPONENTS, MISS = 5, 64, 1e-5
-#: Words whose hashes a task keeps.
-KEPT_WORDS = 400_000
-_MULTIPLY = np.random.default_rng(20240501).integers(1 << 62, 1 << 63, 2 * COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WORDS, COMPONENTS, SKETCH, MISS = 5, 64, 256, 1e-5
+#: Words whose hashes a task keeps, and more components than a chunk has.
+KEPT_WORDS, LONGEST = 400_000, 32
+_MULTIPLY = np.random.default_rng(20240501).integers(1 << 62, 1 << 63, SKETCH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD_HASH: dict[bytes, int] = {}
 
 
@@ -72,11 +73,11 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def signature(found: np.ndarray, count: int = COMPONENTS) -> np.ndarray:
+def signature(found: np.ndarray, count: int = SKETCH) -> np.ndarray:
     """b-bit MinHash: 16 bits of the least value under each of ``count`` hash functions."""
     least = np.full(count, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for a in range(0, len(found), 4096):
-        np.minimum(least, (found[None, a:a + 4096] * _MULTIPLY[:count, None]).min(axis=1), out=least)
+    for a in range(0, len(found), 1024):  # small enough for the processor's cache
+        np.minimum(least, (found[None, a:a + 1024] * _MULTIPLY[:count, None]).min(axis=1), out=least)
     return (_mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -89,26 +90,56 @@ def chunk_count(similarity: float, count: int = COMPONENTS, miss: float = MISS)
     return count // 2
 
 
+def tail_distance(similarity: float, count: int = SKETCH, miss: float = MISS) -> int:
+    """Distance of ``count`` components that a pair of that similarity exceeds with probability ``miss`` at most."""
+    p, left = 1 - similarity, 1.0
+    for k in range(count + 1):
+        left -= comb(count, k) * p**k * (1 - p) ** (count - k)
+        if left <= miss:
+            return k
+    return count
+
+
+def first_slot(equal: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The first key two signatures share: chunk and component left out (the first one where the chunks are equal)."""
+    out = np.full(len(equal), -1, dtype=np.int64)
+    for c in range(len(bounds) - 2, -1, -1):
+        part = equal[:, bounds[c]:bounds[c + 1]]
+        shares = part.sum(axis=1) >= part.shape[1] - 1
+        wrong = np.where(part.all(axis=1), 0, np.argmin(part, axis=1))
+        out[shares] = c * LONGEST + wrong[shares]
+    return out
+
+
+def chunk_bounds(chunks: int) -> np.ndarray:
+    return np.linspace(0, COMPONENTS, chunks + 1).round().astype(int)
+
+
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (128-bit hash of the set) and sig (binary) of every row; sig is null for an empty set."""
+    """doc_id, n_shingles, h1, h2 (128-bit hash of the set), sig and sketch (binary) of every row; these are null for an empty set.
+
+    ``sig`` holds the 64 components that keys are made of, ``sketch`` 8 bits of each of 256, on which distances are taken.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2, sig = [], [], [], []
+            n, h1, h2, sig, sketch = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingles(t)
                 n.append(len(s))
                 h1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                 h2.append(int(_mix(s ^ _MULTIPLY[-1]).sum(dtype=np.uint64).astype(np.int64)))
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+                full = signature(s) if len(s) else None
+                sig.append(None if full is None else full[:COMPONENTS].tobytes())
+                sketch.append(None if full is None else full.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig", "sketch"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, sketch binary")
 
 
 def chunk_keys(nodes: DataFrame, chunks: int) -> DataFrame:
     """(key, node): for each chunk, one key for each component left out."""
-    bounds = np.linspace(0, COMPONENTS, chunks + 1).round().astype(int)
+    bounds = chunk_bounds(chunks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +151,8 @@ def chunk_keys(nodes: DataFrame, chunks: int) -> DataFrame:
                 part = _mix(sig[:, a:b] + (np.arange(a, b, dtype=np.uint64) << np.uint64(20)) + np.uint64(1 << 40))
                 total = part.sum(axis=1, dtype=np.uint64)
                 for k in range(b - a):
-                    key = _mix(total - part[:, k] + np.uint64((c << 8) + k))
+                    slot = np.uint64(c * LONGEST + k)
+                    key = _mix(total - part[:, k] + slot) << np.uint64(SLOT_BITS) | slot
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], names=["key", "node"])
 
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
@@ -162,11 +194,11 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, doc_id: str = "doc_id
     """
     rows = durable(signatures(docs, doc_id, text))
     linkable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    nodes = durable(linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = durable(linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
     chunks = chunk_count(similarity / 100)
     groups = link_nodes(
-        nodes, chunk_keys(nodes, chunks), radius=2 * chunks - 1, kind="uint16",
-        contents=lambda wanted: node_sets(docs, nodes.drop("sig").join(wanted, "node"), doc_id, text), confirm=partial(similar, similarity=similarity),
+        nodes, chunk_keys(nodes, chunks), near=("sketch", "uint8", tail_distance(similarity / 100)), owner=("uint16", partial(first_slot, bounds=chunk_bounds(chunks))),
+        contents=lambda wanted: node_sets(docs, nodes.drop("sig", "sketch").join(wanted, "node"), doc_id, text), confirm=partial(similar, similarity=similarity),
     )
     named = durable(relabelled(nodes.select("node", "h1", "h2", "doc_id"), groups, "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -174,3 +206,17 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, doc_id: str = "doc_id
     alone = rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = linkable.join(by_set, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def dedup(docs: DataFrame, similarity: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that are kept; of repeated rows of a kept document one stays.
+
+    Only the ids that go and those met several times travel to the texts.
+    """
+    found = durable(near_duplicates(docs, similarity, doc_id, text))
+    gone = durable(found.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct())
+    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col("_id"), "left_anti")
+    if found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    hashed = kept.withColumn("_h", F.xxhash64(text))
+    return hashed.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, "_h"]).unionAll(hashed.where(F.col(doc_id).isNull())).drop("_h")
