@@ -23,6 +23,18 @@ def feed(spark, df, order, path, parts=4):
     return stream_files(spark, path, df.schema, max_files=1)
 
 
+def feed_shuffled(spark, df, path, parts=5, minutes=8):
+    """Rows up to ``minutes`` out of order over several files, then one row that moves the watermark past all."""
+    rows = df.withColumn("_at", F.unix_timestamp("ts") + F.pmod(F.xxhash64("id"), F.lit(minutes * 60))).orderBy("_at").collect()
+    size = -(-len(rows) // parts)
+    for i in range(parts):
+        part = [tuple(r)[:-1] for r in rows[i * size:(i + 1) * size]]
+        random.Random(i).shuffle(part)
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(path)
+    df.limit(1).withColumn("ts", F.lit("2033-01-01").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+    return stream_files(spark, path, df.schema, max_files=1)
+
+
 def drain(spark, stream, tmp_path, name):
     B.to_table(stream, str(tmp_path / name), str(tmp_path / f"{name}-state")).awaitTermination()
     return spark.read.schema(stream.schema).parquet(str(tmp_path / name))
@@ -39,7 +51,7 @@ def samples(spark, n=300):
 
 def test_leak_alerts_over_several_batches(spark, tmp_path):
     df = samples(spark)
-    out = drain(spark, B.stream_leak_alerts(feed(spark, df, "id", str(tmp_path / "in")), ["k"], "id", 2, 3000, 6000), tmp_path, "out")
+    out = drain(spark, B.stream_leak_alerts(feed_shuffled(spark, df, str(tmp_path / "in")), ["k"], "id", 2, 3000, 6000), tmp_path, "out")
     want = S.leak_alerts(df, ["k"], "ts", "id", 2, 3000, 6000)
     got = {(r.k, r.id, r.tier) for r in out.collect()}
     assert got == {(r.k, r.id, r.tier) for r in want.collect()} and {t for _, _, t in got} == {"critical", "warning"}
@@ -47,7 +59,7 @@ def test_leak_alerts_over_several_batches(spark, tmp_path):
 
 def test_stage_alerts_over_several_batches(spark, tmp_path):
     df = samples(spark).withColumn("age_s", F.col("id") * 31 % 60)
-    out = drain(spark, B.stream_stage_alerts(feed(spark, df, "id", str(tmp_path / "in")), ["k"], "id"), tmp_path, "out")
+    out = drain(spark, B.stream_stage_alerts(feed_shuffled(spark, df, str(tmp_path / "in")), ["k"], "id"), tmp_path, "out")
     want = S.stage_alerts(df, ["k"], "ts", "id")
     assert {(r.id, r.event) for r in out.collect()} == {(r.id, r.event) for r in want.collect()}
 
@@ -63,7 +75,8 @@ def test_silent_stage_is_announced_by_a_timer(spark, tmp_path):
 def test_background_state_is_kept_between_batches(spark, tmp_path):
     rnd = random.Random(2)
     df = spark.createDataFrame([(i % 2, i, [float(rnd.randint(0, 200)) for _ in range(6)]) for i in range(40)], "site long, frame_id long, px array<double>")
-    out = drain(spark, B.stream_background(feed(spark, df, "frame_id", str(tmp_path / "in")), ["site"], "frame_id", 0.25, 150.0), tmp_path, "out")
+    timed = df.withColumn("ts", F.timestamp_seconds(F.col("frame_id") * 60 + 1_700_000_000)).withColumn("id", F.col("frame_id"))
+    out = drain(spark, B.stream_background(feed_shuffled(spark, timed, str(tmp_path / "in")), ["site"], "frame_id", 0.25, 150.0, ts="ts"), tmp_path, "out")
     got = {(r.frame_id, i): v for r in out.collect() for i, v in enumerate(r.corrected)}
     # small blocks: the batch side warms up every block anew
     want = {(r.frame_id, r.i): r.corrected for r in X.ema_background(df, 0.25, 150.0, chunk=4, block=150).collect()}

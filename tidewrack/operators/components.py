@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.operators.slices import block
+from tidewrack.session import durable
 
 
 def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,12 +122,12 @@ def label_runs(
     keys: Sequence[str],
     connectivity: int = 8,
     band: int = 256,
-    height: int | None = None,
 ) -> DataFrame:
     """Add ``region``: the smallest ``y * 2^32 + x0`` of the run's component.
 
     ``runs`` has the key columns plus y, x0, x1 (half-open, disjoint per row).
-    If ``height`` says all rows fit one band, the merge step is left out.
+    Runs are labelled inside bands of ``band`` rows and stored; labels that touch
+    across a band border are merged, if there are any.
     """
     reach = 1 if connectivity == 8 else 0
     names = list(keys)
@@ -143,10 +144,10 @@ def label_runs(
         first = min_labels(len(pdf), *run_edges(row, x0, x1, reach))
         return pdf.assign(region=(y << 32)[first] + x0[first])
 
-    labelled = whole_groups(
-        banded, [*names, "_band"], ["y", "x0"], label, f"{_ddl(banded, banded.columns)}, region long"
+    labelled = durable(
+        whole_groups(banded, [*names, "_band"], ["y", "x0"], label, f"{_ddl(banded, banded.columns)}, region long")
     )
-    if height is not None and height <= band:
+    if labelled.filter(F.col("_band") != 0).isEmpty():
         return labelled.drop("_band")
 
     top = labelled.filter(F.pmod("y", F.lit(band)) == 0).select(
@@ -182,8 +183,8 @@ def label_runs(
 
 
 def label_cells(cells: DataFrame, keys: Sequence[str], r: str = "r", c: str = "c", connectivity: int = 8,
-                band: int = 256, height: int | None = None) -> DataFrame:
+                band: int = 256) -> DataFrame:
     """Components of single grid cells; adds ``region`` (see :func:`label_runs`)."""
     runs = cells.withColumn("y", F.col(r)).withColumn("x0", F.col(c)).withColumn("x1", F.col(c) + 1)
-    out = label_runs(runs, keys, connectivity, band, height)
+    out = label_runs(runs, keys, connectivity, band)
     return out.select(*cells.columns, "region")

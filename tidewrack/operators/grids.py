@@ -127,9 +127,9 @@ def local_maxima(cells: DataFrame, threshold: float, frame: str = "frame_id") ->
     return mark_maxima(cells.filter(F.col("score") >= threshold), threshold, frame).filter("is_peak").drop("is_peak")
 
 
-def regions(cells: DataFrame, secondary: float, connectivity: int = 8, frame: str = "frame_id", size: int | None = 80) -> DataFrame:
+def regions(cells: DataFrame, secondary: float, connectivity: int = 8, frame: str = "frame_id") -> DataFrame:
     """Connected components of cells at or above ``secondary``; adds ``region``."""
-    return label_cells(cells.filter(F.col("score") >= secondary), [frame], connectivity=connectivity, height=size)
+    return label_cells(cells.filter(F.col("score") >= secondary), [frame], connectivity=connectivity)
 
 
 def _even(x: Column) -> Column:
@@ -171,7 +171,7 @@ def _region_stats() -> list[Column]:
 
 
 def candidates(cells: DataFrame, peak: float, secondary: float, min_side: int = 2, upscale: float = UPSCALE,
-               padding: int = 20, image: int = IMAGE_PX, frame: str = "frame_id", size: int | None = 80) -> DataFrame:
+               padding: int = 20, image: int = IMAGE_PX, frame: str = "frame_id") -> DataFrame:
     """Candidate crops: one per region that holds a peak and has at least ``min_side``² cells.
 
     ``peak_val`` is the first peak in row-major order, not the largest.
@@ -181,22 +181,21 @@ def candidates(cells: DataFrame, peak: float, secondary: float, min_side: int =
         raise ValueError("peak threshold below the secondary one: use candidates_per_peak")
     marked = mark_maxima(cells.filter(F.col("score") >= secondary), peak, frame)
     first = F.min(F.when(F.col("is_peak"), F.struct(_lin().alias("at"), F.col("score").alias("val"))))
-    grouped = regions(marked, secondary, 8, frame, size).groupBy(frame, "region").agg(*_region_stats(), first.alias("_first"))
+    grouped = regions(marked, secondary, 8, frame).groupBy(frame, "region").agg(*_region_stats(), first.alias("_first"))
     grouped = grouped.withColumns({"peak_order": F.col("_first.at"), "peak_val": F.col("_first.val")}).drop("_first")
     kept = grouped.filter(F.col("peak_order").isNotNull() & (F.col("region_size_points") >= min_side**2))
     return square_boxes(kept, upscale, padding, image).drop("r_min", "r_max", "c_min", "c_max")
 
 
 def candidates_per_peak(cells: DataFrame, peak: float, secondary: float, mean_threshold: float, min_side: int = 2,
-                        upscale: float = UPSCALE, padding: int = 10, image: int = IMAGE_PX, frame: str = "frame_id",
-                        size: int | None = 80) -> DataFrame:
+                        upscale: float = UPSCALE, padding: int = 10, image: int = IMAGE_PX, frame: str = "frame_id") -> DataFrame:
     """Evaluation variant: every peak keeps its own candidate; regions also need a mean score.
 
     A peak below ``secondary`` belongs to no region and yields nothing.
     """
     marked = mark_maxima(cells.filter(F.col("score") >= secondary), max(peak, secondary), frame)
     tops = F.array_compact(F.collect_list(F.when(F.col("is_peak"), F.struct(_lin().alias("at"), F.col("score").alias("val")))))
-    stats = regions(marked, secondary, 8, frame, size).groupBy(frame, "region").agg(*_region_stats(), tops.alias("_tops")).filter(
+    stats = regions(marked, secondary, 8, frame).groupBy(frame, "region").agg(*_region_stats(), tops.alias("_tops")).filter(
         (F.col("region_size_points") >= min_side**2) & (F.col("mean_val") >= mean_threshold)
     )
     # a map is size x size cells, which bounds the list of a region's peaks
@@ -205,9 +204,9 @@ def candidates_per_peak(cells: DataFrame, peak: float, secondary: float, mean_th
 
 
 def robust_regions(cells: DataFrame, peak: float = 0.98, secondary: float = 0.75, min_size: int = 9, min_mean: float = 0.85,
-                   core: float = 0.9, min_core: int = 4, frame: str = "frame_id", size: int | None = 80) -> DataFrame:
+                   core: float = 0.9, min_core: int = 4, frame: str = "frame_id") -> DataFrame:
     """4-connected regions that pass size, mean and core-cell tests and hold a cell at the peak level."""
-    grouped = regions(cells, secondary, 4, frame, size).groupBy(frame, "region").agg(
+    grouped = regions(cells, secondary, 4, frame).groupBy(frame, "region").agg(
         *_region_stats(), F.max("score").alias("max_val"), F.count_if(F.col("score") >= core).alias("core_cells")
     )
     return grouped.filter(
@@ -283,7 +282,7 @@ def detect(tiles: DataFrame, n: int = 5, size: int = 80, peak: float = 0.3004, s
     """Tile scores to crop rows: score map, peaks, regions, candidates, de-duplication, measures."""
     # uncovered cells score 0, so they matter only when 0 passes a threshold
     cells = patch_map(tiles, n, size, frame, fill=min(peak, secondary) <= 0)
-    found = candidates(cells, peak, secondary, min_side, upscale, padding, image, frame, size)
+    found = candidates(cells, peak, secondary, min_side, upscale, padding, image, frame)
     kept = nms(found, iou, cap, frame)
     number = Window.partitionBy(frame).orderBy(F.col("peak_val").desc(), "peak_order")
     return region_measures(kept.withColumn("crop_id", F.row_number().over(number) - 1), upscale, (mm / image) ** 2).drop(
@@ -338,7 +337,7 @@ def rect_runs(boxes: DataFrame, keys: Sequence[str], inclusive: bool = False) ->
 def mask_crops(runs: DataFrame, image: str, height: int, width: int, padding: int = 0, make_square: bool = True,
                mm2_per_px: float = (91 / IMAGE_PX) ** 2) -> DataFrame:
     """Crops of an annotation mask: one per 8-connected component, padded, squared, clipped."""
-    labelled = label_runs(runs, [image], 8, height=height)
+    labelled = label_runs(runs, [image], 8)
     stats = labelled.groupBy(image, "region").agg(
         F.min("y").alias("_y0"), F.min("x0").alias("_x0"), (F.max("y") + 1).alias("_y1"), F.max("x1").alias("_x1"),
         F.sum(F.col("x1") - F.col("x0")).alias("region_size_pixels"),
@@ -398,7 +397,7 @@ def blob_metrics(runs: DataFrame, image: str, min_area: int, margin: int, height
     """
     zero = F.lit(0).cast("long")
     blobs = (
-        label_runs(runs, [image], 8, height=height).groupBy(image, "region")
+        label_runs(runs, [image], 8).groupBy(image, "region")
         .agg(F.sum(F.col("x1") - F.col("x0")).alias("area"), F.min("x0").alias("x"), F.min("y").alias("y"),
              F.max("x1").alias("_x1"), (F.max("y") + 1).alias("_y1"))
         .filter(F.col("area") >= min_area)
@@ -416,17 +415,17 @@ def blob_metrics(runs: DataFrame, image: str, min_area: int, margin: int, height
     )
 
 
-def largest_blob(runs: DataFrame, image: str, height: int | None = None, min_size: int = 0) -> DataFrame:
+def largest_blob(runs: DataFrame, image: str, min_size: int = 0) -> DataFrame:
     """The largest component of each image; equal sizes keep the first in row-major order."""
-    sizes = drop_small(runs, image, min_size, height)
+    sizes = drop_small(runs, image, min_size)
     best = sizes.groupBy(image).agg(F.max(F.struct("area", (-F.col("region")).alias("_k"))).alias("_b"))
     return best.select(image, F.col("_b.area").alias("area"), (-F.col("_b._k")).alias("region"))
 
 
-def drop_small(runs: DataFrame, image: str, min_size: int, height: int | None = None) -> DataFrame:
+def drop_small(runs: DataFrame, image: str, min_size: int) -> DataFrame:
     """Components with at least ``min_size`` pixels: image, region, area."""
     return (
-        label_runs(runs, [image], 8, height=height).groupBy(image, "region")
+        label_runs(runs, [image], 8).groupBy(image, "region")
         .agg(F.sum(F.col("x1") - F.col("x0")).alias("area")).filter(F.col("area") >= min_size)
     )
 

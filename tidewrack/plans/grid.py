@@ -145,7 +145,17 @@ def local_maxima(t: Tables) -> DataFrame:
 
 @query("G5_regions", f"WITH RECURSIVE {REACH8} SELECT frame_id, r, c, region FROM reg")
 def regions(t: Tables) -> DataFrame:
-    return G.regions(_cells(t), CUT["secondary"], size=16).select("frame_id", "r", "c", "region")
+    return G.regions(_cells(t), CUT["secondary"]).select("frame_id", "r", "c", "region")
+
+
+@query("G5_regions_tall", """
+WITH m AS (SELECT DISTINCT l_suppkey AS frame_id, l_partkey % 900 AS r FROM lineitem),
+i AS (SELECT frame_id, r, r - row_number() OVER (PARTITION BY frame_id ORDER BY r) AS island FROM m)
+SELECT frame_id, r, min(r) OVER (PARTITION BY frame_id, island) * 4294967296 + 3 AS region FROM i""")
+def regions_tall(t: Tables) -> DataFrame:
+    """One column of cells per supplier, 900 rows high: components run over the borders of row bands."""
+    cells = t.lineitem.select(F.col("l_suppkey").alias("frame_id"), (F.col("l_partkey") % 900).alias("r"), F.lit(3).alias("c"), F.lit(1.0).alias("score")).distinct()
+    return G.regions(cells, 0.5).select("frame_id", "r", "region")
 
 
 BOX_OUT = "crop_y0, crop_x0, crop_y1, crop_x1, region_size_points, round(mean_val + 1e-10, 6) AS mean_val, round(peak_val, 6) AS peak_val"
@@ -158,7 +168,7 @@ def _box_out(df: DataFrame) -> DataFrame:
 
 @query("G6_candidates", CAND + f" SELECT frame_id, peak_order, {BOX_OUT} FROM boxed")
 def candidates(t: Tables) -> DataFrame:
-    return _box_out(G.candidates(_cells(t), **CUT, upscale=UP, size=16))
+    return _box_out(G.candidates(_cells(t), **CUT, upscale=UP))
 
 
 @query("G6b_candidates_per_peak", f"""WITH RECURSIVE {REACH8}, {PEAKS.format(peak=0.4)},
@@ -169,7 +179,7 @@ grp AS (SELECT s.*, g.lin AS peak_order, p.score AS peak_val FROM peaks p JOIN r
 {square_sql(10, 'grp')}
 SELECT frame_id, peak_order, {BOX_OUT} FROM boxed""")
 def candidates_per_peak(t: Tables) -> DataFrame:
-    return _box_out(G.candidates_per_peak(_cells(t), 0.4, CUT["secondary"], 0.55, upscale=UP, size=16))
+    return _box_out(G.candidates_per_peak(_cells(t), 0.4, CUT["secondary"], 0.55, upscale=UP))
 
 
 @query("G7_robust_regions", f"""WITH RECURSIVE {REACH.format(level=0.5, near="abs(a.r - b.r) + abs(a.c - b.c) <= 1")}
@@ -177,7 +187,7 @@ SELECT frame_id, region, COUNT(*) AS region_size_points, round(AVG(score) + 1e-1
 FROM reg GROUP BY frame_id, region
 HAVING MAX(score) >= 0.7 AND COUNT(*) >= 9 AND AVG(score) >= 0.55 AND COUNT(*) FILTER (WHERE score >= 0.6) >= 4""")
 def robust_regions(t: Tables) -> DataFrame:
-    out = G.robust_regions(_cells(t), peak=0.7, secondary=0.5, min_size=9, min_mean=0.55, core=0.6, min_core=4, size=16)
+    out = G.robust_regions(_cells(t), peak=0.7, secondary=0.5, min_size=9, min_mean=0.55, core=0.6, min_core=4)
     return out.select("frame_id", "region", "region_size_points", _mean_val().alias("mean_val"), "core_cells")
 
 
@@ -332,8 +342,8 @@ def blob_metrics(t: Tables) -> DataFrame:
 @query("G16_largest_blob", f"""WITH RECURSIVE {PIXELS}, {TOUCH}
 SELECT image_id, MAX(px) AS area, COUNT(*) AS blobs FROM blob WHERE px >= 150 GROUP BY image_id""")
 def largest_blob(t: Tables) -> DataFrame:
-    best = G.largest_blob(_runs(t), "image_id", height=140, min_size=150).select("image_id", "area")
-    count = G.drop_small(_runs(t), "image_id", 150, height=140).groupBy("image_id").agg(F.count(F.lit(1)).alias("blobs"))
+    best = G.largest_blob(_runs(t), "image_id", min_size=150).select("image_id", "area")
+    count = G.drop_small(_runs(t), "image_id", 150).groupBy("image_id").agg(F.count(F.lit(1)).alias("blobs"))
     return best.join(count, "image_id")
 
 

@@ -28,6 +28,20 @@ def _stream(t: Tables, df: DataFrame) -> DataFrame:
     return S.stream_files(t.spark, path, df.schema)
 
 
+def _shuffled(t: Tables, df: DataFrame, time: str, tie: str, minutes: int = 8, parts: int = 4) -> DataFrame:
+    """A table replayed file by file, rows up to ``minutes`` out of order, and behind them one row so late that the watermark passes all."""
+    moved = us(time) + F.pmod(F.xxhash64(tie), F.lit(minutes * 60_000_000)) - minutes * 30_000_000
+    rows = df.withColumn("_at", moved)
+    low, high = rows.agg(F.min("_at"), F.max("_at")).first()
+    path = _dir(t, "source")
+    for k in range(parts):
+        a, b = (low + (high + 1 - low) * (k + d) // parts for d in (0, 1))
+        rows.where((F.col("_at") >= a) & (F.col("_at") < b)).drop("_at").orderBy(F.xxhash64(tie)).coalesce(1).write.mode("append").parquet(path)
+    last = df.orderBy(F.col(time).desc(), tie).limit(1)
+    last.withColumn(time, F.col(time) + F.expr("INTERVAL 2 DAYS")).coalesce(1).write.mode("append").parquet(path)
+    return S.stream_files(t.spark, path, df.schema, max_files=1)
+
+
 def _run(t: Tables, stream: DataFrame) -> DataFrame:
     path = _dir(t, "sink")
     B.to_table(stream, path, _dir(t, "state")).awaitTermination()
@@ -63,7 +77,7 @@ _SQL["R2_stream_leak_alerts"] = _SQL.get("W4_alert_cooldown", "")
 
 @query("R2_stream_leak_alerts")
 def stream_leak_alerts(t: Tables) -> DataFrame:
-    return _run(t, B.stream_leak_alerts(_stream(t, t.v_telemetry), ["device_id"], "sample_id", 2, 6 * HOUR, 12 * HOUR))
+    return _run(t, B.stream_leak_alerts(_shuffled(t, t.v_telemetry, "ts", "sample_id"), ["device_id"], "sample_id", 2, 6 * HOUR, 12 * HOUR))
 
 
 _SQL["R3_stream_stage_alerts"] = _SQL.get("W5_stage_alerts", "")
@@ -71,7 +85,7 @@ _SQL["R3_stream_stage_alerts"] = _SQL.get("W5_stage_alerts", "")
 
 @query("R3_stream_stage_alerts")
 def stream_stage_alerts(t: Tables) -> DataFrame:
-    return _run(t, B.stream_stage_alerts(_stream(t, t.v_heartbeat), ["stage"], "event_id"))
+    return _run(t, B.stream_stage_alerts(_shuffled(t, t.v_heartbeat, "ts", "event_id"), ["stage"], "event_id"))
 
 
 _SQL["R4_stream_background"] = _SQL["F1_ema_background"].replace("round(bg, 6) AS bg, ", "")
@@ -79,7 +93,8 @@ _SQL["R4_stream_background"] = _SQL["F1_ema_background"].replace("round(bg, 6) A
 
 @query("R4_stream_background")
 def stream_background(t: Tables) -> DataFrame:
-    out = _run(t, B.stream_background(_stream(t, frames(t)), ["site"], "frame_id", 0.25, 100.0))
+    timed = frames(t).withColumn("ts", F.timestamp_seconds(F.col("frame_id") + 1_700_000_000))
+    out = _run(t, B.stream_background(_shuffled(t, timed, "ts", "frame_id"), ["site"], "frame_id", 0.25, 100.0, ts="ts"))
     return out.select("site", "frame_id", F.posexplode("corrected").alias("i", "corrected"))
 
 

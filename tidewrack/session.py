@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +27,31 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to Python workers, for sessions whose workers do not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tidewrack_shipped", None) == context.applicationId:
+        return
+    package = Path(__file__).resolve().parent
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tidewrack-")), "tidewrack.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(target)
+    context._tidewrack_shipped = context.applicationId
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir``, as the cluster sets it.
 
-    Only a local session may fall back to a temporary folder; on a cluster an
+    Only a session of one process may fall back to a temporary folder; elsewhere an
     unset folder is an error, since executors would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewrack-"))
     return spark.sparkContext.getCheckpointDir()
@@ -63,6 +81,7 @@ def local_session(name: str = "tidewrack", cores: str | int = "*", shuffle_parti
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return prepare(spark)
 
 

@@ -1,12 +1,12 @@
 """Streaming twins of the batch rules: event time, watermarks and keyed state.
 
 Every function takes a streaming DataFrame and returns one (or starts a sink),
-and gives the rows the batch function gives once the data is complete.
+and gives the rows the batch function gives once the watermark has passed them;
+rows of a key may arrive in any order within the watermark's delay.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -68,170 +68,265 @@ def stream_dedup(crops: DataFrame, key: Sequence[str], delay: str, ts: str = "ts
 # ---- keyed state ------------------------------------------------------------------------------------------------
 
 
-def _ordered(rows: Iterator[pd.DataFrame], tie: str) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["t_us", tie], kind="stable")
+class EventOrder(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them, and hands them on in event order.
 
+    A row arrives at most ``delay`` late, so a row at or below the watermark has
+    nothing before it still to come. A timer at the earliest waiting row wakes the key. Subclasses give
+    ``waiting`` (columns of a waiting row, t_us first, then the tie), ``kept`` (schema of what they remember) and ``take``,
+    which turns sorted arrays and what was kept into output columns and what is kept next.
+    """
 
-class LeakAlerts(StatefulProcessor):
-    """State per key: consecutive leak reads, last alert of each tier, samples of the trailing window."""
-
-    def __init__(self, keys, tie, k, window_s, cooldown_s, dew_rise, pressure_shift):
-        self.keys, self.tie, self.k = list(keys), tie, k
-        self.window, self.cooldown = micros(window_s), micros(cooldown_s)
-        self.dew_rise, self.pressure_shift = dew_rise, pressure_shift
+    waiting: str
+    kept: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counters = handle.getValueState("counters", "streak long, critical long, warning long")
-        self.history = handle.getListState("history", "t long, dew double, pressure double")
+        self.handle = handle
+        self.rows = handle.getListState("waiting", self.waiting)
+        self.memory = handle.getValueState("kept", self.kept)
+
+    @property
+    def columns(self) -> list[str]:
+        return [c.split()[0] for c in self.waiting.split(", ")]
+
+    def _wake(self, due_us: list[int], watermark_ms: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if due_us:
+            self.handle.registerTimer(max(min(due_us) // 1000 + 1, watermark_ms + 1))
+
+    def due(self, kept) -> int | None:
+        """A time at which the key acts without a row."""
+        return None
+
+    def _times(self, first_us: int | None, kept) -> list[int]:
+        return [x for x in (first_us, self.due(kept)) if x is not None]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        streak, critical, warning = self.counters.get() if self.counters.exists() else (0, None, None)
-        past = deque(tuple(h) for h in self.history.get())
-        alerts = []
-        pdf = _ordered(rows, self.tie)
-        for t, item, leak, dew, p in zip(pdf["t_us"], pdf[self.tie], pdf["leak_in"], pdf["dew_in"], pdf["p_in"]):
-            t = int(t)
-            dew, p = (None if pd.isna(v) else float(v) for v in (dew, p))
-            past.append((t, dew, p))
-            while t - past[0][0] > self.window:
-                past.popleft()
-            streak = streak + 1 if leak is not None and not pd.isna(leak) and bool(leak) else 0
-            if streak >= self.k and (critical is None or t - critical >= self.cooldown):
-                critical = t
-                alerts.append((item, "critical"))
-                continue
-            if t - past[0][0] < self.window * 0.5 or dew is None or p is None:
-                continue
-            old_dew = next(d for _, d, _ in past if d is not None)
-            old_p = next(q for _, _, q in past if q is not None)
-            if dew - old_dew >= self.dew_rise and abs(p - old_p) >= self.pressure_shift and (warning is None or t - warning >= self.cooldown):
-                warning = t
-                alerts.append((item, "warning"))
-        self.counters.update((streak, critical, warning))
-        self.history.put(list(past))
-        out = pd.DataFrame(alerts, columns=[self.tie, "tier"])
-        for name, value in zip(self.keys, key):
-            out.insert(0, name, value)
-        yield out
+        pdf = pd.concat(list(rows), ignore_index=True)
+        self.rows.appendList(_records(pdf[self.columns]))
+        earliest = min([int(pdf["t_us"].min()), *[t * 1000 - 1000 for t in self.handle.listTimers()]])
+        self._wake([earliest], timerValues.getCurrentWatermarkInMs())
+        yield self.frame(key, {})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        pdf = pd.DataFrame(list(self.rows.get()) if self.rows.exists() else [], columns=self.columns).sort_values(self.columns[:2], kind="stable", ignore_index=True)
+        ready = (pdf["t_us"] <= mark).to_numpy(dtype=bool)
+        kept = self.memory.get() if self.memory.exists() else None
+        out, kept = self.take(pdf[ready].reset_index(drop=True), kept, mark)
+        if kept is not None:
+            self.memory.update(kept)
+        rest = pdf[~ready]
+        if len(rest):
+            self.rows.put(_records(rest))
+        else:
+            self.rows.clear()
+        self._wake(self._times(int(rest["t_us"].iloc[0]) if len(rest) else None, kept), timerValues.getCurrentWatermarkInMs())
+        yield self.frame(key, out)
+
+    def frame(self, key, out: dict) -> pd.DataFrame:
+        """Output columns behind the key's."""
+        found = pd.DataFrame({n: pd.Series(out.get(n, []), dtype=object) for n in self.out})
+        for name, value in zip(reversed(self.keys), reversed(key)):
+            found.insert(0, name, value)
+        return found
 
     def close(self) -> None:
         pass
 
 
+def _records(pdf: pd.DataFrame) -> list[tuple]:
+    """Rows as state takes them: plain values, lists, and None."""
+    known = pdf.astype(object).where(pdf.notna(), None)
+    return list(zip(*([v.tolist() if hasattr(v, "tolist") else v for v in known[c]] for c in known.columns)))
+
+
+def spaced(times: np.ndarray, gap: int, last: int | None) -> np.ndarray:
+    """Places of sorted times that are kept when each kept one silences the ``gap`` behind it; one step per kept time."""
+    kept = []
+    at = 0 if last is None else int(np.searchsorted(times, last + gap))
+    while at < len(times):
+        kept.append(at)
+        at = int(np.searchsorted(times, times[at] + gap))
+    return np.array(kept, dtype=np.int64)
+
+
+def run_lengths(yes: np.ndarray, before: int) -> np.ndarray:
+    """Successive true values up to each place; ``before`` of them precede the first."""
+    n = np.arange(1, len(yes) + 1)
+    return n - np.maximum.accumulate(np.where(yes, -before, n)) if len(yes) else n
+
+
+def next_known(values: np.ndarray) -> np.ndarray:
+    """Place of the first number at or behind each place (the length where there is none)."""
+    places = np.where(np.isnan(values), len(values), np.arange(len(values)))
+    return np.minimum.accumulate(places[::-1])[::-1]
+
+
+def _numbers(column: pd.Series) -> np.ndarray:
+    return pd.to_numeric(column, errors="coerce").to_numpy(dtype=np.float64)
+
+
+class LeakAlerts(EventOrder):
+    """Kept per key: length of the run of leak reads, last alert of each tier, samples of the trailing window."""
+
+    kept = "run long, critical long, warning long, t array<long>, dew array<double>, pressure array<double>"
+
+    def __init__(self, keys, tie, tie_type, k, window_s, cooldown_s, dew_rise, pressure_shift):
+        self.keys, self.tie, self.k = list(keys), tie, k
+        self.waiting = f"t_us long, {tie} {tie_type}, leak_in boolean, dew_in double, p_in double"
+        self.out = [tie, "tier"]
+        self.window, self.cooldown = micros(window_s), micros(cooldown_s)
+        self.dew_rise, self.pressure_shift = dew_rise, pressure_shift
+
+    def take(self, new: pd.DataFrame, kept, mark: int):
+        run, critical, warning, *past = kept if kept is not None else (0, None, None, [], [], [])
+        old_t, old_dew, old_p = (np.asarray(x, dtype=k) for x, k in zip(past, (np.int64, np.float64, np.float64)))
+        t = new["t_us"].to_numpy(dtype=np.int64)
+        runs = run_lengths(new["leak_in"].fillna(False).to_numpy(dtype=bool), run)
+        sent = np.zeros(len(t), dtype=bool)
+        due = np.flatnonzero(runs >= self.k)
+        sent[due[spaced(t[due], self.cooldown, critical)]] = True
+        # The trend is read over what was kept and what is new, as arrays.
+        times = np.concatenate([old_t, t])
+        dew, p = np.concatenate([old_dew, _numbers(new["dew_in"])]), np.concatenate([old_p, _numbers(new["p_in"])])
+        here = np.arange(len(old_t), len(times))
+        start = np.searchsorted(times, t - self.window)
+        known = ~np.isnan(dew[here]) & ~np.isnan(p[here]) & (2 * (t - times[start]) >= self.window)
+        # Where the sample itself is known, something known stands at or behind the start of its window.
+        a, b = (np.minimum(next_known(x)[start], len(times) - 1) for x in (dew, p))
+        with np.errstate(invalid="ignore"):
+            moved = known & (dew[here] - dew[a] >= self.dew_rise) & (np.abs(p[here] - p[b]) >= self.pressure_shift)
+        due = np.flatnonzero(moved & ~sent)
+        warned = due[spaced(t[due], self.cooldown, warning)]
+        first = np.flatnonzero(sent)
+        item = new[self.tie].to_numpy()
+        if len(t):
+            run = int(runs[-1])
+            critical = int(t[first[-1]]) if len(first) else critical
+            warning = int(t[warned[-1]]) if len(warned) else warning
+            stay = times >= t[-1] - self.window
+            times, dew, p = times[stay], dew[stay], p[stay]
+        alerts = {self.tie: [*item[first], *item[warned]], "tier": ["critical"] * len(first) + ["warning"] * len(warned)}
+        return alerts, (run, critical, warning, times.tolist(), dew.tolist(), p.tolist())
+
+
 def stream_leak_alerts(samples: DataFrame, keys: Sequence[str], tie: str, k: int, window_s: float, cooldown_s: float, ts: str = "ts",
                        delay: str = "10 minutes", dew_rise: float = DEW_RISE_C, pressure_shift: float = PRESSURE_SHIFT_MBAR,
                        leak: str = "leak", temp: str = "temp_c", humidity: str = "humidity_pct", pressure: str = "pressure_mbar") -> DataFrame:
-    """Alerts of both tiers as samples arrive: keys, tie, ``tier``."""
+    """Alerts of both tiers once the watermark has passed a sample: keys, tie, ``tier``."""
     use_rocksdb(samples)
     rows = samples.withWatermark(ts, delay).select(
-        *keys, tie, us(ts).alias("t_us"), F.col(leak).alias("leak_in"), dew_point_c(temp, humidity).alias("dew_in"), F.col(pressure).alias("p_in"))
-    job = LeakAlerts(keys, tie, k, window_s, cooldown_s, dew_rise, pressure_shift)
-    return rows.groupBy(*keys).transformWithStateInPandas(job, f"{_ddl(samples, [*keys, tie])}, tier string", "Append", "None")
+        *keys, tie, ts, us(ts).alias("t_us"), F.col(leak).alias("leak_in"), dew_point_c(temp, humidity).cast("double").alias("dew_in"), F.col(pressure).cast("double").alias("p_in"))
+    job = LeakAlerts(keys, tie, samples.schema[tie].dataType.simpleString(), k, window_s, cooldown_s, dew_rise, pressure_shift)
+    return rows.groupBy(*keys).transformWithStateInPandas(job, f"{_ddl(samples, [*keys, tie])}, tier string", "Append", "EventTime")
 
 
-class StageAlerts(StatefulProcessor):
-    """State per stage: consecutive stale reads, whether down was announced, its time, and the last read."""
+class StageAlerts(EventOrder):
+    """Kept per stage: length of the run of stale reads, whether down was announced, when last, and the last read.
 
-    def __init__(self, keys, tie, stale_s, reads, cooldown_s, silence_s):
-        self.keys, self.tie, self.stale_s, self.reads = list(keys), tie, stale_s, reads
-        self.cooldown = micros(cooldown_s)
-        self.silence = None if silence_s is None else int(silence_s * 1000)
+    A stage that is silent for ``silence_s`` counts as stale at that moment.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("stage", "run long, down boolean, last_down long, seen long")
-
-    def _frame(self, key, events) -> pd.DataFrame:
-        out = pd.DataFrame(events, columns=[self.tie, "event"])
-        out[self.tie] = out[self.tie].astype("Int64")
-        for name, value in zip(self.keys, key):
-            out.insert(0, name, value)
-        return out
+    kept = "run long, down boolean, last_down long, seen long"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        run, down, last, seen = self.state.get() if self.state.exists() else (0, False, None, 0)
-        events = []
-        pdf = _ordered(rows, self.tie)
-        for t, item, age in zip(pdf["t_us"], pdf[self.tie], pdf["age_in"]):
-            t = int(t)
-            if not pd.isna(age) and age < self.stale_s:
+    def __init__(self, keys, tie, tie_type, stale_s, reads, cooldown_s, silence_s):
+        self.keys, self.tie, self.stale_s, self.reads = list(keys), tie, stale_s, reads
+        self.waiting = f"t_us long, {tie} {tie_type}, age_in double"
+        self.out = [tie, "event"]
+        self.cooldown, self.silence = micros(cooldown_s), None if silence_s is None else micros(silence_s)
+
+    def due(self, kept) -> int | None:
+        return None if kept is None or self.silence is None or kept[3] is None or kept[1] else kept[3] + self.silence
+
+    def take(self, new: pd.DataFrame, kept, mark: int):
+        run, down, last, seen = kept if kept is not None else (0, False, None, None)
+        t, item = new["t_us"].to_numpy(dtype=np.int64), new[self.tie].to_numpy(dtype=object)
+        fresh = np.nan_to_num(_numbers(new["age_in"]), nan=np.inf) < self.stale_s
+        weight = np.ones(len(t), dtype=np.int64)
+        if self.silence is not None:
+            # A read that does not come is a row of its own, worth as many stale reads as it takes.
+            ends = np.concatenate([t if seen is None else np.concatenate([[seen], t]), [mark + 1]])
+            quiet = ends[:-1][np.diff(ends) > self.silence] + self.silence
+            quiet = quiet[quiet <= mark]
+            order = np.argsort(np.concatenate([t, quiet]), kind="stable")
+            t, item = np.concatenate([t, quiet])[order], np.concatenate([item, np.full(len(quiet), None, dtype=object)])[order]
+            fresh = np.concatenate([fresh, np.zeros(len(quiet), dtype=bool)])[order]
+            weight = np.concatenate([weight, np.full(len(quiet), self.reads)])[order]
+        events: list[tuple] = []
+        edges = np.flatnonzero(np.diff(np.concatenate([[not fresh[0]], fresh, [not fresh[-1]]]).astype(int))) if len(t) else np.zeros(0, dtype=int)
+        for a, b in zip(edges[:-1], edges[1:]):  # one step per run of equal state
+            if fresh[a]:
                 if down:
-                    events.append((item, "up"))
+                    events.append((item[a], "up"))
                 run, down = 0, False
-            else:
-                run += 1
-                if run >= self.reads and not down and (last is None or t - last >= self.cooldown):
-                    down, last = True, t
-                    events.append((item, "down"))
-            seen = max(seen, t)
-        self.state.update((run, down, last, seen))
-        if self.silence is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            due = seen // 1000 + self.silence
-            if due > timerValues.getCurrentWatermarkInMs():
-                self.handle.registerTimer(due)
-        yield self._frame(key, events)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        run, down, last, seen = self.state.get()
-        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        events = []
-        if not down and (last is None or at - last >= self.cooldown):
-            down, last = True, at
-            events.append((None, "down"))
-        self.state.update((max(run, self.reads), down, last, seen))
-        yield self._frame(key, events)
-
-    def close(self) -> None:
-        pass
+                continue
+            count = run + np.cumsum(weight[a:b])
+            if not down:
+                at = max(int(np.searchsorted(count, self.reads)), 0 if last is None else int(np.searchsorted(t[a:b], last + self.cooldown)))
+                if at < b - a:
+                    down, last = True, int(t[a + at])
+                    events.append((item[a + at], "down"))
+            run = int(count[-1])
+        read = new["t_us"].to_numpy(dtype=np.int64)
+        seen = int(read[-1]) if len(read) else seen
+        if self.silence is not None and seen is not None and len(t) and t[-1] > seen and not down:
+            seen = int(t[-1])  # a silence that the cooldown held back is looked at again later
+        return {self.tie: [e[0] for e in events], "event": [e[1] for e in events]}, (run, down, last, seen)
+
+    def frame(self, key, out: dict) -> pd.DataFrame:
+        found = super().frame(key, out)
+        if self.whole:
+            found[self.tie] = found[self.tie].astype("Int64")
+        return found
+
+    @property
+    def whole(self) -> bool:
+        return any(x in self.waiting.split(", ")[1] for x in ("int", "long"))
 
 
 def stream_stage_alerts(beats: DataFrame, keys: Sequence[str], tie: str, ts: str = "ts", age: str = "age_s", delay: str = "10 minutes",
                         stale_s: float = STALE_S, reads: int = STALE_READS, cooldown_s: float = DOWN_COOLDOWN_S, silence_s: float | None = None) -> DataFrame:
-    """Down and up events per stage. With ``silence_s`` a stage that sends nothing for that long (in event time)
-    is announced down by a timer; such rows have no ``tie``."""
+    """Down and up events per stage, once the watermark has passed them. With ``silence_s`` a stage that sends nothing
+    for that long (in event time) is announced down by a timer; such rows have no ``tie``."""
     use_rocksdb(beats)
-    rows = beats.withWatermark(ts, delay).select(*keys, tie, ts, us(ts).alias("t_us"), F.col(age).alias("age_in"))
-    job = StageAlerts(keys, tie, stale_s, reads, cooldown_s, silence_s)
-    mode = "None" if silence_s is None else "EventTime"
-    return rows.groupBy(*keys).transformWithStateInPandas(job, f"{_ddl(beats, [*keys, tie])}, event string", "Append", mode)
+    rows = beats.withWatermark(ts, delay).select(*keys, tie, ts, us(ts).alias("t_us"), F.col(age).cast("double").alias("age_in"))
+    job = StageAlerts(keys, tie, beats.schema[tie].dataType.simpleString(), stale_s, reads, cooldown_s, silence_s)
+    return rows.groupBy(*keys).transformWithStateInPandas(job, f"{_ddl(beats, [*keys, tie])}, event string", "Append", "EventTime")
 
 
-class RunningBackground(StatefulProcessor):
-    """State per camera tile: the current background."""
+class RunningBackground(EventOrder):
+    """Kept per camera tile: the current background."""
 
-    def __init__(self, keys, order, alpha, top):
-        self.keys, self.order, self.alpha, self.top = list(keys), order, alpha, top
+    kept = "px array<double>"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bg = handle.getValueState("bg", "px array<double>")
+    def __init__(self, keys, order, order_type, alpha, top):
+        self.keys, self.order, self.alpha, self.top = list(keys), order, alpha, top
+        self.waiting = f"t_us long, {order} {order_type}, px_in array<double>"
+        self.out = [order, "corrected"]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        bg = np.asarray(self.bg.get()[0], dtype=np.float64) if self.bg.exists() else None
-        pdf = _ordered(rows, self.order)
-        frames, out = [], []
-        for name, px in zip(pdf[self.order], pdf["px_in"]):
-            f = np.asarray(px, dtype=np.float64)
-            bg = f.copy() if bg is None else self.alpha * f + (1 - self.alpha) * bg
-            frames.append(name)
-            out.append(np.clip(f - bg, 0, self.top).astype(np.int64))
-        self.bg.update((bg.tolist(),))
-        result = pd.DataFrame({self.order: frames, "corrected": out})
-        for name, value in zip(self.keys, key):
-            result.insert(0, name, value)
-        yield result
+    def take(self, new: pd.DataFrame, kept, mark: int):
+        bg = None if kept is None else np.asarray(kept[0], dtype=np.float64)
+        out = []
+        for px in new["px_in"]:  # a step per frame, each over all its pixels
+            frame = np.asarray(px, dtype=np.float64)
+            bg = frame.copy() if bg is None else self.alpha * frame + (1 - self.alpha) * bg
+            out.append(np.clip(frame - bg, 0, self.top).astype(np.int64))
+        return {self.order: new[self.order].tolist(), "corrected": out}, None if bg is None else (bg.tolist(),)
 
-    def close(self) -> None:
-        pass
 
+def stream_background(frames: DataFrame, keys: Sequence[str], order: str, alpha: float, top: float, px: str = "px",
+                      ts: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Frames minus their running background, per camera and tile, once the watermark has passed them.
 
-def stream_background(frames: DataFrame, keys: Sequence[str], order: str, alpha: float, top: float, px: str = "px") -> DataFrame:
-    """Frames minus their running background as they arrive, per camera and tile."""
+    Without ``ts`` the frame number counts as seconds (from day one on, since no watermark lies before day zero).
+    """
     use_rocksdb(frames)
-    rows = frames.select(*keys, order, F.col(order).alias("t_us"), F.col(px).alias("px_in"))
-    job = RunningBackground(keys, order, alpha, top)
-    return rows.groupBy(*keys).transformWithStateInPandas(job, f"{_ddl(frames, [*keys, order])}, corrected array<long>", "Append", "None")
+    timed = frames.withColumn("_ts", F.col(ts) if ts else F.timestamp_seconds(F.col(order) + 86_400)).withWatermark("_ts", delay)
+    rows = timed.select(*keys, order, "_ts", us("_ts").alias("t_us"), F.col(px).cast("array<double>").alias("px_in"))
+    job = RunningBackground(keys, order, frames.schema[order].dataType.simpleString(), alpha, top)
+    return rows.groupBy(*keys).transformWithStateInPandas(job, f"{_ddl(frames, [*keys, order])}, corrected array<long>", "Append", "EventTime")
 
 
 # ---- sinks ------------------------------------------------------------------------------------------------------
