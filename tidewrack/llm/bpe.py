@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +27,10 @@ from pyspark.sql import types as T
 
 from tidewrack.llm.common import slices, vocabulary
 from tidewrack.llm.pairs import NONE, PairTable
+from tidewrack.llm.parts import PartStore, ragged
 
-#: Characters of text (and ids) handled at once; parts of texts kept, and the longest such part.
-SLICE_CHARS, KEPT_PARTS, KEPT_CHARS = 3_000_000, 350_000, 48
+#: Characters of text handled at once, parts of texts kept, leaves of all trees that take steps together.
+SLICE_CHARS, KEPT_PARTS, CELLS = 1_000_000, 200_000, 1 << 17
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Stands before a part without leading blank; no text holds a lone surrogate.
 FIRST = "\udfff"
@@ -65,29 +65,32 @@ class ByteCodec:
         self.cut = regex.compile(_PATTERN)
         self.by_special = regex.compile("(" + "|".join(regex.escape(w) for w in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.library_cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.kept: dict[str, list[int]] = {FIRST + w: [i] for w, i in self.special.items()}
+        self.store = PartStore(self._encode_parts, KEPT_PARTS)
 
     # Encoding
 
-    def merge_all(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each non-empty pre-token."""
-        out: list[list[int]] = [[]] * len(words)
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all non-empty pre-tokens end to end, and how many each has."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         leaves = np.left_shift(1, np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64))
+        counts = np.zeros(len(words), dtype=np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         for width in np.unique(leaves).tolist():
             which = np.flatnonzero(leaves == width)
-            step = max(1, 4_000_000 // width)
+            step = max(1, CELLS // width)
             for a in range(0, len(which), step):
                 part = which[a:a + step]
-                ids, counts = self._merge([words[i] for i in part.tolist()], lengths[part], width)
-                flat, end = ids.tolist(), 0
-                for i, n in zip(part.tolist(), counts.tolist()):
-                    out[i] = flat[end:end + n]
-                    end += n
-        return out
+                ids, counts[part] = self._merge([words[i] for i in part.tolist()], lengths[part], width)
+                done.append((part, ids))
+        out = np.empty(int(counts.sum()), dtype=np.int32)
+        starts = np.cumsum(counts) - counts
+        for part, ids in done:
+            out[ragged(starts[part], counts[part])] = ids
+        return out, counts
 
     def _merge(self, words: list[bytes], length: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         count, levels = len(words), width.bit_length() - 1
+        kind = np.int32 if levels < 14 else np.int64  # a key is a rank and a place
         place = np.arange(width)
         filled = place[None, :] < length[:, None]
         sym = np.full((count, width), -1, dtype=np.int64)
@@ -97,8 +100,8 @@ class ByteCodec:
         before = np.where((place[None, :] > 0) & filled, np.arange(count)[:, None] * width + place - 1, -1).ravel()
         sym = sym.ravel()
         alive = filled.ravel().copy()
-        none = NONE << levels
-        tree = np.full((count, 2 * width), none, dtype=np.int64)
+        none = kind((1 << 17) << levels)
+        tree = np.full((count, 2 * width), none, dtype=kind)
         has = np.flatnonzero(after >= 0)
         rank, _ = self.pairs.find(sym[has], sym[after[has]])
         leaf = tree[:, width:]
@@ -108,7 +111,7 @@ class ByteCodec:
             tree[:, half:2 * half] = np.minimum(tree[:, 2 * half:4 * half:2], tree[:, 2 * half + 1:4 * half:2])
         flat = tree.ravel()
 
-        def update(row: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
+        def update(row: np.ndarray, at: np.ndarray, value) -> None:
             """Write leaves (one a row) and the nodes above them."""
             node = row * (2 * width) + width + at
             root = row * (2 * width)
@@ -130,8 +133,8 @@ class ByteCodec:
             after[here] = behind
             follows = behind >= 0
             before[behind[follows]] = here[follows]
-            update(row, gone - row * width, np.full(len(row), none))
-            value = np.full(len(row), none)
+            update(row, gone - row * width, none)
+            value = np.full(len(row), none, dtype=kind)
             rank, _ = self.pairs.find(sym[here[follows]], sym[behind[follows]])
             value[follows] = np.where(rank == NONE, none, rank << levels | at[follows])
             update(row, at, value)
@@ -151,25 +154,34 @@ class ByteCodec:
             return self.cut.findall(part)
         return [part[a:b] for _, (a, b) in self.library_cut(part)]
 
-    def _encode_parts(self, parts: list[str]) -> dict[str, list[int]]:
-        cut = [self._pre_tokens(p[1:] if p[0] == FIRST else " " + p) for p in parts]
-        words = list(dict.fromkeys(chain.from_iterable(cut)))
-        ids = dict(zip(words, self.merge_all([w.encode() for w in words])))
-        return {p: ids[ws[0]] if len(ws) == 1 else list(chain.from_iterable(map(ids.__getitem__, ws))) for p, ws in zip(parts, cut)}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, as the library gives them without added special tokens."""
-        if len(self.kept) > KEPT_PARTS:
-            self.kept = {FIRST + w: [i] for w, i in self.special.items()}
-        split = [self._parts(t) for t in texts]
-        found = [list(map(self.kept.get, ps)) for ps in split]
-        open_rows = [k for k, x in enumerate(found) if None in x]
-        missing = {p for k in open_rows for p, x in zip(split[k], found[k]) if x is None}
-        fresh = self._encode_parts(list(missing))
-        self.kept.update((p, v) for p, v in fresh.items() if len(p) <= KEPT_CHARS)
-        for k in open_rows:
-            found[k] = [fresh[p] if x is None else x for p, x in zip(split[k], found[k])]
-        return [list(chain.from_iterable(x)) for x in found]
+    def _cut(self, part: str) -> tuple[str, ...] | list[str]:
+        """Pre-tokens of a part: a word, a word and one mark, or what the pattern says."""
+        if part[0] == FIRST:
+            return (part,) if part[1:] in self.special else self._pre_tokens(part[1:])
+        if part.isascii() or max(part) < "ɐ":
+            if part.isalpha():
+                return (" " + part,)
+            if part[-1] in ".,;:!?" and part[:-1].isalpha():
+                return (" " + part[:-1], part[-1])
+        return self._pre_tokens(" " + part)
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts end to end, and how many each has."""
+        cut = [self._cut(p) for p in parts]
+        index: dict[str, int] = {}
+        of_word = np.array([index.setdefault(w, len(index)) for ws in cut for w in ws], dtype=np.int64)
+        special = self.special
+        ids, counts = self.merge_all([b"?" if w[0] == FIRST else w.encode() for w in index])
+        starts = np.cumsum(counts) - counts
+        for w, k in index.items() if special else ():
+            if w[0] == FIRST:
+                ids[starts[k]] = special[w[1:]]
+        n_words = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        return ids[ragged(starts[of_word], counts[of_word])], np.add.reduceat(counts[of_word], np.cumsum(n_words) - n_words)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, as the library gives them without added special tokens, and how many each has."""
+        return self.store.ids([self._parts(t) for t in texts])
 
     def _parts(self, text: str) -> list[str]:
         """Parts of a text that no pre-token spans: ``FIRST`` and the part, or a part without its leading blank."""
@@ -222,10 +234,8 @@ def encoded(text: Column, path: str | None = None) -> Column:
             texts = batch.to_pylist()
             done = []
             for a, b in slices([len(t) for t in texts], SLICE_CHARS):
-                ids = c.encode(texts[a:b])
-                lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))
-                done.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat)))
+                ids, lengths = c.encode(texts[a:b])
+                done.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(ids)))
             yield pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
 
     return encode(F.coalesce(text, F.lit("")))
