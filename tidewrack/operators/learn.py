@@ -23,8 +23,6 @@ from tidewrack.functions.arrays import squared_distance
 from tidewrack.operators.joins import new_only
 from tidewrack.operators.ordering import _attach, exact_percentile, running_totals, top_per_key, with_scalars
 
-MAX_DIM = 1024
-
 
 def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series]) if len(series) else np.zeros((0, 0))
@@ -45,15 +43,13 @@ def fit_background_model(df: DataFrame, vec: str = "px") -> BackgroundModel:
     """Mean and Ledoit-Wolf shrunk covariance in one pass.
 
     Each partition adds up its own moments (shifted by one sample, so that the
-    sums keep their precision); the partial sums are added by element.
+    sums keep their precision); the partial sums are added by element. A partition's sums hold d x d numbers.
     """
     head = df.select(vec).filter(F.col(vec).isNotNull()).head()
     if head is None:
         raise ValueError("no samples")
     shift = np.asarray(head[0], dtype=np.float64)
     d = len(shift)
-    if d > MAX_DIM:
-        raise ValueError(f"vectors longer than {MAX_DIM}: reduce them first (pca)")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s1, sxx, sax, scalars = np.zeros(d), np.zeros((d, d)), np.zeros(d), np.zeros(3)

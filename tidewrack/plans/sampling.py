@@ -82,12 +82,12 @@ def balance_classes(t: Tables) -> DataFrame:
 
 
 @query("T10_mine_hard_negatives", """
-WITH k AS (SELECT least(COUNT(*) FILTER (WHERE label = 1 AND site = 'O'), COUNT(*) FILTER (WHERE label = 0 AND site = 'O')) AS k FROM v_scores),
-neg AS (SELECT row_id, score, row_number() OVER (ORDER BY score DESC, row_id) AS n FROM v_scores WHERE label = 0 AND site = 'O'),
+WITH k AS (SELECT least(COUNT(*) FILTER (WHERE label = 1), COUNT(*) FILTER (WHERE label = 0)) AS k FROM v_scores),
+neg AS (SELECT row_id, score, row_number() OVER (ORDER BY score DESC, row_id) AS n FROM v_scores WHERE label = 0),
 easy AS (SELECT row_id, row_number() OVER (ORDER BY md5('42|' || CAST(row_id AS STRING)), row_id) AS n FROM neg WHERE n > (SELECT k FROM k))
-SELECT row_id, 'positive' AS kind FROM v_scores WHERE label = 1 AND site = 'O' UNION ALL SELECT row_id, 'hard' FROM neg WHERE n <= (SELECT k FROM k) UNION ALL SELECT row_id, 'easy' FROM easy WHERE n <= (SELECT k FROM k)""")
+SELECT row_id, 'positive' AS kind FROM v_scores WHERE label = 1 UNION ALL SELECT row_id, 'hard' FROM neg WHERE n <= (SELECT k FROM k) UNION ALL SELECT row_id, 'easy' FROM easy WHERE n <= (SELECT k FROM k)""")
 def mine_hard_negatives(t: Tables) -> DataFrame:
-    return P.mine_hard_negatives(t.v_scores.filter("site = 'O'"), "label", "score", ["row_id"]).select("row_id", "kind")
+    return P.mine_hard_negatives(t.v_scores, "label", "score", ["row_id"]).select("row_id", "kind")
 
 
 @query("T11_filter_rare_classes", """
