@@ -36,13 +36,13 @@ def test_outliers_go_and_clean_rows_stay(spark):
     rows = []
     for k in range(400):
         text = prose(rng, rng.randrange(20, 400))
-        if k % 5 == 0:
+        if k % 10 == 0:
             text = " ".join(w + "###" for w in text.split())
-        elif k % 5 == 1 and k < 200:
+        elif k % 10 == 1 and k < 200:
             text = text.upper()
         rows.append((k, text, "en", "big" if k % 3 else "small" if k % 2 else None))
     got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)).collect()}
-    bad = {k for k in range(400) if k % 5 == 0 or (k % 5 == 1 and k < 200)}
+    bad = {k for k in range(400) if k % 10 == 0 or (k % 10 == 1 and k < 200)}
     assert {k for k, r in got.items() if not r.kept} == bad
     again = {r.doc_id: r for r in quality.assess(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string, source string").repartition(2)).collect()}
     assert again == got  # neither order nor partitions matter
