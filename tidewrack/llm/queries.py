@@ -119,7 +119,8 @@ MARKS_WITHIN = "\\### Assistant: </turn> ok"
 """)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", MARKS_WITHIN), (-7, 1, "assistant", MARKS_WITHIN)], "conv_id long, turn long, role string, text string")
+    turn = F.col("id")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKS_WITHIN).alias("text"))
     formatted = chat.format_conversations(rows.unionByName(extra))
     back = chat.read_back(formatted).select("conv_id", "turns", "loss_text")
     both = formatted.select("conv_id", "n_turns", F.char_length("formatted").cast("long").alias("formatted_chars")).join(back, "conv_id")
