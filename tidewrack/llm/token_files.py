@@ -23,47 +23,87 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewrack.llm.bpe import byte_letters
 from tidewrack.llm.common import durable, open_store, shared_folder, slices, vocabulary
+from tidewrack.llm.parts import PartStore, joined
 
 MAGIC = b"TRNS"
 HEAD = struct.Struct("<4sIQIIQI")
 #: Bits of a frequency, least state, lanes of a full block, ids after which a block ends, steps between checkpoints.
 SCALE, LOW, LANES, BLOCK_IDS, CHECK_STEPS = 20, 1 << 31, 1024, 1 << 18, 128
-SLICE_CHARS, KEPT_PARTS, KEPT_CHARS = 3_000_000, 350_000, 48
-_KEPT: dict[str, tuple] = {}
+SLICE_CHARS, KEPT_PARTS = 1_000_000, 400_000
+MARKS = ".,;:!?"
+_KEPT: dict[str, LibraryIds] = {}
 
 
 # Ids of texts, by the library
 
-def library_ids(path: str, texts: list[str]) -> list[list[int]]:
-    """Ids of each text. Parts between blanks do not depend on each other, so the library encodes each new part once."""
-    if path not in _KEPT or len(_KEPT[path][1]) > KEPT_PARTS:
+class LibraryIds:
+    """Ids of texts. Parts between blanks do not depend on each other, so the library encodes each new part once.
+
+    A part of letters below U+0250, perhaps with one mark behind, is given to the library's model straight away (in
+    lower case, its bytes as the vocabulary's letters): the normaliser and the pattern would leave it as that one word.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _KEPT[path] = (_KEPT[path][0] if path in _KEPT else Tokenizer.from_file(path), {})
-    library, kept = _KEPT[path]
-    split = [t.split(" ") for t in texts]
-    found = [list(map(kept.get, ps)) for ps in split]
-    open_rows = [k for k, x in enumerate(found) if None in x]
-    missing = list({p for k in open_rows for p, x in zip(split[k], found[k]) if x is None})
-    fresh = dict(zip(missing, (e.ids for e in library.encode_batch_fast(missing, add_special_tokens=False))))
-    kept.update((p, v) for p, v in fresh.items() if len(p) <= KEPT_CHARS)
-    for k in open_rows:
-        found[k] = [fresh[p] if x is None else x for p, x in zip(split[k], found[k])]
-    return [list(chain.from_iterable(x)) for x in found]
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.letters = byte_letters()
+        self.store = PartStore(self._encode, KEPT_PARTS)
+        self.words: dict[str, list[int]] = {}
+        self.marks = {m: e.ids for m, e in zip(MARKS, self.library.encode_batch(list(MARKS), add_special_tokens=False))}
+
+    def _word(self, word: str) -> list[int]:
+        word = word.lower()
+        ids = self.words.get(word)
+        if ids is None:
+            plain = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            ids = self.words[word] = [t.id for t in self.model.tokenize(plain)]
+        return ids
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) > KEPT_PARTS:
+            self.words.clear()
+        out: list = [None] * len(parts)
+        rest = []
+        for k, p in enumerate(parts):
+            if not p:
+                out[k] = []
+            elif p.isascii() or max(p) < "ɐ":
+                if p.isalpha():
+                    out[k] = self._word(p)
+                elif p[-1] in self.marks and p[:-1].isalpha():
+                    out[k] = self._word(p[:-1]) + self.marks[p[-1]]
+                else:
+                    rest.append(k)
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.library.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        return joined(out)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.store.ids([t.split(" ") for t in texts])
+
+
+def library_ids(path: str) -> LibraryIds:
+    if path not in _KEPT:
+        _KEPT[path] = LibraryIds(path)
+    return _KEPT[path]
 
 
 def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 1) -> DataFrame:
     """doc_id and ids (binary, unsigned 32-bit little-endian, end id last) of every row."""
     path = vocabulary("word_bpe_49k.json", path)
-    # Words are written between blanks only if the normaliser drops them; checked once on the driver.
+    # Parts between blanks stand alone only if the vocabulary drops white space; checked once on the driver.
     with open(path, encoding="utf-8") as f:
         if '"Removed"' not in f.read():
             raise ValueError("the vocabulary keeps white space; parts between blanks depend on each other")
@@ -73,13 +113,15 @@ def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encode = library_ids(path)
         for batch in batches:
             texts, out = batch.to_pylist(), []
             for a, b in slices([len(t) for t in texts], SLICE_CHARS):
-                for x in library_ids(path, texts[a:b]):
-                    x.append(end_id)
-                    out.append(np.array(x, dtype="<u4").tobytes())
-            yield pa.array(out, pa.binary())
+                flat, sizes = encode(texts[a:b])
+                flat = np.insert(flat.astype("<u4"), np.cumsum(sizes), end_id)
+                ends = np.r_[0, np.cumsum(sizes + 1)] * 4
+                out.append(pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)]))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), ids(F.coalesce(F.col(text), F.lit(""))).alias("ids"))
 
