@@ -65,6 +65,14 @@ def test_word_ids_are_the_librarys():
     assert byte_texts(*token_files.library_ids(path)(texts)) == want
 
 
+def test_word_ids_of_every_letter_below_the_limit():
+    letters = [c for c in map(chr, range(0x41, 0x250)) if c.isalpha()]
+    texts = [t for c in letters for t in (c, f"a{c}b", f"{c}stanbul.", f"x{c}{c}")]
+    path = vocabulary("word_bpe_49k.json")
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert byte_texts(*token_files.library_ids(path)(texts)) == want
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 5000, 40_000])
 def test_coder_round_trip_and_checkpoints(n):
     rng = np.random.default_rng(n)

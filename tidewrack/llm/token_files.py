@@ -49,6 +49,7 @@ class LibraryIds:
 
     A part of letters below U+0250, perhaps with one mark behind, is given to the library's model straight away (in
     lower case, its bytes as the vocabulary's letters): the normaliser and the pattern would leave it as that one word.
+    Not so with U+0130, whose lower case has a combining dot that the pattern splits off.
     """
 
     def __init__(self, path: str):
@@ -77,7 +78,7 @@ class LibraryIds:
         for k, p in enumerate(parts):
             if not p:
                 out[k] = []
-            elif p.isascii() or max(p) < "ɐ":
+            elif p.isascii() or (max(p) < "ɐ" and "İ" not in p):
                 if p.isalpha():
                     out[k] = self._word(p)
                 elif p[-1] in self.marks and p[:-1].isalpha():
