@@ -77,9 +77,9 @@ def link_nodes(nodes: DataFrame, keys: DataFrame, contents: Callable[[DataFrame]
     whose key a pair shares. ``contents`` gives (node, content) of a table of nodes, ``confirm`` decides on two contents.
 
     A key's nodes are never written as all pairs. Each meets the node of the key that shares most keys with others; where groups
-    still differ, ``PIVOTS`` other pivots, twice; keys whose nodes then still differ are compared in pairs of blocks, and
-    only nodes of different groups within the radius leave a block, and only from the first key they share. So the links found make
-    the same groups as all links would.
+    still differ, ``PIVOTS`` other pivots, twice, but in a key of PIVOTS + 1 nodes at most every other node at once; larger keys
+    whose nodes then still differ are compared in pairs of blocks, and only nodes of different groups within the radius leave a
+    block, and only from the first key they share. So the links found make the same groups as all links would.
     """
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = durable(keys.join(shared, "key").select("key", "n", "node"))
@@ -93,8 +93,15 @@ def link_nodes(nodes: DataFrame, keys: DataFrame, contents: Callable[[DataFrame]
         if turn:
             rest = durable(_split(rest.where(f"n > {2 if turn == 1 else PIVOTS + 1}"), groups))
             orders = [F.xxhash64(F.lit(turn * PIVOTS + k), "node") for k in range(PIVOTS)]
-            pivots = rest.groupBy("key").agg(*[F.min_by(c, o).alias(f"{p}{k}") for p, c in (("p", "node"), ("r", "root")) for k, o in enumerate(orders)])
-            first = _pivot_pairs(rest, pivots, PIVOTS)
+            # Pivots of different orders may be one node, so they do not cover a small key; all its nodes do.
+            large = rest.where(f"n > {PIVOTS + 1}")
+            pivots = large.groupBy("key").agg(*[F.min_by(c, o).alias(f"{p}{k}") for p, c in (("p", "node"), ("r", "root")) for k, o in enumerate(orders)])
+            first = _pivot_pairs(large, pivots, PIVOTS)
+            if turn == 1:
+                small = rest.where(f"n <= {PIVOTS + 1}")
+                every = small.groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("all"))
+                every = every.select("key", *[F.get("all", F.lit(k))[c].alias(f"{p}{k}") for p, c in (("p", "node"), ("r", "root")) for k in range(PIVOTS + 1)])
+                first = first.unionAll(_pivot_pairs(small, every, PIVOTS + 1)).distinct()
         content, links = _judge(durable(_near(first, nodes, near)), content, links, contents, confirm)
         groups = components(links)
     rest = durable(_split(rest.where(f"n > {PIVOTS + 1}"), groups).join(nodes.select("node", "sig", F.col(near[0]).alias("sketch")), "node"))
