@@ -128,6 +128,29 @@ def test_verbatim_renamed_and_inconsistent_questions(spark):
     assert found(spark, around.format("Anna walked to the old mill.")) == []
 
 
+def test_each_item_of_a_template_is_tested(spark):
+    item = "Tom has {} apples and then buys {} more of them at the old market before noon."
+    items = [(1, item.format(5, 5)), (2, item.format(4, 6)), (3, item.format(8, 9))]
+    around = "something else entirely stands here, {} and some other words follow it without any sense."
+    assert found(spark, around.format(item.format(4, 6)), items) == [(2, "verbatim")]
+    assert found(spark, around.format(item.format(8, 9)), items[1:]) == [(3, "verbatim")]
+    assert found(spark, around.format(item.format(7, 7)), items[:1]) == [(1, "re-parameterised")]
+    assert found(spark, around.format(item.format(7, 3)), items) == [(2, "re-parameterised")]
+
+
+def test_short_items_at_every_place_and_edits_inside(spark):
+    words = "red carts carry ripe pears along quiet roads toward some distant town where people wait all day for fresh fruit".split()
+    for n in (8, 9, 10):
+        docs = spark.createDataFrame([(k, " ".join(["foo"] * k + words[:n] + ["bar"] * 3)) for k in range(6)], "doc_id long, text string")
+        bench = spark.createDataFrame([(0, " ".join(words[:n]))], "item_id long, text string")
+        assert sorted((r.doc_id, r.verdict) for r in decontaminate.contaminated(docs, bench).collect()) == [(k, "verbatim") for k in range(6)]
+    whole = " ".join(words)
+    assert found(spark, " ".join([*words[:10], "very", *words[10:]]), [(0, whole)]) == [(0, "re-parameterised")]
+    named = [*words[:10], "Bob", *words[10:]]
+    assert found(spark, " ".join(named).replace("Bob", "Mary Ann"), [(0, " ".join(named))]) == [(0, "re-parameterised")]
+    assert found(spark, " ".join(words[:10] + ["foo"] * 12), [(0, whole)]) == []
+
+
 def test_decontamination_of_odd_rows(spark, odd_docs, odd_texts):
     bench = spark.createDataFrame([(5, ITEM), (4, ITEM), (7, None), (8, "few words"), (None, odd_texts[8][1])], "item_id long, text string")
     rows = decontaminate.contaminated(odd_docs, bench).collect()

@@ -3,17 +3,21 @@
 Texts are put in a canonical form: numbers, names (capitalised words inside a
 sentence) and units behind a number become typed placeholders that keep their value,
 other words are lower case. A window is ``WINDOW`` successive words with placeholders
-blind to their values. First, every document's windows at every ``STRIDE``-th place are
-held against the windows of all items; any passage of WINDOW + STRIDE - 1 words
-that a document shares with an item has one at such a place. Of the documents
-found, all windows are joined to the items' windows. A document is contaminated by an item if it
-holds at least ``SHARE`` of the item's windows in one alignment, and the slots are
-consistent there: every value of the item stands for one value in the document. Equal values
-are a verbatim copy, other ones a re-parameterised question.
+blind to their values. First, every document's windows are held against the windows
+of all items. Of the documents found, the windows are joined to the windows of the
+items' templates. An alignment is a shift between document and template; so are
+all neighbouring shifts together (no more than ``DRIFT`` apart) where words were put in
+or taken out, and there the windows broken by such an edit of at most DRIFT words
+of the item count as held; placeholders at the edit are not tested. A document is contaminated by an item if it holds at least ``SHARE``
+of the item's windows in one alignment, and the slots are consistent there: every value of
+the item stands for one value in the document. Equal values at one shift are a verbatim
+copy, all else is a re-parameterised question.
 
 Windows with fewer than ``LITERALS`` words that are no placeholders are not used; an item
-without a usable window (fewer than WINDOW words) cannot be found. Items of one template
-are one item, reported under the smallest id. Null or short texts match nothing.
+without a usable window (fewer than WINDOW words) cannot be found. Items with equal canonical words are
+one item, reported under the smallest id. Items of one template are tested one by one: a document gets every item
+that it holds verbatim, or else the one item of the template with fewest changed values (the smallest id of several).
+Null or short texts match nothing.
 Repeated rows of one doc_id and text are one document; null doc_id is found like any other. Other columns
 are not read.
 
@@ -23,12 +27,12 @@ bytes is under its threshold, and shuffles both sides beyond.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import durable
 
-WINDOW, STRIDE, LITERALS, SHARE = 8, 4, 5, 0.5
+WINDOW, DRIFT, LITERALS, SHARE = 8, 3, 5, 0.5
 NUMBER, NAME, UNIT = "", "", ""
 UNITS = "mm|cm|m|km|inch|inches|feet|foot|yard|yards|mile|miles|g|kg|mg|lb|lbs|pound|pounds|ounce|ounces|ml|l|litre|litres|liter|liters|second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|percent|dollar|dollars|cent|cents|euro|euros|degree|degrees|mph|kmh"
 
@@ -53,56 +57,94 @@ def blind(found: Column) -> Column:
     return F.transform(found, lambda w: F.when(w.substr(1, 1).isin(NUMBER, NAME, UNIT), w.substr(1, 1)).otherwise(w))
 
 
-def windows(name: str, stride: int) -> Column:
-    """Hashes of the windows at every ``stride``-th place of a column of canonical words.
+def placeholder(word: Column) -> Column:
+    return word.substr(1, 1).isin(NUMBER, NAME, UNIT)
+
+
+def codes(found: Column) -> Column:
+    """A hash of each word, so that windows need not hash words again."""
+    return F.transform(found, lambda w: F.xxhash64(w))
+
+
+def windows(name: str) -> Column:
+    """Hashes of the windows at every place of a column of ``codes``.
 
     It is a column, not an expression, since the function below is evaluated for every window.
     """
     canonical = F.col(name)
     last = F.size(canonical) - WINDOW
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)), lambda i: F.xxhash64(F.slice(canonical, i + 1, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-
-
-def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(h, item, q, n_item_windows, item_slots): usable windows of each distinct template."""
-    items = benchmark.select(F.col(item_id).alias("item"), words(F.col(text)).alias("words")).withColumn("template", blind(F.col("words")))
-    one = items.groupBy("template").agg(F.min_by("words", F.struct(F.col("item").isNull(), "item", "words")).alias("words"), F.min("item").alias("item"))
-    placed = one.select("item", "words", "template", F.posexplode(windows("template", 1)).alias("q", "h"))
-    literals = F.size(F.filter(F.slice("template", F.col("q") + 1, WINDOW), lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    usable = placed.where(literals >= LITERALS).select("h", "item", "q", F.slice("words", F.col("q") + 1, WINDOW).alias("item_words"), F.xxhash64("template").alias("template"))
-    sizes = usable.groupBy("template").agg(F.count(F.lit(1)).alias("n_item_windows"))
-    return usable.join(sizes, "template").select("h", "template", "item", "q", "n_item_windows", "item_words")
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(canonical, i + 1, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def distinct_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, words, template, blind_words): each distinct list of canonical words under its smallest id; template is a hash."""
+    items = benchmark.select(F.col(item_id).alias("item"), words(F.col(text)).alias("words")).groupBy("words").agg(F.min("item").alias("item"))
+    return items.withColumn("blind_words", blind(F.col("words"))).withColumn("template", F.xxhash64("blind_words"))
+
+
+def template_windows(items: DataFrame) -> DataFrame:
+    """(h, template, r, q, n_item_windows): usable windows of each template, numbered by r, at place q."""
+    one = items.select("template", "blind_words").dropDuplicates(["template"]).withColumn("codes", codes(F.col("blind_words")))
+    placed = one.select("template", "blind_words", windows("codes").alias("hashes"))
+    literals = lambda i: F.size(F.filter(F.slice("blind_words", i + 1, WINDOW), lambda w: ~w.isin(NUMBER, NAME, UNIT)))
+    usable = placed.select("template", F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("q"), h.alias("h"), literals(i).alias("literals"))), lambda w: w.literals >= LITERALS).alias("usable"))
+    return usable.select("template", F.size("usable").alias("n_item_windows"), F.posexplode("usable").alias("r", "w")).select("w.h", "template", "r", "w.q", "n_item_windows")
+
+
+def _runs(shifts: DataFrame, key: list[str]) -> DataFrame:
+    """Alignments of several neighbouring shifts; of a window found at two of them, that at the shift with more windows counts."""
+    order = Window.partitionBy(*key).orderBy("shift")
+    apart = shifts.withColumn("apart", (F.col("shift") - F.lag("shift").over(order) > DRIFT).cast("int"))
+    run = apart.withColumn("run", F.sum(F.coalesce("apart", F.lit(0))).over(order))
+    each = run.select(*key, "run", "n_item_windows", "shift", F.transform("found", lambda m: F.struct(m.q.alias("q"), (-F.col("n_windows")).alias("order"), F.col("shift").alias("shift"), m.r.alias("r"), m.slots.alias("slots"))).alias("found"))
+    all_of = each.groupBy(*key, "run").agg(F.first("n_item_windows").alias("n_item_windows"), F.count(F.lit(1)).alias("n_shifts"), F.array_sort(F.flatten(F.collect_list("found"))).alias("all")).where("n_shifts > 1")
+    once = all_of.withColumn("found", F.filter("all", lambda m, i: (i == 0) | (m.q != F.get("all", i - 1).q)))
+    # Windows between two found ones at different shifts, with few words of the item between those.
+    broken = F.transform("found", lambda m, i: F.when((i > 0) & (m.shift != F.get("found", i - 1).shift) & (m.q - F.get("found", i - 1).q <= WINDOW + DRIFT), m.r - F.get("found", i - 1).r - 1).otherwise(0))
+    held = F.size("found") + F.aggregate(broken, F.lit(0), lambda total, n: total + F.coalesce(n, F.lit(0)))
+    # Placeholders at an edit have no certain counterpart and are not tested.
+    ends = F.transform("found", lambda m, i: F.when((i > 0) & (m.shift != F.get("found", i - 1).shift), F.struct(F.least(m.q, F.get("found", i - 1).q + WINDOW - 1).alias("low"), F.greatest(m.q, F.get("found", i - 1).q + WINDOW - 1).alias("high"))))
+    counted = once.select(*key, "n_item_windows", held.cast("long").alias("n_windows"), "n_shifts", F.array_distinct(F.flatten("found.slots")).alias("slots"), F.filter(ends, lambda e: e.isNotNull()).alias("ends"))
+    tested = F.filter("slots", lambda s: ~F.exists("ends", lambda e: s["at"].between(e.low, e.high)))
+    return counted.select(*key, "n_item_windows", "n_windows", "n_shifts", tested.alias("slots"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, item_id, n_windows, n_item_windows, n_slots, n_changed): contaminated documents with each of their items.
 
-    ``th`` is a hash of the text; n_slots and n_changed count placeholder values of the best alignment.
+    ``th`` is a hash of the text; n_slots and n_changed count placeholder values of the best alignment, and n_changed its
+    further shifts.
     """
-    items = durable(item_windows(benchmark))
+    items = durable(distinct_items(benchmark))
+    usable = durable(template_windows(items))
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    seeds = slim.select("doc_id", F.xxhash64("text").alias("th"), blind(words(F.col("text"))).alias("template")).select("doc_id", "th", F.explode(windows("template", STRIDE)).alias("h"))
-    found = durable(seeds.join(items.select("h").distinct(), "h", "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    seeds = slim.select("doc_id", F.xxhash64("text").alias("th"), codes(blind(words(F.col("text")))).alias("codes")).select("doc_id", "th", F.explode(windows("codes")).alias("h"))
+    found = durable(seeds.join(usable.select("h").distinct(), "h", "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
     hit = slim.withColumn("th", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("doc_id", "th", "text").distinct()
-    hit = hit.select("doc_id", "th", words(F.col("text")).alias("words")).withColumn("blind_words", blind(F.col("words")))
-    placed = hit.select("doc_id", "th", "words", F.posexplode(windows("blind_words", 1)).alias("p", "h"))
-    met = durable(
-        placed.join(items, "h")
-        .select("doc_id", "th", "template", "item", "q", "n_item_windows", (F.col("p") - F.col("q")).alias("shift"), F.slice("words", F.col("p") + 1, WINDOW).alias("doc_words"), "item_words")
+    hit = hit.select("doc_id", "th", words(F.col("text")).alias("words")).withColumn("codes", codes(blind(F.col("words"))))
+    placed = hit.select("doc_id", "th", "words", F.posexplode(windows("codes")).alias("p", "h"))
+    met = placed.join(usable, "h").select("doc_id", "th", "template", "q", "r", "n_item_windows", (F.col("p") - F.col("q")).alias("shift"), F.slice("words", F.col("p") + 1, WINDOW).alias("doc_words"))
+    # Values of the slots with their places in the template.
+    slots = F.filter(F.transform("doc_words", lambda w, k: F.struct((F.col("q") + k).alias("at"), w.alias("value"))), lambda s: placeholder(s.value))
+    key = ["doc_id", "th", "template"]
+    shifts = durable(
+        met.select(*key, "shift", "n_item_windows", F.struct("q", "r", slots.alias("slots")).alias("m"))
+        .groupBy(*key, "shift").agg(F.first("n_item_windows").alias("n_item_windows"), F.count(F.lit(1)).alias("n_windows"), F.collect_list("m").alias("found"))
     )
-    key = ["doc_id", "th", "template", "shift"]
-    covered = met.groupBy(*key).agg(F.count_distinct("q").alias("n_windows"), F.first("n_item_windows").alias("n_item_windows"), F.min("item").alias("item"))
-    covered = covered.where(F.col("n_windows") >= SHARE * F.col("n_item_windows"))
-    # Values of the slots, each place once.
-    slots = met.select(*key, "q", F.posexplode(F.arrays_zip("item_words", "doc_words")).alias("k", "w")).where(F.col("w.item_words").substr(1, 1).isin(NUMBER, NAME, UNIT))
-    values = slots.select(*key, F.col("w.item_words").alias("item_value"), F.col("w.doc_words").alias("doc_value")).distinct().groupBy(*key, "item_value")
-    values = values.agg(F.count(F.lit(1)).alias("n"), F.max((F.col("doc_value") != F.col("item_value")).cast("int")).alias("changed"))
-    state = values.groupBy(*key).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("n_slots"), F.sum("changed").alias("n_changed"))
-    renamed = state.select(*[F.col(k).alias(f"_{k}") for k in key], "most", "n_slots", "n_changed")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
-    both = covered.join(renamed, same[0] & same[1] & same[2] & same[3], "left").where("coalesce(most, 1) = 1")
-    best = both.groupBy("doc_id", "th", "template").agg(F.max(F.struct("n_windows", -F.coalesce("n_changed", F.lit(0)), F.coalesce("n_slots", F.lit(0)))).alias("b"), F.first("n_item_windows").alias("n_item_windows"), F.min("item").alias("item_id"))
-    return best.select("doc_id", "th", "item_id", F.col("b.n_windows").alias("n_windows"), "n_item_windows", F.col("b.col3").cast("long").alias("n_slots"), (-F.col("b.col2")).cast("long").alias("n_changed"))
+    single = shifts.select(*key, "n_item_windows", "n_windows", F.lit(1).cast("long").alias("n_shifts"), F.flatten("found.slots").alias("slots"))
+    covered = single.unionByName(_runs(shifts, key)).where(F.col("n_windows") >= SHARE * F.col("n_item_windows")).withColumn("slots", F.array_distinct("slots"))
+    # Each item of the template by itself; a place of the item and its value in the document become a pair of values.
+    tried = covered.join(items.select("template", "item", "words"), "template")
+    tried = tried.withColumn("pairs", F.array_distinct(F.transform("slots", lambda s: F.struct(F.get("words", s.at).alias("item_value"), s.value.alias("doc_value")))))
+    tried = tried.where(F.size("pairs") == F.size(F.array_distinct("pairs.item_value")))
+    changed = F.size(F.filter("pairs", lambda p: p.item_value != p.doc_value)) + F.col("n_shifts") - 1
+    tried = tried.select(*key, "item", "n_windows", "n_item_windows", F.size("pairs").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"))
+    verbatim = tried.where("n_changed = 0").groupBy(*key, "item").agg(F.max(F.struct("n_windows", "n_slots")).alias("b"), F.first("n_item_windows").alias("n_item_windows"))
+    verbatim = verbatim.select(*key, "item", "b.n_windows", "n_item_windows", "b.n_slots", F.lit(0).cast("long").alias("n_changed"))
+    rank = F.struct((-F.col("n_windows")).alias("w"), "n_changed", (-F.col("n_slots")).alias("s"), F.col("item").isNull().alias("none"), "item")
+    other = tried.groupBy(*key).agg(F.min(rank).alias("b"), F.first("n_item_windows").alias("n_item_windows"), F.min("n_changed").alias("least")).where("least > 0")
+    other = other.select(*key, "b.item", (-F.col("b.w")).alias("n_windows"), "n_item_windows", (-F.col("b.s")).alias("n_slots"), "b.n_changed")
+    return verbatim.unionByName(other).select("doc_id", "th", F.col("item").alias("item_id"), "n_windows", "n_item_windows", "n_slots", "n_changed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
