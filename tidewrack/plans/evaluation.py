@@ -138,8 +138,18 @@ pr AS (SELECT *, tp / CAST(tp + fp AS DOUBLE) AS prec, tp / CAST(p AS DOUBLE) AS
 SELECT level, CAST(MAX(p) AS BIGINT) AS positives, CAST(MAX(n) AS BIGINT) AS negatives, round(SUM(neg * (2 * tp - pos) / 2.0::DOUBLE / p / n), 6) AS auc, round(SUM(pos / CAST(p AS DOUBLE) * prec), 6) AS ap,
   round(arg_max(threshold, (2 * (prec * rec) / (prec + rec + 1e-8), -threshold)), 6) AS f1_threshold, round(arg_max(threshold, (round(tp / CAST(p AS DOUBLE) - fp / CAST(n AS DOUBLE), 12), threshold)), 6) AS youden_threshold FROM pr GROUP BY level""")
 def multi_granularity_eval(t: Tables) -> DataFrame:
-    small = t.v_manual.filter("y1 - y0 <= 9").select(F.floor(F.col("image_id") / 200).alias("frame_id"), "y0", "x0", "y1", "x1")
-    runs = G.rect_runs(small, ["frame_id"])
+    return _levels(t, t.v_manual.filter("y1 - y0 <= 9"))
+
+
+@query("E9_multi_granularity_eval_full")
+def multi_granularity_eval_full(t: Tables) -> DataFrame:
+    return _levels(t, t.v_manual)
+
+
+def _levels(t: Tables, manual: DataFrame) -> DataFrame:
+    """Tiles and patches labelled by the boxes of ``manual``."""
+    boxes = manual.select(F.floor(F.col("image_id") / 200).alias("frame_id"), "y0", "x0", "y1", "x1")
+    runs = G.rect_runs(boxes, ["frame_id"])
     box = lambda d, y, x, side: d.withColumns({"y0": y.cast("long"), "x0": x.cast("long"), "y1": (y + side).cast("long"), "x1": (x + side).cast("long")})
     at = lambda g: (F.col(g) * 2 + F.col("offset_idx")) * 8
     tiles = box(t.v_tile_score.select("frame_id", "grid_row", "grid_col", "offset_idx", "score"), at("grid_row"), at("grid_col"), 16)
