@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewrack.llm import chat, warc
+from tidewrack.llm import chat, queries, warc
 
 
 def test_every_split_reads_every_record_once(monkeypatch):
@@ -63,6 +63,12 @@ def test_round_trip_and_mask(spark):
         assert len(loss) == len(plain) and all(len(a) >= len(b) for a, b in zip(loss, plain))
 
 
+def test_query_keeps_the_conversation_without_id(spark, monkeypatch):
+    df = spark.createDataFrame([(None, 0, "user", "x"), (1, 0, "user", "y")], "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(queries, "read_table", lambda *_: df)
+    assert {r.conv_id for r in queries.op3(spark, "").collect()} == {None, 1, -7}
+
+
 def test_plain_turns_stay_plain_and_control_strings_do_not_show(spark):
     df = spark.createDataFrame([(1, 0, "user", "a/b # c: d"), (2, 0, "user", TEXTS[4])], "conv_id long, turn long, role string, text string")
     rows = {r.conv_id: r.formatted for r in chat.format_conversations(df).collect()}

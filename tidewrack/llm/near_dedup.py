@@ -116,7 +116,7 @@ def chunk_bounds(chunks: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (128-bit hash of the set), sig and sketch (binary) of every row; these are null for an empty set.
+    """doc_id, n_shingles, h1, h2 (128-bit hash of the set), sig and sketch (binary; null for an empty set) and th (hash of the text) of every row.
 
     ``sig`` holds the 64 components that keys are made of, ``sketch`` 8 bits of each of 256, on which distances are taken.
     """
@@ -132,9 +132,9 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 full = signature(s) if len(s) else None
                 sig.append(None if full is None else full[:COMPONENTS].tobytes())
                 sketch.append(None if full is None else full.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary()), batch.column(2)], names=["doc_id", "n_shingles", "h1", "h2", "sig", "sketch", "th"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, sketch binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, sketch binary, th long")
 
 
 def chunk_keys(nodes: DataFrame, chunks: int) -> DataFrame:
@@ -192,6 +192,11 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, doc_id: str = "doc_id
 
     ``similarity`` in hundredths: documents are linked from 100 * intersection >= similarity * union on.
     """
+    return _grouped(docs, similarity, doc_id, text).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, similarity: int, doc_id: str, text: str) -> DataFrame:
+    """Rows of ``near_duplicates`` with h1, h2 and th. Of several sets under the smallest doc_id of a group one is kept."""
     rows = durable(signatures(docs, doc_id, text))
     linkable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = durable(linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
@@ -201,21 +206,24 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, doc_id: str = "doc_id
         contents=lambda wanted: node_sets(docs, nodes.drop("sig", "sketch").join(wanted, "node"), doc_id, text), confirm=partial(similar, similarity=similarity),
     )
     named = durable(relabelled(nodes.select("node", "h1", "h2", "doc_id"), groups, "node"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(least, "root").select("h1", "h2", "component_id")
-    alone = rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = linkable.join(by_set, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
-    return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    least = named.groupBy("root").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("head"))
+    by_set = named.join(least, "root").select("h1", "h2", F.col("head.doc_id").alias("component_id"), ((F.col("h1") == F.col("head.h1")) & (F.col("h2") == F.col("head.h2"))).alias("first"))
+    names = ["doc_id", "n_shingles", "component_id", "h1", "h2", "th"]
+    alone = rows.where("doc_id IS NULL OR n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*names, F.lit(True).alias("kept"))
+    linked = linkable.join(by_set, ["h1", "h2"]).select(*names, ((F.col("doc_id") == F.col("component_id")) & F.col("first")).alias("kept"))
+    return linked.unionAll(alone)
 
 
 def dedup(docs: DataFrame, similarity: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are kept; of repeated rows of a kept document one stays.
+    """Rows of ``docs`` that are kept; of the rows of a kept document with equal sets one stays.
 
-    Only the ids that go and those met several times travel to the texts.
+    Only the ids and text hashes that go and the ids met several times travel to the texts.
     """
-    found = durable(near_duplicates(docs, similarity, doc_id, text))
-    gone = durable(found.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct())
-    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col("_id"), "left_anti")
+    found = durable(_grouped(docs, similarity, doc_id, text))
+    stays = found.where("kept AND doc_id IS NOT NULL AND n_shingles > 0")
+    others = stays.groupBy("doc_id", "h1", "h2").agg(F.min("th").alias("least"), F.collect_set("th").alias("all")).where("size(all) > 1").select("doc_id", F.explode(F.array_remove("all", F.col("least"))).alias("th"))
+    gone = durable(found.where("NOT kept").select("doc_id", "th").unionAll(others).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    kept = docs.join(gone, (F.col(doc_id).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left_anti")
     if found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     hashed = kept.withColumn("_h", F.xxhash64(text))

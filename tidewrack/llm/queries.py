@@ -122,8 +122,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     turn = F.col("id")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKS_WITHIN).alias("text"))
     formatted = chat.format_conversations(rows.unionByName(extra))
-    back = chat.read_back(formatted).select("conv_id", "turns", "loss_text")
-    both = formatted.select("conv_id", "n_turns", F.char_length("formatted").cast("long").alias("formatted_chars")).join(back, "conv_id")
+    back = chat.read_back(formatted).select(F.col("conv_id").alias("_conv"), "turns", "loss_text")
+    both = formatted.select("conv_id", "n_turns", F.char_length("formatted").cast("long").alias("formatted_chars")).join(back, F.col("conv_id").eqNullSafe(F.col("_conv")))
     return both.select(
         "conv_id", "n_turns", F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
