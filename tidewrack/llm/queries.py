@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import bpe, chat, decontaminate, line_dedup, near_dedup, quality, token_counts, token_files, toxicity, warc
+from tidewrack.llm import bpe, chat, decontaminate, line_dedup, near_dedup, quality, resample, token_counts, token_files, toxicity, warc
 from tidewrack.llm.common import read_table
 from tidewrack.session import prepare
 
@@ -128,3 +128,40 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", "n_turns", F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+#: CRC-32 of a word's bytes: the table of its polynomial, then one step a byte.
+CRC_TABLE = """
+    step0 AS (SELECT range AS i, range::BIGINT AS c FROM range(256)),
+    """ + ",\n    ".join(f"step{k + 1} AS (SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END AS c FROM step{k})" for k in range(8)) + """,
+    crc_table AS (SELECT list(c ORDER BY i) AS entries FROM step8)
+"""
+
+
+@query("op12_resample", f"""
+    WITH {CRC_TABLE},
+    w AS (
+        SELECT 'd' AS side, doc_id AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM documents
+        UNION ALL
+        SELECT 't', item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark
+    ),
+    c AS (SELECT side, id, word, count(*) AS n FROM w GROUP BY ALL),
+    v AS (
+        SELECT word, (xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(word)), lambda k: ('0x' || substr(hex(encode(word)), 2 * k + 1, 2))::BIGINT)),
+            lambda crc, b: xor(crc >> 8, entries[xor(crc & 255, b) + 1])))) % 10000 AS bucket
+        FROM (SELECT DISTINCT word FROM c), crc_table
+    ),
+    b AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM c JOIN v USING (word) GROUP BY bucket),
+    a AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM b),
+    g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (all_s + 10000))::DOUBLE / ((s + 1) * (all_t + 10000))::DOUBLE))::BIGINT AS gain FROM b, a),
+    m AS (SELECT id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM c JOIN v USING (word) JOIN g USING (bucket) WHERE side = 'd' GROUP BY id),
+    d AS (
+        SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+        FROM documents LEFT JOIN m ON doc_id = id
+    ),
+    r AS (SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM d)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= (10 * able) // 100 THEN place END AS "rank" FROM r
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
