@@ -5,11 +5,22 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from tidewrack.session import durable, read_table, scratch_root
 
-__all__ = ["durable", "read_table", "scratch_root", "vocabulary", "shared_folder", "open_store", "slices", "passes"]
+__all__ = ["durable", "read_table", "scratch_root", "vocabulary", "shared_folder", "open_store", "slices", "WORD_BYTES"]
+
+
+def _word_byte(byte: int) -> int:
+    """ASCII letters in lower case, digits and the bytes of other characters as they are, a blank for the rest."""
+    if byte >= 128 or chr(byte).isalnum():
+        return byte + 32 if 65 <= byte <= 90 else byte
+    return 32
+
+
+#: Translates UTF-8 bytes so that words are what stands between blanks.
+WORD_BYTES = bytes(map(_word_byte, range(256)))
 
 
 def vocabulary(name: str, path: str | None = None) -> str:
@@ -47,8 +58,3 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
-
-
-def passes(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that others cannot clash with an operator's own."""
-    return df.select(*names)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import bpe, chat, decontaminate, line_dedup, near_dedup, quality, resample, token_counts, token_files, toxicity, warc
+from tidewrack.llm import bpe, chat, decontaminate, line_dedup, near_dedup, quality, resample, search, token_counts, token_files, toxicity, warc
 from tidewrack.llm.common import read_table
 from tidewrack.session import prepare
 
@@ -130,6 +130,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Words of a text column as the ranked search and the resampling take them.
+WORDS = "unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word"
+
+
 #: CRC-32 of a word's bytes: the table of its polynomial, then one step a byte.
 CRC_TABLE = """
     step0 AS (SELECT range AS i, range::BIGINT AS c FROM range(256)),
@@ -141,9 +145,9 @@ CRC_TABLE = """
 @query("op12_resample", f"""
     WITH {CRC_TABLE},
     w AS (
-        SELECT 'd' AS side, doc_id AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM documents
+        SELECT 'd' AS side, doc_id AS id, {WORDS} FROM documents
         UNION ALL
-        SELECT 't', item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark
+        SELECT 't', item_id, {WORDS} FROM benchmark
     ),
     c AS (SELECT side, id, word, count(*) AS n FROM w GROUP BY ALL),
     v AS (
@@ -165,3 +169,21 @@ CRC_TABLE = """
 """)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return resample.resample(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+@query("op11_ranked_search", f"""
+    WITH w AS (SELECT doc_id, count(*) AS tf, word FROM (SELECT doc_id, {WORDS} FROM documents) GROUP BY doc_id, word),
+    d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM w GROUP BY doc_id),
+    t AS (SELECT count(*) AS all_n, sum(n)::BIGINT AS all_l FROM d),
+    q AS (SELECT DISTINCT item_id, word FROM (SELECT item_id, {WORDS} FROM benchmark)),
+    f AS (SELECT word, floor(1000 * ln((2 * any_value(all_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM w, t GROUP BY word),
+    s AS (
+        SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * all_n) // all_l))))::BIGINT AS score
+        FROM q JOIN f USING (word) JOIN w USING (word) JOIN d USING (doc_id), t GROUP BY item_id, doc_id
+    ),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS "rank" FROM s WHERE score > 0)
+    SELECT item_id, "rank", doc_id, score FROM r WHERE "rank" <= 10
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    index = search.build_index(read_table(spark, folder, "documents"))
+    return search.search(index, read_table(spark, folder, "benchmark"))

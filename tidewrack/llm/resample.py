@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import durable, slices
+from tidewrack.llm.common import WORD_BYTES, durable, slices
 from tidewrack.operators.ordering import rank_rows, with_scalars
 
 #: Bytes of text whose buckets are held at once.
@@ -37,17 +37,9 @@ _BLANKS = re.compile(rb" {2,}")
 _GROUP = methodcaller("group")
 
 
-def _letter(byte: int) -> int:
-    """ASCII letters in lower case, digits and all bytes of other characters as they are, else a blank."""
-    return byte if byte >= 128 or chr(byte).isalnum() and not 65 <= byte <= 90 else byte + 32 if 65 <= byte <= 90 else 32
-
-
-_LETTERS = bytes(map(_letter, range(256)))
-
-
 def collapsed(text: bytes) -> bytes:
     """Words of a text, in lower case, one blank between them."""
-    return _BLANKS.sub(b" ", text.translate(_LETTERS))
+    return _BLANKS.sub(b" ", text.translate(WORD_BYTES))
 
 
 def runs(words: int) -> regex.Pattern:
