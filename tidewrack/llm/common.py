@@ -7,9 +7,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
-from tidewrack.session import durable, read_table, scratch_root
+from tidewrack.session import discard, durable, read_table, scratch_root
 
-__all__ = ["durable", "read_table", "scratch_root", "vocabulary", "shared_folder", "open_store", "slices", "WORD_BYTES"]
+__all__ = ["discard", "durable", "read_table", "scratch_root", "vocabulary", "shared_folder", "open_store", "slices", "WORD_BYTES"]
 
 
 def _word_byte(byte: int) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import bpe, chat, decontaminate, line_dedup, near_dedup, quality, resample, search, token_counts, token_files, toxicity, warc
+from tidewrack.llm import bpe, chat, decontaminate, line_dedup, near_dedup, quality, repeats, resample, search, token_counts, token_files, toxicity, warc
 from tidewrack.llm.common import read_table
 from tidewrack.session import prepare
 
@@ -187,3 +187,9 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     index = search.build_index(read_table(spark, folder, "documents"))
     return search.search(index, read_table(spark, folder, "benchmark"))
+
+
+@query("op13_repeats")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = repeats.remove_repeats(read_table(spark, folder, "documents"), length=400)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
