@@ -98,19 +98,6 @@ def test_rank_is_strictly_below(spark):
     assert got == {1: 0.0, 2: 0.25, 3: 1.0, 4: 0.0, 5: None}
 
 
-def test_similar_items_in_several_query_blocks(spark):
-    x = RNG.normal(size=(60, 4))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "frame_id long, px array<double>").repartition(5)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    sim = np.round(u @ u.T, 12)
-    out = L.similar_items(df, df, 3, block=20, exclude_self=True)
-    got = {}
-    for r in out.orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.frame_id)
-    for i in range(60):
-        assert got[i] == [j for j in np.lexsort((np.arange(60), -sim[i])) if j != i][:3]
-
-
 def test_ema_blocks_equal_the_sequence(spark):
     f = RNG.integers(0, 255, size=(400, 3)).astype(float)
     df = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(f)], "site string, frame_id long, px array<double>").repartition(3)

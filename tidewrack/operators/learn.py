@@ -1,4 +1,4 @@
-"""Background models, anomaly scores, clustering and similarity on stored vectors.
+"""Background models, anomaly scores and clustering on stored vectors.
 
 Work over rows runs on executors. Only results whose size depends on the vector
 length alone (means, d x d covariance) come to the driver.
@@ -6,7 +6,6 @@ length alone (means, d x d covariance) come to the driver.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,8 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.arrays import squared_distance
-from tidewrack.operators.joins import new_only
-from tidewrack.operators.ordering import _attach, exact_percentile, running_totals, top_per_key, with_scalars
+from tidewrack.operators.ordering import _attach, exact_percentile, running_totals, with_scalars
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -188,59 +186,3 @@ def pca_2d(df: DataFrame, keep: Sequence[str], vec: str = "px") -> DataFrame:
     out = PCA(k=2, inputCol="features", outputCol="_p").fit(rows).transform(rows)
     xy = vector_to_array("_p")
     return out.select(*keep, xy[0].alias("pc1"), xy[1].alias("pc2"))
-
-
-def _nearest_block(items: DataFrame, queries: pd.DataFrame, item_id: str, vec: str, k: int, exclude_self: bool) -> DataFrame:
-    q = _matrix(queries["_q_vec"])
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    shared = items.sparkSession.sparkContext.broadcast((queries["_q_id"].to_numpy(), q))
-    kind = items.schema[item_id].dataType.simpleString()
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, mat = shared.value
-        best_s, best_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), dtype=object)
-        for b in batches:
-            for at in range(0, len(b), 4096):
-                part = b.iloc[at : at + 4096]
-                x = _matrix(part[vec])
-                sim = np.round(mat @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 12)
-                names = part[item_id].to_numpy()
-                if exclude_self:
-                    sim = np.where(ids[:, None] == names[None, :], -np.inf, sim)
-                best_s = np.hstack([best_s, sim])
-                best_i = np.hstack([best_i, np.broadcast_to(names.astype(object), sim.shape)])
-                if best_s.shape[1] > k:
-                    order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        if best_s.shape[1]:
-            out = pd.DataFrame({"query_id": np.repeat(ids, best_s.shape[1]), item_id: best_i.ravel(), "similarity": best_s.ravel()})
-            yield out[np.isfinite(out["similarity"])]
-
-    return items.select(item_id, vec).mapInPandas(scan, f"query_id {kind}, `{item_id}` {kind}, similarity double")
-
-
-def similar_items(queries: DataFrame, items: DataFrame, k: int, item_id: str = "frame_id", vec: str = "px", exclude_self: bool = False,
-                  block: int = 20_000) -> DataFrame:
-    """The ``k`` nearest items of each query by cosine: query_id, item, similarity, rank. Ties go to the smaller id.
-
-    Queries travel to the items in blocks of bounded size, one scan of the items
-    per block; each task keeps only k items per query, so pairs are never written out.
-    """
-    n = queries.count()
-    blocks = max(1, math.ceil(n / (block / 2)))
-    q = queries.select(F.col(item_id).alias("_q_id"), F.col(vec).alias("_q_vec"), F.pmod(F.xxhash64(item_id), F.lit(blocks)).alias("_b"))
-    found = None
-    for number in range(blocks):
-        part = q.filter(F.col("_b") == number).select("_q_id", "_q_vec").toPandas()  # about block / 2 vectors
-        if len(part):
-            near = _nearest_block(items, part, item_id, vec, k, exclude_self)
-            found = near if found is None else found.unionByName(near)
-    if found is None:
-        raise ValueError("no queries")
-    return top_per_key(found, ["query_id"], [F.col("similarity").desc(), item_id], k)
-
-
-def update_index(index: DataFrame, items: DataFrame, name: str, item_id: str = "frame_id", vec: str = "px") -> DataFrame:
-    """Rows to append to a similarity index: items the named index does not hold yet."""
-    have = index.filter(F.col("index_name") == name)
-    return new_only(items, [have], [item_id]).select(F.lit(name).alias("index_name"), item_id, vec)
