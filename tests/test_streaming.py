@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.operators import pixels as X
 from tidewrack.operators import series as S
+from tidewrack.operators.grids import detect
 from tidewrack.sources.files import stream_files
 from tidewrack.streaming import jobs as B
 
@@ -112,3 +113,56 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = feed(spark, df, "id", str(tmp_path / "in"), parts=4)
     out = drain(spark, B.stream_environment_rollup(stream, ["k"], "1 minute", width="10 minutes", mean=["depth_m"]), tmp_path, "out").collect()
     assert [r.sample_count for r in out if r.window_start.timestamp() == base] == [1]
+
+
+def tiles(spark, frames=6, slots=12):
+    """Tiles sent over some minutes, frames overlapping, and their arrival order."""
+    rnd, rows = random.Random(4), []
+    for f in range(frames):
+        for k in range(slots):
+            rows.append((f, k // 4, k % 4, k, slots, round(rnd.random(), 3), 1_700_000_000 + f * 60 + rnd.randint(0, 300)))
+    return spark.createDataFrame(rows, "frame_id long, tile_row long, tile_col long, slot long, slots long, score double, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+
+
+SPEC = dict(n=2, size=8, peak=0.6, secondary=0.3, upscale=16.0, padding=2, image=128, cap=5)
+
+
+def replay(spark, parts, path):
+    for part in parts:
+        rows = part.collect()
+        random.Random(len(rows)).shuffle(rows)
+        spark.createDataFrame(rows, part.schema).coalesce(1).write.mode("append").parquet(path)
+    return stream_files(spark, path, parts[0].schema, max_files=1)
+
+
+def run_detect(spark, stream, tmp_path, **wait):
+    frames = B.assemble_frames(stream, "frame_id", F.col("slot"), F.col("slots"), "ts", "10 minutes", **wait)
+    out, late = str(tmp_path / "crops"), str(tmp_path / "late")
+    B.stream_detect(frames, out, str(tmp_path / "state"), late=late, **SPEC).awaitTermination()
+    return spark.read.parquet(out), spark.read.schema("frame_id long, late_tiles long, batch int").parquet(late)
+
+
+def crops(df):
+    return sorted(tuple(r[c] for c in ("frame_id", "crop_y0", "crop_x0", "crop_y1", "crop_x1", "peak_val", "crop_id")) for r in df.collect())
+
+
+def test_frames_split_over_files_are_detected_once(spark, tmp_path):
+    df = tiles(spark)
+    at = F.unix_timestamp("ts") - 1_700_000_000
+    parts = [df.filter((at >= a) & (at < a + 150)) for a in range(0, 700, 150)]
+    again = df.filter("frame_id = 2 AND slot < 5").withColumn("score", F.lit(0.0))
+    out, late = run_detect(spark, replay(spark, [*parts, again], str(tmp_path / "in")), tmp_path, wait_s=1200)
+    assert crops(out) == crops(detect(df, **SPEC)) != [] and late.count() == 0
+    assert out.groupBy("frame_id").agg(F.count_distinct("batch").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_frame_with_missing_tiles_is_released_at_its_deadline(spark, tmp_path):
+    df = tiles(spark)
+    held = "frame_id = 1 AND slot IN (3, 7, 8)"
+    late = df.filter(held).withColumn("ts", F.lit("2023-11-15 10:00:00").cast("timestamp"))
+    later = df.filter("frame_id = 5").withColumns({"frame_id": F.lit(9).cast("long"), "ts": F.lit("2023-11-15 10:00:00").cast("timestamp")})
+    parts = [df.filter(f"NOT ({held}) AND slot < 6"), df.filter(f"NOT ({held}) AND slot >= 6"), later, later.filter("slot < 2"), late, late.filter("slot = 3")]
+    out, missed = run_detect(spark, replay(spark, parts, str(tmp_path / "in")), tmp_path, wait_s=900)
+    whole = df.filter(f"NOT ({held})").unionByName(later)
+    assert crops(out) == crops(detect(whole, **SPEC))
+    assert [(r.frame_id, r.late_tiles) for r in missed.groupBy("frame_id").agg(F.sum("late_tiles").alias("late_tiles")).collect()] == [(1, 3)]

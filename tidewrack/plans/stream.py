@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.operators.slices import us
@@ -133,9 +133,14 @@ _SQL["R8_stream_detect"] = with_views(CAND + NMS_SQL.format(iou=0.3, cap=5) + ""
 
 @query("R8_stream_detect")
 def stream_detect(t: Tables) -> DataFrame:
-    path = _dir(t, "crops")
-    source = _stream(t, t.v_tile_score.repartition("frame_id"))
-    B.stream_detect(source, path, _dir(t, "state"), **MAP, **CUT, upscale=UP).awaitTermination()
+    """Tiles of a frame sent over eight minutes, in several files, in any order."""
+    path, slots = _dir(t, "crops"), F.count(F.lit(1)).over(Window.partitionBy("frame_id"))
+    sent = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame_id") * 20)
+    rows = t.v_tile_score.withColumn("slot", F.row_number().over(Window.partitionBy("frame_id").orderBy("offset_idx", "grid_row", "grid_col")) - 1)
+    rows = rows.withColumns({"slots": slots, "ts": sent + F.make_dt_interval(secs=F.pmod(F.xxhash64("frame_id", "slot"), F.lit(480)))})
+    source = _shuffled(t, rows.withColumn("tie", F.xxhash64("frame_id", "slot")), "ts", "tie")
+    whole = B.assemble_frames(source, "frame_id", F.col("slot"), F.col("slots"), "ts", "10 minutes", wait_s=3600)
+    B.stream_detect(whole, path, _dir(t, "state"), **MAP, **CUT, upscale=UP).awaitTermination()
     return t.spark.read.parquet(path).select("frame_id", "crop_y0", "crop_x0", "crop_y1", "crop_x1", F.round("peak_val", 6).alias("peak_val"))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +22,7 @@ from tidewrack.operators.grids import detect
 from tidewrack.operators.joins import attach_metadata, new_only
 from tidewrack.operators.series import DEW_RISE_C, DOWN_COOLDOWN_S, PRESSURE_SHIFT_MBAR, STALE_READS, STALE_S
 from tidewrack.operators.slices import micros, us
+from tidewrack.session import durable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -329,6 +330,89 @@ def stream_background(frames: DataFrame, keys: Sequence[str], order: str, alpha:
     return rows.groupBy(*keys).transformWithStateInPandas(job, f"{_ddl(frames, [*keys, order])}, corrected array<long>", "Append", "EventTime")
 
 
+class FrameAssembly(StatefulProcessor):
+    """Kept per frame: its tiles so far, a bitmap of their slots, and when it is released at the latest.
+
+    A frame is released once, with all its tiles in one batch: as ``complete`` when every
+    slot is filled, else as ``partial`` when the watermark passes the deadline. Tiles that
+    fill another slot afterwards are handed on as ``late``; a slot sent again is dropped.
+    """
+
+    def __init__(self, frame: str, tile: Sequence[str], ddl: str, wait_ms: int, remember_ms: int):
+        self.key_name, self.tile, self.ddl, self.wait, self.remember = frame, list(tile), ddl, wait_ms, remember_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tiles = handle.getListState("tiles", self.ddl)
+        self.state = handle.getValueState("state", "seen binary, due long, released boolean")
+
+    def _alarm(self, at_ms: int, watermark_ms: int) -> int:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        at_ms = max(at_ms, watermark_ms + 1)
+        self.handle.registerTimer(at_ms)
+        return at_ms
+
+    def _out(self, key, rows: pd.DataFrame, status: str) -> pd.DataFrame:
+        out = rows[self.tile].astype(object).where(rows[self.tile].notna(), None)
+        out.insert(0, self.key_name, key[0])
+        return out.assign(status=status)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["at_slot", "sent_ms", *self.tile], kind="stable", ignore_index=True)
+        mark = timerValues.getCurrentWatermarkInMs()
+        seen, due, released = self.state.get() if self.state.exists() else (b"", None, False)
+        slots = new["at_slot"].to_numpy(dtype=np.int64)
+        filled = np.unpackbits(np.frombuffer(bytes(seen), dtype=np.uint8))
+        filled = np.concatenate([filled, np.zeros(max(0, int(slots[-1]) + 1 - len(filled)), dtype=np.uint8)])
+        first = np.concatenate([[True], slots[1:] != slots[:-1]]) & (filled[slots] == 0)
+        new, filled[slots] = new[first], 1
+        packed = np.packbits(filled).tobytes()
+        if released:
+            self.state.update((packed, due, True))
+            yield self._out(key, new, "late")
+        elif len(new) and filled.sum() >= new["of_slots"].max():
+            held = pd.DataFrame(list(self.tiles.get()) if self.tiles.exists() else [], columns=self.tile)
+            self.tiles.clear()
+            self.state.update((packed, self._alarm((due or mark) + self.remember, mark), True))
+            yield self._out(key, new if held.empty else pd.concat([held, new[self.tile]], ignore_index=True), "complete")
+        elif len(new):
+            self.tiles.appendList(_records(new[self.tile]))
+            latest = int(new["sent_ms"].min()) + self.wait
+            if due is None or latest < due:
+                due = self._alarm(latest, mark)
+            self.state.update((packed, due, False))
+            yield self._out(key, new[:0], "")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seen, due, released = self.state.get()
+        if released:
+            self.state.clear()
+            return
+        held = pd.DataFrame(list(self.tiles.get()), columns=self.tile)
+        self.tiles.clear()
+        self.state.update((bytes(seen), self._alarm(due + self.remember, timerValues.getCurrentWatermarkInMs()), True))
+        yield self._out(key, held, "partial")
+
+    def close(self) -> None:
+        pass
+
+
+def assemble_frames(tiles: DataFrame, frame: str, slot: Column, expected: Column, ts: str, delay: str = "1 minute", wait_s: float = 600, remember_s: float = 86_400) -> DataFrame:
+    """Tiles with ``status``, handed on when their frame is whole or has waited ``wait_s`` since its first tile.
+
+    ``ts`` is when a tile was sent, ``slot`` its place in the frame (from 0), ``expected`` how
+    many slots a frame has. Tiles without frame, slot or time are dropped. A frame is remembered
+    for ``remember_s`` after its release; a tile later than that would open it anew.
+    """
+    use_rocksdb(tiles)
+    timed = tiles.withColumns({"at_slot": slot.cast("long"), "of_slots": expected.cast("long")}).filter(F.col(frame).isNotNull() & (F.col("at_slot") >= 0) & F.col(ts).isNotNull())
+    own = [c for c in tiles.columns if c != frame]
+    rows = timed.withWatermark(ts, delay).withColumn("sent_ms", F.unix_millis(ts))
+    job = FrameAssembly(frame, own, _ddl(tiles, own), int(wait_s * 1000), int(remember_s * 1000))
+    return rows.groupBy(frame).transformWithStateInPandas(job, f"{_ddl(tiles, [frame, *own])}, status string", "Append", "EventTime")
+
+
 # ---- sinks ------------------------------------------------------------------------------------------------------
 
 
@@ -368,10 +452,20 @@ def stream_catalogue(items: DataFrame, sidecars: DataFrame, path: str, checkpoin
     return each_batch(items, add, checkpoint)
 
 
-def stream_detect(tiles: DataFrame, path: str, checkpoint: str, frame: str = "frame_id", date: str | None = None, **spec) -> StreamingQuery:
-    """Detect crops per micro-batch into a dated table. A frame's tiles must arrive in one file."""
+def stream_detect(tiles: DataFrame, path: str, checkpoint: str, frame: str = "frame_id", date: str | None = None, late: str | None = None, **spec) -> StreamingQuery:
+    """Detect crops per micro-batch into a dated table, and count late tiles per frame into the table ``late``.
+
+    Tiles of one frame must be in one batch: give the rows of ``assemble_frames``, or tiles that arrive a frame a file.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
+        # read several times below; the state behind it must be asked once
+        batch = durable(batch)
+        if "status" in batch.columns:
+            if late is not None:
+                missed = batch.filter("status = 'late'").groupBy(frame).agg(F.count(F.lit(1)).alias("late_tiles"))
+                _replace_batch(missed.withColumn("batch", F.lit(number)), late, ["batch"])
+            batch = batch.filter("status <> 'late'").drop("status")
         found = detect(batch, frame=frame, **spec)
         if date is not None:
             days = batch.groupBy(frame).agg(F.min(stem_date(date)).alias("date"))
