@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidewrack.llm.common import discard, durable, slices
 
 #: Bytes of text hashed at once, bytes of the pieces of a bucket, distinct pieces of an anchor, bytes of the first anchors.
-SLICE_BYTES, BUCKET_BYTES, MOST, GRAM = 2_000_000, 1_000_000, 2_000, 64
+SLICE_BYTES, BUCKET_BYTES, MOST, GRAM = 2_000_000, 300_000, 2_000, 64
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 _PLACES = "row binary, copies long, anchor long, content binary, size int, starts array<long>"
 _SPANS = "array<struct<a:long,b:long>>"
@@ -132,6 +132,18 @@ def _take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(lists.field(c) for c in ("anchor", "content", "n", "members")), pa.array(out, pa.binary())], names=["anchor", "content", "n", "members", "text"])
 
 
+def _in_order(first: np.ndarray, second: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (second < ``limit``) as single numbers in order, and where each came from."""
+    low, place = int(limit).bit_length(), len(first).bit_length()
+    key = first << low | second
+    if int(first.max()).bit_length() + low + place > 62:
+        by = np.argsort(key)
+        return key[by], by
+    # places ride along in the low bits, since plain sorting is faster than sorting places
+    both = np.sort(key << place | np.arange(len(key)))
+    return both >> place, both & ((1 << place) - 1)
+
+
 class RunIndex:
     """Burrows-Wheeler transform of some texts in runs, with longest matches sampled at the ends of runs.
 
@@ -156,24 +168,37 @@ class RunIndex:
         self.n_runs = len(self.heads) + 1
 
     def _sorted(self) -> np.ndarray:
-        """Places in the order of their suffixes, by ranks of 8, 16, 32 ... bytes, which are kept."""
-        n, place = len(self.data), np.arange(len(self.data))
+        """Places in the order of their suffixes, by ranks of 8, 16, 32 ... bytes, which are kept.
+
+        A rank is the first slot of its equals; only slots that share a rank are sorted again.
+        """
+        n = len(self.data)
         self.words = words_at(self.data, ">")
         short = np.flatnonzero(self.left < 8)
         self.words[short] &= ~np.uint64(0) << (8 * (8 - self.left[short])).astype(np.uint64)
-        key, depth = self.words, 8
+        order, depth, rank = np.argsort(self.words), 8, np.empty(n, dtype=np.int64)
+        head = np.ones(n + 1, dtype=bool)
+        head[1:n] = np.diff(self.words[order]) != 0
+        heads = np.flatnonzero(head)
+        rank[order] = np.repeat(heads[:-1], np.diff(heads))
         while True:
-            order = np.argsort(key)
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
             self.ranks.append((depth, rank))
-            if not n or rank[order[-1]] == n - 1:
+            shared = np.flatnonzero(~(head[:-1] & head[1:]))
+            if not len(shared):
                 return order
+            at = order[shared]
             # behind the end: shorter texts first, then the marks of the texts
-            ended = self.left <= depth
             marks = len(self.ends) * (depth + 1)
-            behind = np.where(ended, self.left * len(self.ends) + self.owner, marks + rank[np.where(ended, 0, place + depth)])
-            key, depth = rank << 32 | behind, depth * 2
+            ended = self.left[at] <= depth
+            behind = np.where(ended, self.left[at] * len(self.ends) + self.owner[at], marks + rank[np.minimum(at + depth, n - 1)])
+            key, by = _in_order(rank[at], behind, marks + n)
+            at = at[by]
+            order[shared] = at
+            head[shared[1:]] = np.diff(key) != 0
+            heads = np.flatnonzero(head[shared])
+            rank = rank.copy()
+            rank[at] = np.repeat(shared[heads], np.diff(np.concatenate([heads, [len(shared)]])))
+            depth *= 2
 
     def _shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at ``a`` and ``b`` share."""
@@ -244,21 +269,24 @@ def repeated_spans(texts: DataFrame, length: int, gram: int = GRAM, most: int =
     discard(places)
     contents = durable(kept.groupBy("anchor", "content").agg(met.alias("n"), F.min(F.struct("row", F.col("starts")[0].alias("start"), "size")).alias("at")))
     members = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("members"))
-    asked = contents.join(members, "anchor").select("at.row", F.struct("anchor", "content", "n", "members", "at.start", "at.size").alias("one"))
+    sized = durable(contents.join(members, "anchor"))
+    asked = sized.where("members > 1").select("at.row", F.struct("anchor", "content", "n", "members", "at.start", "at.size").alias("one"))
     asked = asked.groupBy("row").agg(F.collect_list("one").alias("asked"))
     found = durable(texts.join(asked, "row").select("text", "asked").mapInArrow(_take_out, "anchor long, content binary, n long, members long, text binary"))
 
     buckets = F.greatest(F.lit(1), F.ceil(F.sum("at.size") / BUCKET_BYTES)).cast("long")
-    n_buckets = contents.agg(F.coalesce(buckets, F.lit(1)).alias("n")).first().n
+    n_buckets = sized.where("members > 1").agg(F.coalesce(buckets, F.lit(1)).alias("n")).first().n
     single = found.where(F.col("members") <= most).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)))
     marks = single.groupBy("bucket").applyInArrow(_mark(length), f"content binary, spans {_SPANS}")
+    # an anchor with one text, met twice or more: nothing to compare it with
+    marks = marks.unionByName(sized.where("members = 1").select("content", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("at.size").cast("long").alias("b"))).alias("spans")))
     crowded = found.where(F.col("members") > most).select(F.col("content").alias("row"), F.col("n").alias("copies"), "text")
     if gram < length and not crowded.isEmpty():
         inner = repeated_spans(crowded, length, (gram + length + 1) // 2, most)
         shifted = F.flatten(F.transform("found", lambda f: F.flatten(F.transform(f.starts, lambda s: F.transform(f.spans, lambda x: F.struct((x.a + s).alias("a"), (x.b + s).alias("b")))))))
         marks = marks.unionByName(inner.select(F.col("row").alias("content"), shifted.alias("spans")))
     marks = durable(marks)
-    discard(contents, found)
+    discard(contents, sized, found)
     return durable(kept.join(marks, "content").select("row", F.struct("starts", "spans").alias("one")).groupBy("row").agg(F.collect_list("one").alias("found")))
 
 
