@@ -29,7 +29,7 @@ def test_thin_equals_loop(spark, seed, gap):
             if last is None or t - last >= gap:
                 last = t
                 want.append(i)
-    assert sorted(r.id for r in thin(df, ["k"], "ts", "id", gap, slice_s=60).collect()) == sorted(want)
+    assert sorted(r.id for r in thin(df, ["k"], "ts", "id", gap, rows=9, fan=3).collect()) == sorted(want)
 
 
 @pytest.mark.parametrize("seed", [4, 5, 6])
@@ -46,7 +46,7 @@ def test_thin_once_per_episode(spark, seed):
         if g != done and (last is None or t - last >= 25):
             want.append(i)
             last, done = t, g
-    assert sorted(r.id for r in thin(df, ["k"], "ts", "id", 25, once_per="g", slice_s=40).collect()) == want
+    assert sorted(r.id for r in thin(df, ["k"], "ts", "id", 25, once_per="g", rows=7, fan=3).collect()) == want
 
 
 @pytest.mark.parametrize("seed", [7, 8])
@@ -103,3 +103,25 @@ def test_median_ratio_first_row_and_zero_median(spark):
     assert got == {1: (1.0, False), 2: (1.0, False), 3: (float("inf"), True), 4: (0.0, False)}
     none = {r.id: r.ratio for r in median_ratio(df, ["k"], ["id"], "v", 2, 1.5, first=None).collect()}
     assert none[1] is None
+
+
+@pytest.mark.parametrize("gap", [1, 40, 4000])
+def test_most_rows_on_one_key_in_one_hour(spark, gap):
+    """Slices shorter than the gap: a table then spans whole slices, and one gap spans many."""
+    rnd = random.Random(9)
+    rows = sorted((rnd.randint(0, 3600), i) for i in range(600))
+    df = spark.createDataFrame([("hot" if i % 10 else "b", i, t) for t, i in rows], "k string, id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want = []
+    for key in (0, 1):
+        last = None
+        for t, i in rows:
+            if bool(i % 10) == bool(key) and (last is None or t - last >= gap):
+                last = t
+                want.append(i)
+    assert sorted(r.id for r in thin(df, ["k"], "ts", "id", gap, rows=11, fan=4).collect()) == sorted(want)
+
+
+def test_rows_without_time_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, None), (None, 3, 6)], "k string, id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    assert [r.id for r in thin(df, ["k"], "ts", "id", 10, rows=1).collect()] == [1]
+    assert thin(df.filter("false"), ["k"], "ts", "id", 10).collect() == []

@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewrack.operators.joins import asof_latest
+from tidewrack.operators.medians import window_medians
 from tidewrack.operators.ordering import exact_percentile, rank_rows, running_totals, top_per_key, with_scalars
 from tidewrack.operators.series import detrend, leak_streak, leak_trend, rolling_count, system_mode, windowed_rise
-from tidewrack.operators.slices import running, us
+from tidewrack.operators.slices import place, running
 
 random.seed(3)
 ROWS = [("hot" if random.random() < 0.7 else random.choice(["a", "b", None]), i, random.randint(0, 40)) for i in range(600)]
@@ -83,7 +84,7 @@ def per_key(rows):
 
 def test_running_state_over_small_slices(spark):
     rows, df = series(spark)
-    out = running(df, ["k"], us("ts"), ["id"], 1_000_000 * 900, last={"last_odd": F.when(F.col("v") % 2 == 1, F.col("v"))}, total={"n": F.lit(1)})
+    out = running(place(df, ["k"], ["ts", "id"], 23), ["k"], last={"last_odd": F.when(F.col("v") % 2 == 1, F.col("v"))}, total={"n": F.lit(1)})
     got = {r.id: (r.last_odd, r.n) for r in out.collect()}
     for _, part in per_key(rows):
         last = None
@@ -94,7 +95,7 @@ def test_running_state_over_small_slices(spark):
 
 def test_rolling_count_includes_left_edge(spark):
     rows, df = series(spark)
-    got = {r.id: r.c for r in rolling_count(df, ["k"], window_s=600, out="c").collect()}
+    got = {r.id: r.c for r in rolling_count(df, ["k"], window_s=600, out="c", rows=31).collect()}
     for _, part in per_key(rows):
         for r in part:
             assert got[r[1]] == sum(1 for q in part if r[2] - 600 <= q[2] <= r[2])
@@ -111,7 +112,7 @@ def test_detrend_left_edge_is_open(spark):
 
 def test_windowed_rise_needs_half_a_window(spark):
     rows, df = series(spark)
-    got = {r.id: r.rise for r in windowed_rise(df, ["k"], "ts", "v", 1200).collect()}
+    got = {r.id: r.rise for r in windowed_rise(df, ["k"], "ts", "v", 1200, rows=31).collect()}
     for _, part in per_key(rows):
         for r in part:
             old = next(q for q in part if q[2] >= r[2] - 1200)
@@ -121,7 +122,7 @@ def test_windowed_rise_needs_half_a_window(spark):
 
 def test_streak_and_mode(spark):
     rows, df = series(spark)
-    got = {r.id: r.streak for r in leak_streak(df, ["k"], "ts", "id", 2).collect()}
+    got = {r.id: r.streak for r in leak_streak(df, ["k"], "ts", "id", 2, rows=31).collect()}
     mode = {r.id: r.mode for r in system_mode(df, ["k"], "ts", "id", "v", 40, 10).collect()}
     for _, part in per_key(rows):
         n, m = 0, "live"
@@ -145,9 +146,39 @@ def test_trend_takes_oldest_non_null_of_each_signal(spark):
 def test_asof_with_age_limit(spark):
     rows, df = series(spark)
     right = df.filter("leak").select("k", "ts", F.col("id").alias("rid"), F.col("v").alias("rv"))
-    got = {r.id: r.rid for r in asof_latest(df, right, ["k"], "ts", "id", ["rid", "rv"], "rid", max_age_s=900, slice_us=10**9).collect()}
+    got = {r.id: r.rid for r in asof_latest(df, right, ["k"], "ts", "id", ["rid", "rv"], "rid", max_age_s=900, rows=23).collect()}
     for _, part in per_key(rows):
         for r in part:
             best = [q for q in part if q[4] and q[2] <= r[2]]
             want = best[-1][1] if best and r[2] - best[-1][2] <= 900 else None
             assert got[r[1]] == want
+
+
+def test_all_rows_of_a_key_in_one_hour(spark):
+    """Slices by row count cut such a key too; every window then spans several slices."""
+    rnd = random.Random(8)
+    rows = [("hot" if i % 10 else "b", i, rnd.randint(0, 3599), None if rnd.random() < 0.1 else float(rnd.randint(0, 30))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, id long, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    placed = place(df, ["k"], ["ts", "id"], 25).groupBy("k", "_slice").count().collect()
+    assert len(placed) == 15 + 2 and max(r["count"] for r in placed) == 25
+    count = {r.id: r.c for r in rolling_count(df, ["k"], window_s=1200, out="c", rows=25).collect()}
+    median = {r.id: r.residual for r in detrend(df, ["k"], "ts", "v", 900, rows=25).collect()}
+    for key in ("hot", "b"):
+        part = [r for r in rows if r[0] == key]
+        for _, i, s, v in part:
+            assert count[i] == sum(s - 1200 <= q[2] <= s for q in part)
+            near = [q[3] for q in part if s - 450 < q[2] <= s + 450 and q[3] is not None]
+            assert median[i] is None if v is None else abs(median[i] - (v - np.median(near))) < 1e-9
+
+
+def test_window_medians():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(rng.integers(1, 60))
+        values = rng.integers(0, 9, n) / 2
+        values = np.where(rng.random(n) < 0.2, np.nan, values)
+        lo = np.sort(rng.integers(0, n + 1, 40))
+        hi = np.minimum(lo + rng.integers(0, 20, 40), n)
+        windows = [values[a:b] for a, b in zip(lo, hi)]
+        want = [np.median(w[~np.isnan(w)]) if (~np.isnan(w)).any() else np.nan for w in windows]
+        assert np.array_equal(window_medians(values, lo, hi), want, equal_nan=True)

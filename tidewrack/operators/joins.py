@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.operators.slices import DAY_US, block, micros, running, us
+from tidewrack.operators.slices import block, micros, place, running, us
 
 
 def attach_metadata(crops: DataFrame, sidecars: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -48,18 +48,18 @@ def transfer_plan(local: DataFrame, remote: DataFrame, key: str = "path", size:
 
 
 def asof_latest(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, left_id: str, values: Sequence[str],
-                right_id: str, max_age_s: float | None = None, slice_us: int = DAY_US) -> DataFrame:
+                right_id: str, max_age_s: float | None = None, rows: int | None = None) -> DataFrame:
     """Newest right reading at or before each left row, per key; older than ``max_age_s`` counts as none.
 
     One pass over the union of both sides: the last right row so far, carried
-    over time slices. Right rows of equal time precede left rows; among them the
+    over slices. Right rows of equal time precede left rows; among them the
     larger ``right_id`` wins.
     """
     reading = F.struct(us(ts).alias("t"), *[F.col(v).alias(v) for v in values])
     rights = right.select(*keys, us(ts).alias("_us"), reading.alias("_read"), F.lit(0).alias("_side"), F.col(right_id).alias("_tie"))
     lefts = left.select(*keys, us(ts).alias("_us"), F.lit(1).alias("_side"), F.col(left_id).alias("_tie"))
     both = rights.unionByName(lefts, allowMissingColumns=True)
-    seen = running(both, keys, F.col("_us"), ["_side", "_tie"], slice_us, last={"_last": F.col("_read")}).filter("_side = 1")
+    seen = running(place(both, keys, ["_us", "_side", "_tie"], rows), keys, last={"_last": F.col("_read")}).filter("_side = 1")
     fresh = F.col("_last")
     if max_age_s is not None:
         fresh = F.when(F.col("_us") - F.col("_last.t") <= micros(max_age_s), F.col("_last"))

@@ -1,20 +1,24 @@
 """Time-series rules of the stations: rolling counts, leak and outage alerts, calibration, leak-rate fits, drain rules.
 
-All windows run on time slices (or row blocks) of a key, so a station that
-holds most of the rows is still many tasks.
+All windows run on slices of a key that hold equally many rows, so a station that
+holds most of the rows, or all of them in one hour, is still many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewrack.functions.columns import KELVIN, PA_PER_INHG, dew_point_c, sane_filter
 from tidewrack.operators.folds import thin
+from tidewrack.operators.medians import window_medians
 from tidewrack.operators.ordering import exact_percentile, rank_rows, running_totals, with_scalars
-from tidewrack.operators.slices import DAY_US, micros, own_rows, running, us, with_halo
+from tidewrack.operators.slices import looked_up, micros, place, running, time_halo, us, with_halo
 from tidewrack.session import durable
 
 # Alert thresholds.
@@ -22,45 +26,37 @@ DEW_RISE_C, PRESSURE_SHIFT_MBAR = 0.60, 9.74
 STALE_S, STALE_READS, DOWN_COOLDOWN_S = 30, 2, 1800
 
 
-def _slice(window_s: float) -> int:
-    """Slice length for a window: long enough that the halo stays a small share."""
-    return max(8 * micros(window_s), 1)
-
-
-def rolling_count(crops: DataFrame, keys: Sequence[str], ts: str = "ts", window_s: float = 86_400, out: str = "crops_24h") -> DataFrame:
+def rolling_count(crops: DataFrame, keys: Sequence[str], ts: str = "ts", window_s: float = 86_400, out: str = "crops_24h", rows: int | None = None) -> DataFrame:
     """Rows of the key in the trailing window up to each row's time; the left edge counts."""
-    d = with_halo(crops.withColumn("_t", us(ts)), F.col("_t"), _slice(window_s), before=micros(window_s))
-    w = Window.partitionBy(*keys, "_slice").orderBy("_t").rangeBetween(-micros(window_s), 0)
-    return own_rows(d.withColumn(out, F.count(F.lit(1)).over(w))).drop("_t")
+    one, t = F.lit(1), us(ts)
+    upto = looked_up(crops, crops, keys, t, t, total={"_upto": one}, rows=rows)
+    both = looked_up(upto, crops, keys, t, t - micros(window_s), total={"_before": one}, inclusive=False, rows=rows)
+    return both.withColumn(out, F.col("_upto") - F.col("_before")).drop("_upto", "_before")
 
 
-def leak_streak(samples: DataFrame, keys: Sequence[str], ts: str, tie: str, k: int, leak: str = "leak") -> DataFrame:
+def leak_streak(samples: DataFrame, keys: Sequence[str], ts: str, tie: str, k: int, leak: str = "leak", rows: int | None = None) -> DataFrame:
     """Tier 1: consecutive positive reads so far (a missing read counts as negative) and whether they reach ``k``."""
     yes = F.coalesce(F.col(leak), F.lit(False))
-    n = running(samples, keys, us(ts), [tie], DAY_US, total={"_n": F.lit(1)})
-    reset = running(n, keys, us(ts), [tie], DAY_US, last={"_reset": F.when(~yes, F.col("_n"))})
+    reset = running(place(samples, keys, [ts, tie], rows), keys, last={"_reset": F.when(~yes, F.col("_n"))})
     streak = F.col("_n") - F.coalesce("_reset", F.lit(0))
-    return reset.withColumn("streak", streak).withColumn("fires", streak >= k).drop("_n", "_reset")
+    return reset.withColumn("streak", streak).withColumn("fires", streak >= k).drop("_n", "_slice", "_reset")
 
 
-def leak_trend(samples: DataFrame, keys: Sequence[str], ts: str, window_s: float, dew_rise: float = DEW_RISE_C,
-               pressure_shift: float = PRESSURE_SHIFT_MBAR, temp: str = "temp_c", humidity: str = "humidity_pct", pressure: str = "pressure_mbar") -> DataFrame:
+def leak_trend(samples: DataFrame, keys: Sequence[str], ts: str, window_s: float, dew_rise: float = DEW_RISE_C, pressure_shift: float = PRESSURE_SHIFT_MBAR,
+               temp: str = "temp_c", humidity: str = "humidity_pct", pressure: str = "pressure_mbar", rows: int | None = None) -> DataFrame:
     """Tier 2: dew point rise and pressure shift against the oldest value in the trailing window.
 
     Oldest non-null dew point and pressure are picked independently; at least half
     the window of history is needed, and both shifts must reach their threshold.
     """
-    d = samples.withColumn("_t", us(ts)).withColumn("_dew", dew_point_c(temp, humidity))
-    d = with_halo(d, F.col("_t"), _slice(window_s), before=micros(window_s))
-    w = Window.partitionBy(*keys, "_slice").orderBy("_t").rangeBetween(-micros(window_s), 0)
-    span = F.col("_t") - F.min("_t").over(w)
-    rise = F.col("_dew") - F.first("_dew", ignorenulls=True).over(w)
-    shift = F.abs(F.col(pressure) - F.first(pressure, ignorenulls=True).over(w))
-    d = d.withColumns({"_span": span, "_rise": rise, "_shift": shift})
-    ready = F.col("_span") >= micros(window_s) * 0.5
-    d = d.withColumns({"dew_rise": F.when(ready, F.col("_rise")), "pressure_shift": F.when(ready, F.col("_shift"))})
+    t = us(ts)
+    d = samples.withColumn("_dew", dew_point_c(temp, humidity))
+    # the nearest known value from the left edge on lies inside the window wherever the row's own value is known
+    d = looked_up(d, d, keys, t, t - micros(window_s), last={"_dew0": F.col("_dew"), "_p0": F.col(pressure), "_t0": t}, backward=True, rows=rows)
+    ready = (t - F.col("_t0")) >= micros(window_s) * 0.5
+    d = d.withColumns({"dew_rise": F.when(ready, F.col("_dew") - F.col("_dew0")), "pressure_shift": F.when(ready, F.abs(F.col(pressure) - F.col("_p0")))})
     fires = F.coalesce((F.col("dew_rise") >= dew_rise) & (F.col("pressure_shift") >= pressure_shift), F.lit(False))
-    return own_rows(d.withColumn("fires", fires)).drop("_t", "_dew", "_span", "_rise", "_shift")
+    return d.withColumn("fires", fires).drop("_dew", "_dew0", "_p0", "_t0")
 
 
 def leak_alerts(samples: DataFrame, keys: Sequence[str], ts: str, tie: str, k: int, window_s: float, cooldown_s: float, **limits) -> DataFrame:
@@ -70,7 +66,7 @@ def leak_alerts(samples: DataFrame, keys: Sequence[str], ts: str, tie: str, k: i
     held back by its own cooldown does not.
     """
     ids = [*keys, tie]
-    critical = thin(leak_streak(samples, keys, ts, tie, k).filter("fires").select(*ids, ts), keys, ts, tie, cooldown_s)
+    critical = durable(thin(leak_streak(samples, keys, ts, tie, k).filter("fires").select(*ids, ts), keys, ts, tie, cooldown_s))
     trend = leak_trend(samples, keys, ts, window_s, **limits).filter("fires").select(*ids, ts)
     warning = thin(trend.join(critical.select(*ids), ids, "left_anti"), keys, ts, tie, cooldown_s)
     tag = lambda d, n: d.select(*ids, F.lit(n).alias("tier"))
@@ -83,10 +79,10 @@ def stage_alerts(beats: DataFrame, keys: Sequence[str], ts: str, tie: str, age:
     down; up at the first fresh read, only if down was announced. Returns keys, tie, ``event``."""
     stale = ~F.coalesce(F.col(age) < stale_s, F.lit(False))
     d = beats.select(*keys, tie, ts, stale.alias("_stale"))
-    d = running(d, keys, us(ts), [tie], DAY_US, total={"_n": F.lit(1), "_outage": F.when(F.col("_stale"), 0).otherwise(1)})
-    d = running(d, keys, us(ts), [tie], DAY_US, last={"_fresh": F.when(~F.col("_stale"), F.col("_n"))})
+    d = place(d, keys, [ts, tie])
+    d = running(d, keys, last={"_fresh": F.when(~F.col("_stale"), F.col("_n"))}, total={"_outage": F.when(F.col("_stale"), 0).otherwise(1)})
     due = d.filter(F.col("_stale") & (F.col("_n") - F.coalesce("_fresh", F.lit(0)) >= reads))
-    down = thin(due.select(*keys, tie, ts, "_outage"), keys, ts, tie, cooldown_s, once_per="_outage")
+    down = durable(thin(due.select(*keys, tie, ts, "_outage"), keys, ts, tie, cooldown_s, once_per="_outage"))
     # the fresh read that ends outage k is the (k+1)-th fresh read of its key
     ends = d.filter(~F.col("_stale")).select(*keys, tie, (F.col("_outage") - 1).alias("_outage"))
     up = ends.join(down.select(*keys, "_outage"), [*keys, "_outage"], "left_semi")
@@ -96,10 +92,26 @@ def stage_alerts(beats: DataFrame, keys: Sequence[str], ts: str, tie: str, age:
 def system_mode(df: DataFrame, keys: Sequence[str], ts: str, tie: str, backlog: str, enter: float, leave: float) -> DataFrame:
     """Hysteresis: backlog mode above ``enter``, live mode below ``leave``, unchanged in between; starts live."""
     crossing = F.when(F.col(backlog) > enter, "backlog").when(F.col(backlog) < leave, "live")
-    d = running(df, keys, us(ts), [tie], DAY_US, last={"mode": crossing})
+    d = running(place(df, keys, [ts, tie]), keys, last={"mode": crossing}).drop("_n", "_slice")
     return d.withColumn("mode", F.coalesce("mode", F.lit("live")))
 
 
+def _own_medians(halo: DataFrame, by: Sequence[str], own: Sequence[str], order: str, value: str, out: str, bounds) -> DataFrame:
+    """Own rows of each group with the median of their window; ``bounds`` gives windows as places from the ordered ``order`` column."""
+
+    def medians(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        at, mine = table.column(order).to_numpy(), np.flatnonzero(table.column("_own").to_numpy())
+        values = table.column("_value").to_numpy().astype(np.float64)
+        lo, hi = bounds(at, mine)
+        found = window_medians(values, lo, hi)
+        return table.take(pa.array(mine)).select(list(own)).append_column(out, pa.array(found, pa.float64(), mask=np.isnan(found)))
+
+    rows = halo.withColumn("_value", F.col(value).cast("double"))
+    schema = T.StructType([*(halo.schema[c] for c in own), T.StructField(out, T.DoubleType())])
+    return rows.groupBy(*by).applyInArrow(medians, schema)
+
+
 def median_ratio(df: DataFrame, keys: Sequence[str], order: Sequence[str], feature: str, priors: int, threshold: float, prime: int = 0,
                  first: float | None = 1.0, block_rows: int = 100_000, name: str = "ratio", rank: str | None = None) -> DataFrame:
     """Value over the median of the ``priors`` rows before it; above ``threshold`` is an observation.
@@ -108,35 +120,39 @@ def median_ratio(df: DataFrame, keys: Sequence[str], order: Sequence[str], featu
     ``first`` (None: no ratio, never an observation). A zero median gives
     infinity for a positive value and 1 otherwise.
     """
-    place = rank or "_row"
-    d = df if rank else rank_rows(df, keys, order, place)
-    d = with_halo(d, F.col(place) - 1, block_rows, before=priors)
-    w = Window.partitionBy(*keys, "_slice").orderBy(place).rowsBetween(-priors, -1)
-    d = own_rows(d.withColumn("_med", F.percentile(feature, F.lit(0.5)).over(w)))
+    number = rank or "_row"
+    d = df if rank else rank_rows(df, keys, order, number)
+    d = with_halo(d, F.col(number) - 1, block_rows, before=priors)
+    own = [c for c in d.columns if c not in ("_slice", "_own")]
+    d = _own_medians(d, [*keys, "_slice"], own, number, feature, "_med", lambda at, mine: (np.maximum(mine - priors, 0), mine))
     v, med = F.col(feature), F.col("_med")
     zero = F.when(v > 0, F.lit(float("inf"))).otherwise(F.lit(1.0))
     ratio = F.when(med.isNull(), F.lit(first).cast("double")).when(med == 0, zero).otherwise(v / F.when(med != 0, med))
     d = d.withColumn(name, ratio).withColumn(f"{name}_median", med)
-    seen = F.coalesce((F.col(name) > threshold) & (F.col(place) > prime), F.lit(False))
+    seen = F.coalesce((F.col(name) > threshold) & (F.col(number) > prime), F.lit(False))
     d = d.withColumn("is_obs", seen).drop("_med")
-    return d if rank else d.drop(place)
+    return d if rank else d.drop(number)
 
 
-def detrend(df: DataFrame, keys: Sequence[str], ts: str, value: str, window_s: float, out: str = "residual") -> DataFrame:
-    """Value minus its centred rolling median over (t - w/2, t + w/2]; the left edge is open."""
+def detrend(df: DataFrame, keys: Sequence[str], ts: str, value: str, window_s: float, out: str = "residual", rows: int | None = None) -> DataFrame:
+    """Value minus its centred rolling median over (t - w/2, t + w/2]; the left edge is open. Rows without a time are left out."""
     half = micros(window_s / 2)
-    d = with_halo(df.withColumn("_t", us(ts)), F.col("_t"), _slice(window_s), before=half, after=half)
-    w = Window.partitionBy(*keys, "_slice").orderBy("_t").rangeBetween(-(half - 1), half)
-    return own_rows(d.withColumn(out, F.col(value) - F.percentile(value, F.lit(0.5)).over(w))).drop("_t")
+    d = place(df.withColumn("_t", us(ts)).filter("_t IS NOT NULL"), keys, ["_t"], rows)
+    halo = time_halo(d, keys, "_t", half - 1, half)
+
+    def bounds(at: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(at, at[mine] - half, side="right"), np.searchsorted(at, at[mine] + half, side="right")
+
+    found = _own_medians(halo, [*keys, "_to"], df.columns, "_t", value, "_med", bounds)
+    return found.withColumn(out, F.col(value) - F.col("_med")).drop("_med")
 
 
-def windowed_rise(df: DataFrame, keys: Sequence[str], ts: str, value: str, window_s: float, out: str = "rise") -> DataFrame:
+def windowed_rise(df: DataFrame, keys: Sequence[str], ts: str, value: str, window_s: float, out: str = "rise", rows: int | None = None) -> DataFrame:
     """Value minus the oldest value with time >= t - w; null unless that one is at least half a window back."""
-    d = with_halo(df.withColumn("_t", us(ts)), F.col("_t"), _slice(window_s), before=micros(window_s))
-    w = Window.partitionBy(*keys, "_slice").orderBy("_t").rangeBetween(-micros(window_s), 0)
-    d = d.withColumns({"_span": F.col("_t") - F.min("_t").over(w), "_old": F.first(value).over(w)})
-    rise = F.when(F.col("_span") >= 0.5 * micros(window_s), F.col(value) - F.col("_old"))
-    return own_rows(d.withColumn(out, rise)).drop("_t", "_span", "_old")
+    t = us(ts)
+    d = looked_up(df, df, keys, t, t - micros(window_s), last={"_old": F.struct(t.alias("t"), F.col(value).cast("double").alias("v"))}, backward=True, rows=rows)
+    rise = F.when(t - F.col("_old.t") >= 0.5 * micros(window_s), F.col(value) - F.col("_old.v"))
+    return d.withColumn(out, rise).drop("_old")
 
 
 def calibrate_thresholds(samples: DataFrame, keys: Sequence[str], ts: str, ranges: dict, window_s: float, percentile: float = 0.995,

@@ -1,18 +1,28 @@
-"""Time slices: windows and running state split by time, so one busy key is many tasks.
-
-Bounded windows copy the few rows near a slice border to the neighbouring
-slice (a halo). Unbounded state (last value, running count) is summed up per
-slice, carried over slices, and joined back.
+"""Slices of equal row count: windows and running state split by place, so one busy key is many tasks.
+
+Rows are ranked inside their key (range partitions, no key in one task) and cut
+every so many rows, so a key whose rows all fall into one hour is cut like any
+other. Running state (last value, sums) is summed up per slice, carried over
+slices, and enters each slice as one extra row. A value at another time (the
+oldest in a trailing window, how many rows there are before its left edge) is
+looked up by an extra row at that time, so no window's rows are copied. Where a
+window's rows themselves are needed, a slice fetches them from the slices its
+span overlaps (a halo).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewrack.operators.ordering import rank_rows
+
 SECOND = 1_000_000
+#: Rows of a slice.
+ROWS = 200_000
 
 
 def micros(seconds: float) -> int:
@@ -29,14 +39,10 @@ def block(value: Column, size: int) -> Column:
     return F.floor((value - F.pmod(value, F.lit(size))) / F.lit(size)).cast("long")
 
 
-def with_slice(df: DataFrame, t: Column, size: int) -> DataFrame:
-    return df.withColumn("_slice", block(t, size))
-
-
 def with_halo(df: DataFrame, t: Column, size: int, before: int = 0, after: int = 0) -> DataFrame:
-    """Copy each row to every slice that can see it; ``_own`` marks the row's own slice.
+    """Copy each row to every block of ``size`` places that can see it; ``_own`` marks the row's own block.
 
-    ``before``/``after`` say how far a row's window looks back and ahead, in the unit of ``t``.
+    ``t`` is a row number from 0; ``before``/``after`` say how many rows a row's window looks back and ahead.
     """
     spans = F.sequence(block(t - F.lit(after), size), block(t + F.lit(before), size))
     return df.withColumn("_slice", F.explode_outer(spans)).withColumn("_own", F.col("_slice").eqNullSafe(block(t, size)))
@@ -46,28 +52,20 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.filter("_own").drop("_own", "_slice")
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    t: Column,
-    tie: Sequence[str | Column],
-    size: int,
-    last: Mapping[str, Column] | None = None,
-    total: Mapping[str, Column] | None = None,
-) -> DataFrame:
-    """Add, per key in time order, the last non-null value so far and running sums so far.
+def place(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows: int | None = None) -> DataFrame:
+    """``df`` (stored) with ``_n``, the row number inside the key by ``order``, and ``_slice``, which holds ``rows`` rows of a key."""
+    return rank_rows(df, keys, order, "_n").withColumn("_slice", F.floor((F.col("_n") - 1) / (rows or ROWS)).cast("long"))
+
 
-    Both include the current row. ``tie`` orders rows of equal time.
+def running(placed: DataFrame, keys: Sequence[str], last: Mapping[str, Column] | None = None, total: Mapping[str, Column] | None = None) -> DataFrame:
+    """Add to the rows of ``place``, per key in their order, the last non-null value so far and running sums so far.
+
+    Both include the current row.
     """
     last, total = dict(last or {}), dict(total or {})
-    rows = with_slice(
-        df.select("*", t.alias("_t"), *[c.alias(f"_l_{n}") for n, c in last.items()], *[c.alias(f"_s_{n}") for n, c in total.items()]),
-        F.col("_t"),
-        size,
-    )
-    place = F.struct(F.col("_t"), *[(F.col(x) if isinstance(x, str) else x).alias(f"k{i}") for i, x in enumerate(tie)])
+    rows = placed.select("*", *[c.alias(f"_l_{n}") for n, c in last.items()], *[c.alias(f"_s_{n}") for n, c in total.items()])
     summary = rows.groupBy(*keys, "_slice").agg(
-        *[F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), place)).alias(f"_l_{n}") for n in last],
+        *[F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), F.col("_n"))).alias(f"_l_{n}") for n in last],
         *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in total],
     )
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,13 +78,43 @@ def running(
         *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in total],
     )
     both = rows.withColumn("_real", F.lit(1)).unionByName(carry, allowMissingColumns=True)
-    so_far = Window.partitionBy(*keys, "_slice").orderBy("_real", "_t", *tie).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(*keys, "_slice").orderBy("_real", "_n").rowsBetween(Window.unboundedPreceding, 0)
     return both.select(
-        *df.columns,
+        *placed.columns,
         "_real",
         *[F.last(f"_l_{n}", ignorenulls=True).over(so_far).alias(n) for n in last],
         *[F.sum(f"_s_{n}").over(so_far).alias(n) for n in total],
     ).filter(F.col("_real") == 1).drop("_real")
 
 
-DAY_US = 86_400 * SECOND
+def looked_up(df: DataFrame, source: DataFrame, keys: Sequence[str], t: Column, at: Column, last: Mapping[str, Column] | None = None,
+              total: Mapping[str, Column] | None = None, inclusive: bool = True, backward: bool = False, rows: int | None = None) -> DataFrame:
+    """``df`` with what ``source`` holds up to time ``at`` of each row (``backward``: from it on), per key.
+
+    ``last`` gives the value nearest to ``at``, ``total`` the sum. ``t`` is the time of a row of
+    ``source``; rows exactly at ``at`` count if ``inclusive``.
+    """
+    last, total = dict(last or {}), dict(total or {})
+    named = {**last, **total}
+    events = source.filter(t.isNotNull()).select(*keys, t.alias("_at"), F.lit(0).alias("_probe"), *[c.alias(f"_v_{n}") for n, c in named.items()])
+    probes = df.select("*", at.alias("_at"), F.lit(1).alias("_probe"))
+    both = probes.unionByName(events, allowMissingColumns=True)
+    order = [F.desc_nulls_first("_at") if backward else F.asc_nulls_first("_at"), F.asc("_probe") if inclusive else F.desc("_probe")]
+    seen = running(place(both, keys, order, rows), keys, {n: F.col(f"_v_{n}") for n in last}, {n: F.col(f"_v_{n}") for n in total})
+    return seen.filter("_probe = 1").select(*df.columns, *named)
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], prefix: str) -> Column:
+    """Join condition on keys of ``a`` and prefixed ones of ``b``, nulls equal."""
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"{prefix}{k}"]) for k in keys], F.lit(True))
+
+
+def time_halo(placed: DataFrame, keys: Sequence[str], t: str, before: int, after: int) -> DataFrame:
+    """Rows of ``place`` (by ``t``) sent to each slice that sees them: ``_to`` is that slice, ``_own`` marks the row's own."""
+    spans = placed.groupBy(*keys, "_slice").agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+    near = spans.select(*[F.col(k).alias(f"_d_{k}") for k in keys], F.col("_slice").alias("_to"), (F.col("_lo") - before).alias("_from"), (F.col("_hi") + after).alias("_until"))
+    meets = same_keys(spans, near, keys, "_d_") & ((F.col("_slice") == F.col("_to")) | ((F.col("_hi") >= F.col("_from")) & (F.col("_lo") <= F.col("_until"))))
+    sent = spans.join(near, meets).select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_slice").alias("_out"), "_to", "_from", "_until")
+    rows = placed.join(sent, same_keys(placed, sent, keys, "_s_") & (placed["_slice"] == sent["_out"]))
+    rows = rows.withColumn("_own", F.col("_slice") == F.col("_to")).filter(F.col("_own") | F.col(t).between(F.col("_from"), F.col("_until")))
+    return rows.drop("_out", "_from", "_until", "_slice", *[f"_s_{k}" for k in keys])
