@@ -17,8 +17,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewrack.operators.ordering import _attach
 from tidewrack.operators.slices import micros, place, us
@@ -114,23 +115,23 @@ def _state_columns(states: list[tuple[int, int] | None]) -> list[pa.Array]:
     return [pa.array([None if s is None else s[x] for s in states], pa.int64()) for x in (0, 1)]
 
 
-def thin(df: DataFrame, keys: Sequence[str], ts: str, tie: str, min_gap_s: float, once_per: str | None = None, rows: int | None = None, fan: int = FAN) -> DataFrame:
-    """Rows kept when each kept row is at least ``min_gap_s`` after the previous kept one of its key.
+def in_order(df: DataFrame, keys: Sequence[str], ts: str, tie: str, rows: int | None = None) -> DataFrame:
+    """``df`` (stored) in slices of each key by time and ``tie``, a unique column; rows without a time are left out. For ``mark_kept``."""
+    return place(df.filter(F.col(ts).isNotNull()).withColumn("_at", us(ts)), keys, ["_at", tie], rows)
+
+
+def mark_kept(events: DataFrame, keys: Sequence[str], min_gap_s: float, among: Column, out: str, once_per: str | None = None, fan: int = FAN) -> DataFrame:
+    """Rows of ``in_order`` with ``out``: true where a row of ``among`` is kept, at least ``min_gap_s`` after the previous kept one of its key.
 
     ``once_per`` names a column of episode numbers that never fall; at most one row of an episode is kept.
-    ``tie`` is a unique column that orders rows of equal time. Rows without a time are left out.
-    ``rows`` of a key make a slice, ``fan`` slices a group.
     """
-    rule, own = Keep(micros(min_gap_s), once_per is not None), df.columns
-    episode = F.col(once_per) if once_per else F.lit(0)
-    timed = df.filter(F.col(ts).isNotNull()).withColumns({"_at": us(ts), "_ep": episode.cast("long")})
-    events = place(timed, keys, ["_at", tie], rows)
-    key_ddl = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    rule, own = Keep(micros(min_gap_s), once_per is not None), events.columns
+    key_ddl = "".join(f"`{k}` {events.schema[k].dataType.simpleString()}, " for k in keys)
     span_ddl, state_ddl = f"{key_ddl}_slice long, {_TABLE}", f"{key_ddl}_slice long, _in_t long, _in_g long"
+    flagged = events.withColumns({"_among": F.coalesce(among, F.lit(False)), "_ep": (F.col(once_per) if once_per else F.lit(0)).cast("long")})
 
-    def arrays(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-        table = table.sort_by("_n")
-        return table, table.column("_at").to_numpy(), rule.episodes(table.column("_ep").to_numpy())
+    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return table.column("_at").to_numpy(), rule.episodes(table.column("_ep").to_numpy())
 
     def span_row(head: pa.Table, number: int, values: tuple) -> pa.Table:
         columns = {k: head.column(k).slice(0, 1) for k in keys} | {"_slice": pa.array([number], pa.int64())}
@@ -139,8 +140,8 @@ def thin(df: DataFrame, keys: Sequence[str], ts: str, tie: str, min_gap_s: float
         return pa.table(columns)
 
     def summarise(table: pa.Table) -> pa.Table:
-        table, t, g = arrays(table)
-        return span_row(table, table.column("_slice")[0].as_py(), rule.table(t, g))
+        table = table.sort_by("_n")
+        return span_row(table, table.column("_slice")[0].as_py(), rule.table(*arrays(table)))
 
     def compose(table: pa.Table) -> pa.Table:
         table = table.sort_by("_slice")
@@ -153,21 +154,36 @@ def thin(df: DataFrame, keys: Sequence[str], ts: str, tie: str, min_gap_s: float
         return pa.table({k: table.column(k) for k in keys} | {"_slice": table.column("_slice")} | dict(zip(("_in_t", "_in_g"), _state_columns(states))))
 
     def replay(table: pa.Table) -> pa.Table:
-        table, t, g = arrays(table)
+        table = table.sort_by("_n")
+        mine = np.flatnonzero(table.column("_among").to_numpy())
         before = table.column("_in_t")[0].as_py(), table.column("_in_g")[0].as_py()
-        return table.take(pa.array(rule.kept(t, g, None if before[0] is None else before), pa.int64())).select(own)
+        t, g = (x[mine] for x in arrays(table))
+        yes = np.zeros(len(table), dtype=bool)
+        yes[mine[rule.kept(t, g, None if before[0] is None else before)]] = True
+        return table.select(own).append_column(out, pa.array(yes))
 
     nothing = {"_in_t": F.lit(None).cast("long"), "_in_g": F.lit(None).cast("long")}
     group = F.floor(F.col("_slice") / fan).cast("long")
     if events.filter("_slice > 0").isEmpty():
-        entered = events.withColumns(nothing)
+        entered = flagged.withColumns(nothing)
     else:
-        levels = [durable(events.groupBy(*keys, "_slice").applyInArrow(summarise, span_ddl))]
+        # slices without a row of ``among`` change nothing, so they may be missing from the tables
+        levels = [durable(flagged.filter("_among").groupBy(*keys, "_slice").applyInArrow(summarise, span_ddl))]
         while not levels[-1].filter("_slice > 0").isEmpty():
             levels.append(durable(levels[-1].withColumn("_group", group).groupBy(*keys, "_group").applyInArrow(compose, span_ddl)))
         state = levels[-1].select(*keys, "_slice").withColumns(nothing)
         for level in reversed(levels[:-1]):
             told = _attach(level.withColumn("_group", group), state.withColumnRenamed("_slice", "_group"), [*keys, "_group"])
             state = told.groupBy(*keys, "_group").applyInArrow(hand_down, state_ddl)
-        entered = _attach(events, durable(state), [*keys, "_slice"])
-    return entered.groupBy(*keys, "_slice").applyInArrow(replay, df.schema)
+        entered = _attach(flagged, durable(state), [*keys, "_slice"])
+    return entered.groupBy(*keys, "_slice").applyInArrow(replay, T.StructType([*events.schema, T.StructField(out, T.BooleanType())]))
+
+
+def thin(df: DataFrame, keys: Sequence[str], ts: str, tie: str, min_gap_s: float, once_per: str | None = None, rows: int | None = None, fan: int = FAN) -> DataFrame:
+    """Rows kept when each kept row is at least ``min_gap_s`` after the previous kept one of its key.
+
+    ``once_per``: see ``mark_kept``. ``tie`` is a unique column that orders rows of equal time. Rows without a time are left out.
+    ``rows`` of a key make a slice, ``fan`` slices a group.
+    """
+    marked = mark_kept(in_order(df, keys, ts, tie, rows), keys, min_gap_s, F.lit(True), "_kept", once_per, fan)
+    return marked.filter("_kept").select(df.columns)

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewrack.functions.columns import KELVIN, PA_PER_INHG, dew_point_c, sane_filter
-from tidewrack.operators.folds import thin
+from tidewrack.operators.folds import in_order, mark_kept, thin
 from tidewrack.operators.medians import window_medians
 from tidewrack.operators.ordering import exact_percentile, rank_rows, running_totals, with_scalars
-from tidewrack.operators.slices import looked_up, micros, place, running, time_halo, us, with_halo
+from tidewrack.operators.slices import micros, oldest_since, place, running, time_halo, us, with_halo
 from tidewrack.session import durable
 
 # Alert thresholds.
@@ -27,11 +27,16 @@ STALE_S, STALE_READS, DOWN_COOLDOWN_S = 30, 2, 1800
 
 
 def rolling_count(crops: DataFrame, keys: Sequence[str], ts: str = "ts", window_s: float = 86_400, out: str = "crops_24h", rows: int | None = None) -> DataFrame:
-    """Rows of the key in the trailing window up to each row's time; the left edge counts."""
-    one, t = F.lit(1), us(ts)
-    upto = looked_up(crops, crops, keys, t, t, total={"_upto": one}, rows=rows)
-    both = looked_up(upto, crops, keys, t, t - micros(window_s), total={"_before": one}, inclusive=False, rows=rows)
-    return both.withColumn(out, F.col("_upto") - F.col("_before")).drop("_upto", "_before")
+    """Rows of the key in the trailing window up to each row's time; the left edge counts.
+
+    A row enters the count at its time and leaves it a window later, behind the rows of that time. Rows without a time count nothing.
+    """
+    t = us(ts)
+    step = lambda at, order, change: [at.alias("_at"), F.lit(order).alias("_order"), F.lit(change).alias("_change")]
+    enter, leave = (crops.select(*keys, *step(*x)).filter("_at IS NOT NULL") for x in ((t, 0, 1), (t + micros(window_s), 2, -1)))
+    every = crops.select("*", *step(t, 1, 0)).unionByName(enter.unionByName(leave), allowMissingColumns=True)
+    counted = running(place(every, keys, ["_at", "_order"], rows), keys, total={out: F.col("_change")})
+    return counted.filter("_order = 1").select(*crops.columns, out)
 
 
 def leak_streak(samples: DataFrame, keys: Sequence[str], ts: str, tie: str, k: int, leak: str = "leak", rows: int | None = None) -> DataFrame:
@@ -51,26 +56,43 @@ def leak_trend(samples: DataFrame, keys: Sequence[str], ts: str, window_s: float
     """
     t = us(ts)
     d = samples.withColumn("_dew", dew_point_c(temp, humidity))
-    # the nearest known value from the left edge on lies inside the window wherever the row's own value is known
-    d = looked_up(d, d, keys, t, t - micros(window_s), last={"_dew0": F.col("_dew"), "_p0": F.col(pressure), "_t0": t}, backward=True, rows=rows)
+    d = oldest_since(d, keys, t, t - micros(window_s), {"_dew0": F.col("_dew"), "_p0": F.col(pressure), "_t0": t}, rows)
+    return d.withColumns(_shifts(t, pressure, window_s, dew_rise, pressure_shift)).drop("_dew", "_dew0", "_p0", "_t0")
+
+
+def _shifts(t: Column, pressure: str, window_s: float, dew_rise: float, pressure_shift: float) -> dict[str, Column]:
+    """Shifts against the oldest values since the left edge; these lie inside the window wherever the row's own value is known."""
     ready = (t - F.col("_t0")) >= micros(window_s) * 0.5
-    d = d.withColumns({"dew_rise": F.when(ready, F.col("_dew") - F.col("_dew0")), "pressure_shift": F.when(ready, F.abs(F.col(pressure) - F.col("_p0")))})
-    fires = F.coalesce((F.col("dew_rise") >= dew_rise) & (F.col("pressure_shift") >= pressure_shift), F.lit(False))
-    return d.withColumn("fires", fires).drop("_dew", "_dew0", "_p0", "_t0")
+    rise, shift = F.when(ready, F.col("_dew") - F.col("_dew0")), F.when(ready, F.abs(F.col(pressure) - F.col("_p0")))
+    return {"dew_rise": rise, "pressure_shift": shift, "fires": F.coalesce((rise >= dew_rise) & (shift >= pressure_shift), F.lit(False))}
 
 
-def leak_alerts(samples: DataFrame, keys: Sequence[str], ts: str, tie: str, k: int, window_s: float, cooldown_s: float, **limits) -> DataFrame:
+def leak_alerts(samples: DataFrame, keys: Sequence[str], ts: str, tie: str, k: int, window_s: float, cooldown_s: float, dew_rise: float = DEW_RISE_C,
+                pressure_shift: float = PRESSURE_SHIFT_MBAR, temp: str = "temp_c", humidity: str = "humidity_pct", pressure: str = "pressure_mbar",
+                leak: str = "leak", rows: int | None = None) -> DataFrame:
     """Alerts of both tiers with cooldown: keys, tie, ``tier``.
 
     A critical alert that is sent silences the warning of the same sample; one
-    held back by its own cooldown does not.
+    held back by its own cooldown does not. Both tiers are read off one ordering of the
+    samples and of the left edges of their windows; those that fire are ordered once more.
     """
-    ids = [*keys, tie]
-    critical = durable(thin(leak_streak(samples, keys, ts, tie, k).filter("fires").select(*ids, ts), keys, ts, tie, cooldown_s))
-    trend = leak_trend(samples, keys, ts, window_s, **limits).filter("fires").select(*ids, ts)
-    warning = thin(trend.join(critical.select(*ids), ids, "left_anti"), keys, ts, tie, cooldown_s)
-    tag = lambda d, n: d.select(*ids, F.lit(n).alias("tier"))
-    return tag(critical, "critical").unionByName(tag(warning, "warning"))
+    t, ids = us(ts), [*keys, tie, ts]
+    d = samples.filter(F.col(ts).isNotNull()).select(*ids, F.coalesce(F.col(leak), F.lit(False)).alias("_yes"), dew_point_c(temp, humidity).alias("_dew"), F.col(pressure).alias("_p"))
+    reads, edges = d.select("*", t.alias("_at"), F.lit(1).alias("_read")), d.select("*", (t - micros(window_s)).alias("_at"), F.lit(0).alias("_read"))
+    read = F.col("_read") == 1
+    seen = place(reads.unionByName(edges), keys, ["_at", "_read", tie], rows)
+    known = {"_dew0": F.when(read, F.col("_dew")), "_p0": F.when(read, F.col("_p")), "_t0": F.when(read, F.col("_at"))}
+    seen = running(seen, keys, total={"_reads": F.col("_read")}, following=known)
+    seen = running(seen, keys, last={"_reset": F.when(read & ~F.col("_yes"), F.col("_reads"))})
+    critical = read & (F.col("_reads") - F.coalesce("_reset", F.lit(0)) >= k)
+    warning = ~read & _shifts(t, "_p", window_s, dew_rise, pressure_shift)["fires"]
+    due = seen.select(*ids, critical.alias("_critical"), warning.alias("_warning")).filter("_critical OR _warning")
+    due = due.groupBy(*ids).agg(F.max("_critical").alias("_critical"), F.max("_warning").alias("_warning"))
+    events = in_order(due, keys, ts, tie, rows)
+    events = mark_kept(events, keys, cooldown_s, F.col("_critical"), "_sent")
+    events = mark_kept(events, keys, cooldown_s, F.col("_warning") & ~F.col("_sent"), "_warned")
+    tier = F.when(F.col("_sent"), "critical").when(F.col("_warned"), "warning")
+    return events.select(*keys, tie, tier.alias("tier")).filter("tier IS NOT NULL")
 
 
 def stage_alerts(beats: DataFrame, keys: Sequence[str], ts: str, tie: str, age: str = "age_s", stale_s: float = STALE_S,
@@ -150,7 +172,7 @@ def detrend(df: DataFrame, keys: Sequence[str], ts: str, value: str, window_s: f
 def windowed_rise(df: DataFrame, keys: Sequence[str], ts: str, value: str, window_s: float, out: str = "rise", rows: int | None = None) -> DataFrame:
     """Value minus the oldest value with time >= t - w; null unless that one is at least half a window back."""
     t = us(ts)
-    d = looked_up(df, df, keys, t, t - micros(window_s), last={"_old": F.struct(t.alias("t"), F.col(value).cast("double").alias("v"))}, backward=True, rows=rows)
+    d = oldest_since(df, keys, t, t - micros(window_s), {"_old": F.struct(t.alias("t"), F.col(value).cast("double").alias("v"))}, rows)
     rise = F.when(t - F.col("_old.t") >= 0.5 * micros(window_s), F.col(value) - F.col("_old.v"))
     return d.withColumn(out, rise).drop("_old")
 

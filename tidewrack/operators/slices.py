@@ -2,12 +2,11 @@
 
 Rows are ranked inside their key (range partitions, no key in one task) and cut
 every so many rows, so a key whose rows all fall into one hour is cut like any
-other. Running state (last value, sums) is summed up per slice, carried over
-slices, and enters each slice as one extra row. A value at another time (the
-oldest in a trailing window, how many rows there are before its left edge) is
-looked up by an extra row at that time, so no window's rows are copied. Where a
-window's rows themselves are needed, a slice fetches them from the slices its
-span overlaps (a halo).
+other. Running state (last and next value, sums) is summed up per slice, carried
+over slices, and enters each slice as one extra row. What a trailing window holds
+is read off by extra rows at its edges, so no window's rows are copied. Where
+they are needed themselves, a slice fetches them from the slices its span
+overlaps (a halo).
 """
 
 from __future__ import annotations
@@ -57,51 +56,50 @@ def place(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], row
     return rank_rows(df, keys, order, "_n").withColumn("_slice", F.floor((F.col("_n") - 1) / (rows or ROWS)).cast("long"))
 
 
-def running(placed: DataFrame, keys: Sequence[str], last: Mapping[str, Column] | None = None, total: Mapping[str, Column] | None = None) -> DataFrame:
-    """Add to the rows of ``place``, per key in their order, the last non-null value so far and running sums so far.
+def running(placed: DataFrame, keys: Sequence[str], last: Mapping[str, Column] | None = None, total: Mapping[str, Column] | None = None,
+            following: Mapping[str, Column] | None = None) -> DataFrame:
+    """Add to the rows of ``place``, per key in their order, the last non-null value so far, running sums so far, and the next non-null value.
 
-    Both include the current row.
+    All include the current row.
     """
-    last, total = dict(last or {}), dict(total or {})
-    rows = placed.select("*", *[c.alias(f"_l_{n}") for n, c in last.items()], *[c.alias(f"_s_{n}") for n, c in total.items()])
+    last, total, following = dict(last or {}), dict(total or {}), dict(following or {})
+    named = {**{f"_l_{n}": c for n, c in last.items()}, **{f"_s_{n}": c for n, c in total.items()}, **{f"_f_{n}": c for n, c in following.items()}}
+    rows = placed.select("*", *[c.alias(n) for n, c in named.items()])
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("_n"))
     summary = rows.groupBy(*keys, "_slice").agg(
-        *[F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), F.col("_n"))).alias(f"_l_{n}") for n in last],
+        *[F.max_by(f"_l_{n}", at(f"_l_{n}")).alias(f"_l_{n}") for n in last],
         *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in total],
+        *[F.min_by(f"_f_{n}", at(f"_f_{n}")).alias(f"_f_{n}") for n in following],
     )
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # the state before a slice enters its window as one extra first row
-    carry = summary.select(
-        *keys,
-        "_slice",
-        F.lit(0).alias("_real"),
-        *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_l_{n}") for n in last],
-        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in total],
-    )
-    both = rows.withColumn("_real", F.lit(1)).unionByName(carry, allowMissingColumns=True)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    # the state around a slice enters its windows as an extra first and last row
+    both = rows.withColumn("_real", F.lit(1))
+    if last or total:
+        both = both.unionByName(summary.select(
+            *keys, "_slice", F.lit(0).alias("_real"),
+            *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_l_{n}") for n in last],
+            *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in total]), allowMissingColumns=True)
+    if following:
+        both = both.unionByName(summary.select(
+            *keys, "_slice", F.lit(2).alias("_real"), *[F.last(f"_f_{n}", ignorenulls=True).over(later).alias(f"_f_{n}") for n in following]), allowMissingColumns=True)
     so_far = Window.partitionBy(*keys, "_slice").orderBy("_real", "_n").rowsBetween(Window.unboundedPreceding, 0)
+    from_end = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_real"), F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
     return both.select(
         *placed.columns,
         "_real",
         *[F.last(f"_l_{n}", ignorenulls=True).over(so_far).alias(n) for n in last],
         *[F.sum(f"_s_{n}").over(so_far).alias(n) for n in total],
+        *[F.last(f"_f_{n}", ignorenulls=True).over(from_end).alias(n) for n in following],
     ).filter(F.col("_real") == 1).drop("_real")
 
 
-def looked_up(df: DataFrame, source: DataFrame, keys: Sequence[str], t: Column, at: Column, last: Mapping[str, Column] | None = None,
-              total: Mapping[str, Column] | None = None, inclusive: bool = True, backward: bool = False, rows: int | None = None) -> DataFrame:
-    """``df`` with what ``source`` holds up to time ``at`` of each row (``backward``: from it on), per key.
-
-    ``last`` gives the value nearest to ``at``, ``total`` the sum. ``t`` is the time of a row of
-    ``source``; rows exactly at ``at`` count if ``inclusive``.
-    """
-    last, total = dict(last or {}), dict(total or {})
-    named = {**last, **total}
-    events = source.filter(t.isNotNull()).select(*keys, t.alias("_at"), F.lit(0).alias("_probe"), *[c.alias(f"_v_{n}") for n, c in named.items()])
-    probes = df.select("*", at.alias("_at"), F.lit(1).alias("_probe"))
-    both = probes.unionByName(events, allowMissingColumns=True)
-    order = [F.desc_nulls_first("_at") if backward else F.asc_nulls_first("_at"), F.asc("_probe") if inclusive else F.desc("_probe")]
-    seen = running(place(both, keys, order, rows), keys, {n: F.col(f"_v_{n}") for n in last}, {n: F.col(f"_v_{n}") for n in total})
-    return seen.filter("_probe = 1").select(*df.columns, *named)
+def oldest_since(df: DataFrame, keys: Sequence[str], t: Column, at: Column, values: Mapping[str, Column], rows: int | None = None) -> DataFrame:
+    """``df`` with the first non-null of each of ``values`` among the key's rows whose time is ``at`` or later. ``t`` is a row's time."""
+    events = df.filter(t.isNotNull()).select(*keys, t.alias("_at"), F.lit(1).alias("_event"), *[c.alias(f"_v_{n}") for n, c in values.items()])
+    probes = df.select("*", at.alias("_at"), F.lit(0).alias("_event"))
+    placed = place(probes.unionByName(events, allowMissingColumns=True), keys, [F.asc_nulls_last("_at"), "_event"], rows)
+    return running(placed, keys, following={n: F.col(f"_v_{n}") for n in values}).filter("_event = 0").select(*df.columns, *values)
 
 
 def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], prefix: str) -> Column:
