@@ -57,38 +57,27 @@ def leak_trend(samples: DataFrame, keys: Sequence[str], ts: str, window_s: float
     t = us(ts)
     d = samples.withColumn("_dew", dew_point_c(temp, humidity))
     d = oldest_since(d, keys, t, t - micros(window_s), {"_dew0": F.col("_dew"), "_p0": F.col(pressure), "_t0": t}, rows)
-    return d.withColumns(_shifts(t, pressure, window_s, dew_rise, pressure_shift)).drop("_dew", "_dew0", "_p0", "_t0")
-
-
-def _shifts(t: Column, pressure: str, window_s: float, dew_rise: float, pressure_shift: float) -> dict[str, Column]:
-    """Shifts against the oldest values since the left edge; these lie inside the window wherever the row's own value is known."""
+    # the oldest value since the left edge lies inside the window wherever the row's own value is known
     ready = (t - F.col("_t0")) >= micros(window_s) * 0.5
-    rise, shift = F.when(ready, F.col("_dew") - F.col("_dew0")), F.when(ready, F.abs(F.col(pressure) - F.col("_p0")))
-    return {"dew_rise": rise, "pressure_shift": shift, "fires": F.coalesce((rise >= dew_rise) & (shift >= pressure_shift), F.lit(False))}
+    d = d.withColumns({"dew_rise": F.when(ready, F.col("_dew") - F.col("_dew0")), "pressure_shift": F.when(ready, F.abs(F.col(pressure) - F.col("_p0")))})
+    fires = F.coalesce((F.col("dew_rise") >= dew_rise) & (F.col("pressure_shift") >= pressure_shift), F.lit(False))
+    return d.withColumn("fires", fires).drop("_dew", "_dew0", "_p0", "_t0")
 
 
-def leak_alerts(samples: DataFrame, keys: Sequence[str], ts: str, tie: str, k: int, window_s: float, cooldown_s: float, dew_rise: float = DEW_RISE_C,
-                pressure_shift: float = PRESSURE_SHIFT_MBAR, temp: str = "temp_c", humidity: str = "humidity_pct", pressure: str = "pressure_mbar",
-                leak: str = "leak", rows: int | None = None) -> DataFrame:
-    """Alerts of both tiers with cooldown: keys, tie, ``tier``.
+def leak_alerts(samples: DataFrame, keys: Sequence[str], ts: str, tie: str, k: int, window_s: float, cooldown_s: float, leak: str = "leak",
+                rows: int | None = None, **limits) -> DataFrame:
+    """Alerts of both tiers with cooldown: keys, tie, ``tier``. Samples without a time give none.
 
     A critical alert that is sent silences the warning of the same sample; one
-    held back by its own cooldown does not. Both tiers are read off one ordering of the
-    samples and of the left edges of their windows; those that fire are ordered once more.
+    held back by its own cooldown does not. Samples at which a tier fires are put in order once for both tiers.
     """
-    t, ids = us(ts), [*keys, tie, ts]
-    d = samples.filter(F.col(ts).isNotNull()).select(*ids, F.coalesce(F.col(leak), F.lit(False)).alias("_yes"), dew_point_c(temp, humidity).alias("_dew"), F.col(pressure).alias("_p"))
-    reads, edges = d.select("*", t.alias("_at"), F.lit(1).alias("_read")), d.select("*", (t - micros(window_s)).alias("_at"), F.lit(0).alias("_read"))
-    read = F.col("_read") == 1
-    seen = place(reads.unionByName(edges), keys, ["_at", "_read", tie], rows)
-    known = {"_dew0": F.when(read, F.col("_dew")), "_p0": F.when(read, F.col("_p")), "_t0": F.when(read, F.col("_at"))}
-    seen = running(seen, keys, total={"_reads": F.col("_read")}, following=known)
-    seen = running(seen, keys, last={"_reset": F.when(read & ~F.col("_yes"), F.col("_reads"))})
-    critical = read & (F.col("_reads") - F.coalesce("_reset", F.lit(0)) >= k)
-    warning = ~read & _shifts(t, "_p", window_s, dew_rise, pressure_shift)["fires"]
-    due = seen.select(*ids, critical.alias("_critical"), warning.alias("_warning")).filter("_critical OR _warning")
-    due = due.groupBy(*ids).agg(F.max("_critical").alias("_critical"), F.max("_warning").alias("_warning"))
-    events = in_order(due, keys, ts, tie, rows)
+    ids, yes, no = [*keys, tie, ts], F.lit(True), F.lit(False)
+    samples = samples.filter(F.col(ts).isNotNull())
+    critical = leak_streak(samples.select(*ids, leak), keys, ts, tie, k, leak, rows).filter("fires").select(*ids, yes.alias("_critical"), no.alias("_warning"))
+    warning = leak_trend(samples, keys, ts, window_s, rows=rows, **limits).filter("fires").select(*ids, no.alias("_critical"), yes.alias("_warning"))
+    due = critical.unionByName(warning).groupBy(*ids).agg(F.max("_critical").alias("_critical"), F.max("_warning").alias("_warning"))
+    # ordering reads its input twice, once to find the ranges
+    events = in_order(durable(due), keys, ts, tie, rows)
     events = mark_kept(events, keys, cooldown_s, F.col("_critical"), "_sent")
     events = mark_kept(events, keys, cooldown_s, F.col("_warning") & ~F.col("_sent"), "_warned")
     tier = F.when(F.col("_sent"), "critical").when(F.col("_warned"), "warning")
@@ -104,7 +93,7 @@ def stage_alerts(beats: DataFrame, keys: Sequence[str], ts: str, tie: str, age:
     d = place(d, keys, [ts, tie])
     d = running(d, keys, last={"_fresh": F.when(~F.col("_stale"), F.col("_n"))}, total={"_outage": F.when(F.col("_stale"), 0).otherwise(1)})
     due = d.filter(F.col("_stale") & (F.col("_n") - F.coalesce("_fresh", F.lit(0)) >= reads))
-    down = durable(thin(due.select(*keys, tie, ts, "_outage"), keys, ts, tie, cooldown_s, once_per="_outage"))
+    down = durable(thin(durable(due.select(*keys, tie, ts, "_outage")), keys, ts, tie, cooldown_s, once_per="_outage"))
     # the fresh read that ends outage k is the (k+1)-th fresh read of its key
     ends = d.filter(~F.col("_stale")).select(*keys, tie, (F.col("_outage") - 1).alias("_outage"))
     up = ends.join(down.select(*keys, "_outage"), [*keys, "_outage"], "left_semi")
