@@ -23,76 +23,146 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm.bpe import byte_letters
 from tidewrack.llm.common import durable, open_store, shared_folder, slices, vocabulary
-from tidewrack.llm.parts import PartStore, joined
+from tidewrack.llm.parts import ragged
 
 MAGIC = b"TRNS"
 HEAD = struct.Struct("<4sIQIIQI")
 #: Bits of a frequency, least state, lanes of a full block, ids after which a block ends, steps between checkpoints.
 SCALE, LOW, LANES, BLOCK_IDS, CHECK_STEPS = 20, 1 << 31, 1024, 1 << 18, 128
-SLICE_CHARS, KEPT_PARTS = 1_000_000, 400_000
+#: Characters of text handled at once, parts kept with their ids, parts that the library encodes in one go, what stands between them.
+SLICE_CHARS, KEPT_PARTS, AT_ONCE, MARK = 1_000_000, 800_000, 5_000, ";"
 MARKS = ".,;:!?"
+_NONE = np.zeros(0, dtype=np.int32)
 _KEPT: dict[str, LibraryIds] = {}
 
 
 # Ids of texts, by the library
 
+class Places(dict):
+    """Numbers parts as they are met; ``new`` lists those without ids yet."""
+
+    def __init__(self, parts: list[str] = ()):
+        super().__init__(zip(parts, range(len(parts))))
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        place = self[part] = len(self)
+        self.new.append(part)
+        return place
+
+
 class LibraryIds:
-    """Ids of texts. Parts between blanks do not depend on each other, so the library encodes each new part once.
+    """Ids of texts. Parts between blanks or line ends do not depend on each other, so the library encodes each new part once.
 
-    A part of letters below U+0250, perhaps with one mark behind, is given to the library's model straight away (in
-    lower case, its bytes as the vocabulary's letters): the normaliser and the pattern would leave it as that one word.
-    Not so with U+0130, whose lower case has a combining dot that the pattern splits off.
+    A part of letters below U+0250, perhaps with one mark behind, has the ids of its word in lower case and of the mark: the
+    normaliser and the pattern would leave it as these. Not so with U+0130, whose lower case has a combining dot that the
+    pattern splits off. New words and other new parts go to the library many at a time, with a mark between them whose
+    id tells them apart. Beyond ``kept`` parts only the half met most often stays.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_PARTS):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.letters = byte_letters()
-        self.store = PartStore(self._encode, KEPT_PARTS)
-        self.words: dict[str, list[int]] = {}
-        self.marks = {m: e.ids for m, e in zip(MARKS, self.library.encode_batch(list(MARKS), add_special_tokens=False))}
-
-    def _word(self, word: str) -> list[int]:
-        word = word.lower()
-        ids = self.words.get(word)
-        if ids is None:
-            plain = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            ids = self.words[word] = [t.id for t in self.model.tokenize(plain)]
-        return ids
+        self.marks = {m: ids[0] for m, ids in zip(MARKS, self._library(list(MARKS))) if len(ids) == 1}
+        self.kept = kept
+        self._keep([], _NONE, np.zeros(0, dtype=np.int64))
+        self._no_words()
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, parts: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.places = Places(parts)
+        self.flat, self.sizes = flat, sizes
+        self.starts = np.cumsum(sizes) - sizes
+        self.met = np.zeros(len(parts), dtype=np.int64)
+
+    def _forget(self) -> None:
+        often = np.sort(np.argsort(-self.met, kind="stable")[:self.kept // 2])
+        parts, sizes = list(self.places), self.sizes[often]
+        self._keep([parts[k] for k in often.tolist()], self.flat[ragged(self.starts[often], sizes)], sizes)
+
+    def _no_words(self) -> None:
+        self.words, self.word_ids, self.word_sizes = Places(), _NONE, np.zeros(0, dtype=np.int64)
+
+    def _apart(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts without the mark, end to end, and how many each has, by the library."""
+        flat, sizes = [_NONE], [np.zeros(0, dtype=np.int64)]
+        for a in range(0, len(parts), AT_ONCE):
+            some = parts[a:a + AT_ONCE]
+            ids = np.array(self._library([f" {MARK} ".join(some)])[0], dtype=np.int32)
+            between = ids == self.marks[MARK]
+            ends = np.concatenate([np.flatnonzero(between), [len(ids)]])
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary joins a mark with what stands beside it")
+            flat.append(ids[~between])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > KEPT_PARTS:
-            self.words.clear()
-        out: list = [None] * len(parts)
-        rest = []
+        """Ids of parts end to end, and how many each has."""
+        if len(self.words) > self.kept:
+            self._no_words()
+        worded, words, tails, rest, single = [], [], [], [], []
         for k, p in enumerate(parts):
-            if not p:
-                out[k] = []
-            elif p.isascii() or (max(p) < "ɐ" and "İ" not in p):
+            if p and (p.isascii() or (max(p) < "ɐ" and "İ" not in p)):
                 if p.isalpha():
-                    out[k] = self._word(p)
-                elif p[-1] in self.marks and p[:-1].isalpha():
-                    out[k] = self._word(p[:-1]) + self.marks[p[-1]]
-                else:
-                    rest.append(k)
-            else:
-                rest.append(k)
-        for k, e in zip(rest, self.library.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False)):
-            out[k] = e.ids
-        return joined(out)
+                    worded.append(k)
+                    words.append(self.words[p.lower()])
+                    tails.append(-1)
+                    continue
+                if p[-1] in self.marks and p[:-1].isalpha():
+                    worded.append(k)
+                    words.append(self.words[p[:-1].lower()])
+                    tails.append(self.marks[p[-1]])
+                    continue
+            if p:
+                (single if MARK in p else rest).append(k)
+        flat, sizes = self._apart(self.words.new)
+        self.words.new = []
+        self.word_ids, self.word_sizes = np.concatenate([self.word_ids, flat]), np.concatenate([self.word_sizes, sizes])
+        n = np.zeros(len(parts), dtype=np.int64)
+        row, tail = np.array(words, dtype=np.int64), np.array(tails, dtype=np.int32)
+        n[worded] = self.word_sizes[row] + (tail >= 0)
+        others = self._apart([parts[k] for k in rest])
+        n[rest] = others[1]
+        alone = self._library([parts[k] for k in single])
+        n[single] = [len(x) for x in alone]
+        out, at = np.empty(int(n.sum()), dtype=np.int32), np.cumsum(n) - n
+        own = self.word_sizes[row]
+        out[ragged(at[worded], own)] = self.word_ids[ragged((np.cumsum(self.word_sizes) - self.word_sizes)[row], own)]
+        marked = np.flatnonzero(tail >= 0)
+        out[(at[worded] + own)[marked]] = tail[marked]
+        out[ragged(at[rest], others[1])] = others[0]
+        out[ragged(at[single], n[single])] = list(chain.from_iterable(alone))
+        return out, n
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.store.ids([t.split(" ") for t in texts])
+        """Ids of all texts end to end, and how many each has."""
+        if len(self.places) > self.kept:
+            self._forget()
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        n_parts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        rows = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(n_parts.sum()))
+        if self.places.new:
+            flat, sizes = self._encode(self.places.new)
+            self.places.new = []
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+            self.met = np.concatenate([self.met, np.zeros(len(sizes), dtype=np.int64)])
+        self.met += np.bincount(rows, minlength=len(self.met))
+        sizes = self.sizes[rows]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(n_parts)]
+        return self.flat[ragged(self.starts[rows], sizes)], np.diff(np.concatenate([[0], ends]))
 
 
 def library_ids(path: str) -> LibraryIds:
@@ -243,11 +313,15 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                c = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(c) > len(total):
-                    total = np.r_[total, np.zeros(len(c) - len(total), dtype=np.int64)]
-                total[:len(c)] += c
+            column = batch.column(0)
+            if not len(column):
+                continue
+            # the ids of a batch lie end to end
+            at = np.frombuffer(column.buffers()[1], "<i4")[column.offset:column.offset + len(column) + 1] // 4
+            c = np.bincount(np.frombuffer(column.buffers()[2], "<u4", count=at[-1] - at[0], offset=4 * at[0]))
+            if len(c) > len(total):
+                total = np.concatenate([total, np.zeros(len(c) - len(total), dtype=np.int64)])
+            total[:len(c)] += c
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["symbol", "n"])
 
@@ -320,10 +394,13 @@ def write_token_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out)], names=["file", "offset", "n_bytes", "shard", "first_row", "n_docs", "n_ids"])
 
     schema = "file string, offset long, n_bytes long, shard long, first_row long, n_docs long, n_ids long"
-    # One row per block of a quarter million ids: the only table that is ordered as a whole.
     blocks = durable(tokens.select("shard", "row", "doc_id", "ids").mapInArrow(write, schema))
-    before = Window.orderBy("shard", "first_row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("file", F.concat(F.lit(f"{folder}/"), "file")).withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # ids before a shard (one row a partition), then before each block of it
+    sums = blocks.groupBy("shard").agg(F.sum("n_ids").alias("all_ids"))
+    earlier = sums.select("shard", F.coalesce(F.sum("all_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_start"))
+    inside = Window.partitionBy("shard").orderBy("first_row").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("shard_start") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))
+    placed = blocks.join(earlier, "shard").withColumn("start", start).drop("shard_start").withColumn("file", F.concat(F.lit(f"{folder}/"), "file"))
     return placed, freq
 
 
