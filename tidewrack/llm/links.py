@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import durable
+from tidewrack.llm.common import discard, durable
 
-#: Pivots of a round, nodes of a block where the rest of a key is compared block by block, low bits of a key that number its slot.
+#: Other nodes of a key that is compared at once, nodes of a block where the rest of a key is compared block by block, low bits of a key that number its slot.
 PIVOTS, BLOCK, SLOT_BITS = 4, 512, 10
 
 
@@ -76,27 +76,29 @@ def link_nodes(nodes: DataFrame, keys: DataFrame, contents: Callable[[DataFrame]
     a numpy type, or "bits". ``owner``: kind of ``sig`` and a function from equal components [pair, component] to the first slot
     whose key a pair shares. ``contents`` gives (node, content) of a table of nodes, ``confirm`` decides on two contents.
 
-    A key's nodes are never written as all pairs. Each meets the node of the key that shares most keys with others; where groups
-    still differ, ``PIVOTS`` other pivots, twice, but in a key of PIVOTS + 1 nodes at most every other node at once; larger keys
-    whose nodes then still differ are compared in pairs of blocks, and only nodes of different groups within the radius leave a
-    block, and only from the first key they share. So the links found make the same groups as all links would.
+    A key's nodes are never written as all pairs. A node meets one pivot a turn: of the nodes that are central in its keys, the
+    one that shares most keys with others; then, twice, a pivot of another group in a key whose nodes are in several. Keys
+    of ``PIVOTS`` + 1 nodes at most are compared at once. Larger keys whose nodes then still differ are compared in pairs of
+    blocks, and only nodes of different groups within the radius leave a block, and only from the first key they share. So the
+    links found make the same groups as all links would.
     """
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = durable(keys.join(shared, "key").select("key", "n", "node"))
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     central = members.join(degree, "node").select("key", "node", (F.col("degree") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("order"))
-    tops = central.groupBy("key").agg(F.max_by("node", "order").alias("p0"))
-    first = _pivot_pairs(members.withColumn("root", F.col("node")), tops.withColumn("r0", F.col("p0")), 1)
+    tops = central.groupBy("key").agg(F.max(F.struct("order", "node")).alias("top")).select("key", "top.order", F.col("top.node").alias("pivot"))
+    first = _one_pivot(members.select("key", "node").join(tops, "key").where("pivot <> node"), F.max)
     links = content = groups = None
     rest = members
     for turn in range(3):
         if turn:
-            rest = durable(_split(rest.where(f"n > {2 if turn == 1 else PIVOTS + 1}"), groups))
-            orders = [F.xxhash64(F.lit(turn * PIVOTS + k), "node") for k in range(PIVOTS)]
-            # Pivots of different orders may be one node, so they do not cover a small key; all its nodes do.
+            done, rest = rest, durable(_split(rest.where(f"n > {2 if turn == 1 else PIVOTS + 1}"), groups))
+            discard(done)
             large = rest.where(f"n > {PIVOTS + 1}")
-            pivots = large.groupBy("key").agg(*[F.min_by(c, o).alias(f"{p}{k}") for p, c in (("p", "node"), ("r", "root")) for k, o in enumerate(orders)])
-            first = _pivot_pairs(large, pivots, PIVOTS)
+            order = F.xxhash64(F.lit(turn), "node")
+            pivots = large.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("node").alias("pivot"), "root")).alias("top"))
+            met = large.join(pivots, "key").where("root <> top.root").select("node", "top.pivot", "top.order")
+            first = _one_pivot(met, F.min)
             if turn == 1:
                 small = rest.where(f"n <= {PIVOTS + 1}")
                 every = small.groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("all"))
@@ -111,6 +113,12 @@ def link_nodes(nodes: DataFrame, keys: DataFrame, contents: Callable[[DataFrame]
     return components(_judge(last, content, links, contents, confirm)[1])
 
 
+def _one_pivot(met: DataFrame, best: Callable) -> DataFrame:
+    """For each node of (node, pivot, order) its pair with the pivot whose order is ``best``, the largest or least."""
+    chosen = met.groupBy("node").agg(best(F.struct("order", "pivot")).alias("best"))
+    return chosen.select(F.least("node", "best.pivot").alias("a"), F.greatest("node", "best.pivot").alias("b")).distinct()
+
+
 def _pivot_pairs(rows: DataFrame, pivots: DataFrame, count: int) -> DataFrame:
     """Each row's node with the pivots of its key (p0, ..., of roots r0, ...) that are in another group."""
     met = rows.join(pivots, "key")
