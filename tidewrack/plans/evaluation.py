@@ -126,26 +126,27 @@ def grouped_report(t: Tables) -> DataFrame:
     return _r(E.grouped_report(t.v_pred_class, "true_label", "pred_label", GROUPS), "accuracy", "precision", "recall", "f1")
 
 
-@query("E9_multi_granularity_eval", MATCHED + """,
-small AS (SELECT DISTINCT CAST(floor(image_id / CAST(200 AS DOUBLE)) AS BIGINT) AS frame_id, y0, x0, y1, x1 FROM v_manual WHERE y1 - y0 <= 9),
-til AS (SELECT 'tile' AS level, t.score, CASE WHEN EXISTS (SELECT 1 FROM small s WHERE s.frame_id = t.frame_id AND s.y0 < (t.grid_row * 2 + t.offset_idx) * 8 + 16 AND s.y1 > (t.grid_row * 2 + t.offset_idx) * 8
+LEVELS = MATCHED + """,
+boxed AS (SELECT DISTINCT CAST(floor(image_id / CAST(200 AS DOUBLE)) AS BIGINT) AS frame_id, y0, x0, y1, x1 FROM v_manual),
+til AS (SELECT 'tile' AS level, t.score, CASE WHEN EXISTS (SELECT 1 FROM boxed s WHERE s.frame_id = t.frame_id AND s.y0 < (t.grid_row * 2 + t.offset_idx) * 8 + 16 AND s.y1 > (t.grid_row * 2 + t.offset_idx) * 8
    AND s.x0 < (t.grid_col * 2 + t.offset_idx) * 8 + 16 AND s.x1 > (t.grid_col * 2 + t.offset_idx) * 8) THEN 1 ELSE 0 END AS label FROM v_tile_score t),
-pat AS (SELECT 'patch' AS level, m.score, CASE WHEN EXISTS (SELECT 1 FROM small s WHERE s.frame_id = m.frame_id AND s.y0 < m.r * 8 + 8 AND s.y1 > m.r * 8 AND s.x0 < m.c * 8 + 8 AND s.x1 > m.c * 8) THEN 1 ELSE 0 END AS label FROM v_map m),
+pat AS (SELECT 'patch' AS level, m.score, CASE WHEN EXISTS (SELECT 1 FROM boxed s WHERE s.frame_id = m.frame_id AND s.y0 < m.r * 8 + 8 AND s.y1 > m.r * 8 AND s.x0 < m.c * 8 + 8 AND s.x1 > m.c * 8) THEN 1 ELSE 0 END AS label FROM v_map m),
 lev AS (SELECT * FROM til UNION ALL SELECT * FROM pat UNION ALL SELECT 'crop', peak, CASE WHEN label_manual THEN 1 ELSE 0 END FROM matched WHERE peak IS NOT NULL),
 tab AS (SELECT level, round(score, 9) AS threshold, SUM(label) AS pos, SUM(1 - label) AS neg FROM lev GROUP BY 1, 2),
 cur AS (SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER (PARTITION BY level) AS p, SUM(neg) OVER (PARTITION BY level) AS n FROM tab WINDOW w AS (PARTITION BY level ORDER BY threshold DESC)),
 pr AS (SELECT *, tp / CAST(tp + fp AS DOUBLE) AS prec, tp / CAST(p AS DOUBLE) AS rec FROM cur)
 SELECT level, CAST(MAX(p) AS BIGINT) AS positives, CAST(MAX(n) AS BIGINT) AS negatives, round(SUM(neg * (2 * tp - pos) / 2.0::DOUBLE / p / n), 6) AS auc, round(SUM(pos / CAST(p AS DOUBLE) * prec), 6) AS ap,
-  round(arg_max(threshold, (2 * (prec * rec) / (prec + rec + 1e-8), -threshold)), 6) AS f1_threshold, round(arg_max(threshold, (round(tp / CAST(p AS DOUBLE) - fp / CAST(n AS DOUBLE), 12), threshold)), 6) AS youden_threshold FROM pr GROUP BY level""")
-def multi_granularity_eval(t: Tables) -> DataFrame:
-    return _levels(t, t.v_manual.filter("y1 - y0 <= 9"))
+  round(arg_max(threshold, (2 * (prec * rec) / (prec + rec + 1e-8), -threshold)), 6) AS f1_threshold, round(arg_max(threshold, (round(tp / CAST(p AS DOUBLE) - fp / CAST(n AS DOUBLE), 12), threshold)), 6) AS youden_threshold FROM pr GROUP BY level"""
 
 
-@query("E9_multi_granularity_eval_full")
-def multi_granularity_eval_full(t: Tables) -> DataFrame:
+@query("E9_multi_granularity_eval", LEVELS)
+def multi_granularity_eval(t: Tables) -> DataFrame:
     return _levels(t, t.v_manual)
 
 
+query("E9_multi_granularity_eval_full", LEVELS)(multi_granularity_eval)
+
+
 def _levels(t: Tables, manual: DataFrame) -> DataFrame:
     """Tiles and patches labelled by the boxes of ``manual``."""
     boxes = manual.select(F.floor(F.col("image_id") / 200).alias("frame_id"), "y0", "x0", "y1", "x1")

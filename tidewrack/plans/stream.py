@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.operators.slices import us
 from tidewrack.plans.grid import CUT, MAP, UP, CAND, NMS_SQL
-from tidewrack.plans.pixel import frames
+from tidewrack.plans.pixel import PX, frames
 from tidewrack.plans.registry import _SQL, query, with_views
 from tidewrack.plans.standins import Tables
 from tidewrack.session import scratch_root
@@ -196,6 +196,28 @@ def read_sensor_log(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.round(F.sum("p_int_pa"), 4).alias("p"), F.count("temp_int_c").alias("temps"))
 
 
+@query("S5_frame_tiles", f"""WITH {PX}, c AS (SELECT *, CASE WHEN frame_id % 3 = 0 THEN 3 WHEN frame_id % 3 = 1 THEN 4 ELSE 1 END AS ch FROM p),
+g AS (SELECT frame_id, i // 8 AS r, i % 8 AS c, CASE WHEN ch = 1 THEN v ELSE (255 + floor(v / 2)) / 3.0::DOUBLE END AS v FROM c WHERE frame_id % 17 <> 0)
+SELECT CAST(frame_id AS VARCHAR) AS file, CAST(r // 3 AS INT) AS tile_row, CAST(c // 3 AS INT) AS tile_col, CAST(MAX(r) - MIN(r) + 1 AS INT) AS height, CAST(MAX(c) - MIN(c) + 1 AS INT) AS width,
+  round(SUM(v * (1 + (r % 3) * 10 + c % 3)), 6) AS weighed FROM g GROUP BY frame_id, r // 3, c // 3
+UNION ALL SELECT CAST(frame_id AS VARCHAR), NULL, NULL, -1, -1, NULL FROM (SELECT DISTINCT frame_id FROM p WHERE frame_id % 17 = 0) q""")
+def frame_tiles(t: Tables) -> DataFrame:
+    """Image structs of one, three and four channels, as the image reader gives them; some that it could not read."""
+    byte = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    two = F.transform("px", lambda v: F.concat(byte(v), byte(255 - v), byte(F.floor(v / 2))))
+    bad, kind = F.col("frame_id") % 17 == 0, F.col("frame_id") % 3
+    pixels = F.when(kind == 0, two).when(kind == 1, F.transform(two, lambda x: F.concat(x, F.lit("FF")))).otherwise(F.transform("px", byte))
+    side = F.when(bad, -1).otherwise(8)
+    images = frames(t).select(F.col("frame_id").cast("string").alias("origin"), side.alias("height"), side.alias("width"), F.when(kind == 0, 3).when(kind == 1, 4).otherwise(1).alias("nChannels"),
+                              F.when(~bad, F.unhex(F.array_join(pixels, ""))).alias("data"))
+    tiles, unread = S.frame_tiles(images, 3)
+    place = F.col("i")
+    weight = 1 + F.floor(place / F.col("width")) * 10 + place % F.col("width")
+    whole = tiles.select("file", "tile_row", "tile_col", "height", "width", F.posexplode("px").alias("i", "v")).groupBy("file", "tile_row", "tile_col", "height", "width").agg(F.round(F.sum(F.col("v") * weight), 6).alias("weighed"))
+    none = F.lit(None)
+    return whole.unionByName(unread.select("file", none.cast("int").alias("tile_row"), none.cast("int").alias("tile_col"), F.lit(-1).alias("height"), F.lit(-1).alias("width"), none.cast("double").alias("weighed")))
+
+
 @query("S7_write_by_date", "SELECT ymd AS date, COUNT(*) AS files FROM v_name GROUP BY ymd")
 def write_by_date(t: Tables) -> DataFrame:
     path = _dir(t, "dated")

@@ -67,13 +67,12 @@ def read_sensor_log(spark: SparkSession, path: str, header: bool = True) -> Data
     return reader.csv(path)
 
 
-def read_frames(spark: SparkSession, path: str, tile: int = 282) -> tuple[DataFrame, DataFrame]:
-    """Tiles of all readable 8-bit images (grey values, mean of channels) and the list of unreadable files.
+def frame_tiles(images: DataFrame, tile: int = 282) -> tuple[DataFrame, DataFrame]:
+    """Tiles of image structs as Spark's reader gives them (origin, height, width, nChannels, data), and the list of unreadable ones.
 
-    A tile row holds file, row, col, height, width and ``px`` in row-major order, so no
-    row grows with the image. 12-bit frames enter as Parquet arrays instead.
+    A tile row holds file, row, col, height, width and ``px`` (grey values, mean of channels) in row-major order, so no
+    row grows with the image.
     """
-    images = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
     bad = images.filter(F.col("height") < 0).select(F.col("origin").alias("file"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,10 +86,15 @@ def read_frames(spark: SparkSession, path: str, tile: int = 282) -> tuple[DataFr
                         rows.append((file, r // tile, c // tile, part.shape[0], part.shape[1], part.ravel()))
                 yield pd.DataFrame(rows, columns=["file", "tile_row", "tile_col", "height", "width", "px"])
 
-    good = images.filter(F.col("height") > 0)
+    good = images.filter(F.col("height") > 0).select("origin", "height", "width", "nChannels", "data")
     return good.mapInPandas(cut, "file string, tile_row int, tile_col int, height int, width int, px array<double>"), bad
 
 
+def read_frames(spark: SparkSession, path: str, tile: int = 282) -> tuple[DataFrame, DataFrame]:
+    """``frame_tiles`` of all 8-bit images below a folder. 12-bit frames enter as Parquet arrays instead."""
+    return frame_tiles(spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*"), tile)
+
+
 def label_files(files: DataFrame, path: str = "path") -> DataFrame:
     """Class-folder labels of real image files; companions such as ``._x.png`` and odd extensions are left out."""
     return files.filter(~phantom_file(path)).withColumn("class", F.try_element_at(F.split(path, "/"), F.lit(-2)))
