@@ -98,15 +98,31 @@ def test_rank_is_strictly_below(spark):
     assert got == {1: 0.0, 2: 0.25, 3: 1.0, 4: 0.0, 5: None}
 
 
-def test_ema_blocks_equal_the_sequence(spark):
+@pytest.mark.parametrize("alpha,block", [(0.5, 64), (0.001, 7), (0.25, 1000)])
+def test_ema_blocks_equal_the_sequence(spark, alpha, block):
+    """Blocks far shorter than the memory of a small alpha: their maps carry the background over all of them."""
     f = RNG.integers(0, 255, size=(400, 3)).astype(float)
-    df = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(f)], "site string, frame_id long, px array<double>").repartition(3)
-    got = {(r.frame_id, r.i): (r.bg, r.corrected) for r in X.ema_background(df, 0.5, 80.0, chunk=2, block=64).collect()}
+    df = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(f)] + [(None, 5, [1.0, 2.0, 3.0])], "site string, frame_id long, px array<double>").repartition(3)
+    rows = X.pixel_values(X.ema_background(df, alpha, 80.0, chunk=2, block=block, fan=3), ["site", "frame_id"], ["bg", "corrected"]).collect()
+    got = {(r.frame_id, r.i): (r.bg, r.corrected) for r in rows if r.site}
+    assert [(r.i, r.bg, r.corrected) for r in sorted(rows, key=lambda r: r.i) if not r.site] == [(0, 1.0, 0), (1, 2.0, 0), (2, 3.0, 0)]
     bg = f[0].copy()
     for n in range(400):
-        bg = f[n].copy() if n == 0 else 0.5 * f[n] + 0.5 * bg
+        bg = f[n].copy() if n == 0 else alpha * f[n] + (1 - alpha) * bg
         for i in range(3):
-            assert abs(got[(n, i)][0] - bg[i]) < 1e-9 and got[(n, i)][1] == int(np.clip(f[n][i] - bg[i], 0, 80))
+            assert abs(got[(n, i)][0] - bg[i]) < 1e-9 and abs(got[(n, i)][1] - np.clip(f[n][i] - bg[i], 0, 80)) < 1 + 1e-9
+
+
+def test_moving_medians_over_blocks(spark):
+    f = RNG.integers(0, 20, size=(50, 5)).astype(float)
+    df = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(f)], "site string, frame_id long, px array<double>").repartition(3)
+    got = {(r.frame_id, r.i): (r.bg, r.diff) for r in X.pixel_values(X.sliding_median_background(df, 2, block=7, chunk=2), ["frame_id"], ["bg", "diff"]).collect()}
+    assert got == {(n, i): (np.median(f[n - 2:n + 3, i]), f[n, i] - np.median(f[n - 2:n + 3, i])) for n in range(2, 48) for i in range(5)}
+    prior = {(r.frame_id, r.i): (r.bg, r.diff) for r in X.pixel_values(X.prior_median_background(df, 6, block=7, chunk=2), ["frame_id"], ["bg", "diff"]).collect()}
+    for n in range(50):
+        for i in range(5):
+            m = np.median(f[n - 5:n + 1, i]) if n >= 5 else None
+            assert prior[(n, i)] == (m, int(np.clip(f[n, i] - (m or 0), 0, 255)))
 
 
 @pytest.mark.parametrize("n", [3, 7, 11, 50])

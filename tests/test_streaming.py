@@ -79,8 +79,7 @@ def test_background_state_is_kept_between_batches(spark, tmp_path):
     timed = df.withColumn("ts", F.timestamp_seconds(F.col("frame_id") * 60 + 1_700_000_000)).withColumn("id", F.col("frame_id"))
     out = drain(spark, B.stream_background(feed_shuffled(spark, timed, str(tmp_path / "in")), ["site"], "frame_id", 0.25, 150.0, ts="ts"), tmp_path, "out")
     got = {(r.frame_id, i): v for r in out.collect() for i, v in enumerate(r.corrected)}
-    # small blocks: the batch side warms up every block anew
-    want = {(r.frame_id, r.i): r.corrected for r in X.ema_background(df, 0.25, 150.0, chunk=4, block=150).collect()}
+    want = {(r.frame_id, r.i): r.corrected for r in X.pixel_values(X.ema_background(df, 0.25, 150.0, chunk=4), ["frame_id"], ["corrected"]).collect()}
     assert got == want
 
 

@@ -35,7 +35,8 @@ w AS (SELECT site, i, frame_id, n, v, v AS bg FROM o WHERE n = 1
   UNION ALL SELECT o.site, o.i, o.frame_id, o.n, o.v, 0.25::DOUBLE * o.v + 0.75::DOUBLE * w.bg FROM w JOIN o ON o.site = w.site AND o.i = w.i AND o.n = w.n + 1)
 SELECT site, frame_id, i, round(bg, 6) AS bg, CAST(floor(least(greatest(v - bg, 0), 100)) AS BIGINT) AS corrected FROM w""")
 def ema_background(t: Tables) -> DataFrame:
-    return X.ema_background(frames(t), 0.25, 100.0, chunk=48).withColumn("bg", F.round("bg", 6))
+    found = X.ema_background(frames(t), 0.25, 100.0, chunk=48)
+    return X.pixel_values(found, ["site", "frame_id"], ["bg", "corrected"]).withColumn("bg", F.round("bg", 6))
 
 
 @query("F2_median_background", f"WITH {PX} SELECT site, i, CAST(floor(median(v)) AS INT) AS bg FROM p GROUP BY site, i")
@@ -46,7 +47,7 @@ def median_background(t: Tables) -> DataFrame:
 @query("F3_sliding_median_background", f"""WITH {PX}, m AS (SELECT *, median(v) OVER w AS bg, COUNT(*) OVER w AS k FROM p WINDOW w AS (PARTITION BY site, i ORDER BY frame_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
 SELECT site, frame_id, i, bg, v - bg AS diff FROM m WHERE k = 5""")
 def sliding_median_background(t: Tables) -> DataFrame:
-    return X.sliding_median_background(frames(t), 2, block=64)
+    return X.pixel_values(X.sliding_median_background(frames(t), 2, block=64), ["site", "frame_id"], ["bg", "diff"])
 
 
 @query("F4_mean_background", f"WITH {PX} SELECT site, i, CAST(floor(AVG(v)) AS INT) AS bg FROM p GROUP BY site, i")
@@ -57,7 +58,7 @@ def mean_background(t: Tables) -> DataFrame:
 @query("F5_prior_median_background", f"""WITH {PX}, m AS (SELECT *, median(v) OVER w AS m, COUNT(*) OVER w AS k FROM p WINDOW w AS (PARTITION BY site, i ORDER BY frame_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
 SELECT site, frame_id, i, CASE WHEN k = 10 THEN m END AS bg, CAST(floor(least(greatest(v - CASE WHEN k = 10 THEN m ELSE 0 END, 0), 255)) AS INT) AS diff FROM m""")
 def prior_median_background(t: Tables) -> DataFrame:
-    return X.prior_median_background(frames(t), 10, block=64)
+    return X.pixel_values(X.prior_median_background(frames(t), 10, block=64), ["site", "frame_id"], ["bg", "diff"])
 
 
 BG = f"""{PX}, b AS (SELECT site, i, floor(AVG(v)) AS bg FROM p GROUP BY site, i)"""
