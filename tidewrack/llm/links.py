@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.common import discard, durable
 
-#: Other nodes of a key that is compared at once, nodes of a block where the rest of a key is compared block by block, low bits of a key that number its slot.
-PIVOTS, BLOCK, SLOT_BITS = 4, 512, 10
+#: Other nodes of a key that is compared at once, turns in which a node meets one pivot, nodes of a block where the rest of a key is compared block by block, low bits of a key that number its slot.
+PIVOTS, TURNS, BLOCK, SLOT_BITS = 4, 6, 512, 10
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def link_nodes(nodes: DataFrame, keys: DataFrame, contents: Callable[[DataFrame]
     whose key a pair shares. ``contents`` gives (node, content) of a table of nodes, ``confirm`` decides on two contents.
 
     A key's nodes are never written as all pairs. A node meets one pivot a turn: of the nodes that are central in its keys, the
-    one that shares most keys with others; then, twice, a pivot of another group in a key whose nodes are in several. Keys
+    one that shares most keys with others; in the further turns a pivot of another group in a key whose nodes are in several. Keys
     of ``PIVOTS`` + 1 nodes at most are compared at once. Larger keys whose nodes then still differ are compared in pairs of
     blocks, and only nodes of different groups within the radius leave a block, and only from the first key they share. So the
     links found make the same groups as all links would.
@@ -90,10 +90,12 @@ def link_nodes(nodes: DataFrame, keys: DataFrame, contents: Callable[[DataFrame]
     first = _one_pivot(members.select("key", "node").join(tops, "key").where("pivot <> node"), F.max)
     links = content = groups = None
     rest = members
-    for turn in range(3):
+    for turn in range(TURNS):
         if turn:
             done, rest = rest, durable(_split(rest.where(f"n > {2 if turn == 1 else PIVOTS + 1}"), groups))
             discard(done)
+            if rest.isEmpty():
+                break
             large = rest.where(f"n > {PIVOTS + 1}")
             order = F.xxhash64(F.lit(turn), "node")
             pivots = large.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("node").alias("pivot"), "root")).alias("top"))
