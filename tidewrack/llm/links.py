@@ -92,7 +92,8 @@ def link_nodes(nodes: DataFrame, keys: DataFrame, contents: Callable[[DataFrame]
     rest = members
     for turn in range(TURNS):
         if turn:
-            done, rest = rest, durable(_split(rest.where(f"n > {2 if turn == 1 else PIVOTS + 1}"), groups))
+            # a key of two may not have met yet: its node met the pivot of another key
+            done, rest = rest, durable(_split(rest if turn == 1 else rest.where(f"n > {PIVOTS + 1}"), groups))
             discard(done)
             if rest.isEmpty():
                 break
