@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidewrack.llm.common import discard, durable
 
 #: Other nodes of a key that is compared at once, turns in which a node meets one pivot, nodes of a block where the rest of a key is compared block by block, low bits of a key that number its slot.
-PIVOTS, TURNS, BLOCK, SLOT_BITS = 4, 6, 512, 10
+PIVOTS, TURNS, BLOCK, SLOT_BITS = 4, 4, 512, 10
 
 
 def components(links: DataFrame) -> DataFrame:
