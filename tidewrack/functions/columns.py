@@ -220,8 +220,12 @@ def limit_status(value: str | Column, limit: str | Column) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Fixed-point text; exact halves of a binary double round up, as in the browser."""
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    """Fixed-point text; halves of ``value * 10^digits``, taken in doubles, round up."""
+    unit = 10.0**digits
+    steps = value.cast("double") * unit + 0.5
+    # from 2^53 on a double is whole, and a long would not hold it
+    rounded = F.when(F.abs(steps) < 2.0**53, F.floor(steps) / unit).otherwise(value.cast("double"))
+    return F.format_string(f"%.{digits}f", rounded)
 
 
 def age_bucket(seconds: str | Column) -> Column:
