@@ -221,7 +221,10 @@ def to_labelchecker_crops(t: Tables) -> DataFrame:
 WITH n AS (SELECT p_partkey, p_partkey + 250 AS n FROM part WHERE p_partkey % 9 = 0)
 SELECT p_partkey, 'img_' || lpad(CAST(n AS STRING), CAST((SELECT MAX(length(CAST(n AS STRING))) FROM n) AS INT), '0') || '.png' AS new_name FROM n""")
 def renumber(t: Tables) -> DataFrame:
-    return C.renumber(t.v_tile_name, "name", 250).select("p_partkey", "new_name")
+    # the view cuts numbers to six digits: longer keys are put back in full
+    key = F.col("p_partkey").cast("string")
+    full = F.concat(F.lit("img_"), F.lpad(key, F.greatest(F.length(key), F.lit(6)), F.lit("0")), F.substring("name", 11, 100))
+    return C.renumber(t.v_tile_name.withColumn("name", full), "name", 250).select("p_partkey", "new_name")
 
 
 @query("P19_rename_label", "SELECT o_orderkey, CASE WHEN pred_label = '3-MEDIUM' THEN 'medusa' ELSE pred_label END AS pred_label FROM v_pred_class")
