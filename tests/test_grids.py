@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewrack.operators import grids as G
-from tidewrack.operators.components import label_cells, label_runs, merge_runs
-from tidewrack.operators.joins import box_overlap
+from tidewrack.operators.components import label_cells, label_runs, merge_runs, region_stats
+from tidewrack.operators.joins import box_overlap, tile_mask_overlap
 from tidewrack.sources.files import annotation_runs, shape_runs
 
 
@@ -57,6 +57,55 @@ def test_merge_runs_equals_pixel_union(spark):
     assert set(pixels) == {(y, x) for _, y, a, b in rows for x in range(a, b)}
 
 
+@pytest.mark.parametrize("band,tile", [(64, 4096), (4, 7)])
+def test_rectangles_of_a_union_are_few_disjoint_and_whole(spark, band, tile):
+    rnd = random.Random(5)
+    rows = [(k, y, x, y + rnd.randint(0, 30), x + rnd.randint(0, 30)) for k in (1, None, 2) for y, x in ((rnd.randint(-20, 40), rnd.randint(-20, 40)) for _ in range(15))]
+    boxes = spark.createDataFrame(rows, "k long, y0 long, x0 long, y1 long, x1 long")
+    slabs = G.rect_slabs(boxes, ["k"], band=band, tile=tile).collect()
+    got = [(r.k, y, x) for r in slabs for y in range(r.y0, r.y1) for x in range(r.x0, r.x1)]
+    want = {(k, y, x) for k, y0, x0, y1, x1 in rows for y in range(y0, y1) for x in range(x0, x1)}
+    assert len(got) == len(set(got)) and set(got) == want
+    one = spark.createDataFrame([(1, 0, 0, 60, 50)] * 3, "k long, y0 long, x0 long, y1 long, x1 long")
+    assert G.rect_slabs(one, ["k"]).count() == 1
+
+
+def test_crowded_group_is_condensed_batch_by_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        boxes = spark.range(2000).selectExpr("id % 2 k", "id % 40 y0", "(id * 7) % 40 x0", "id % 40 + 3 y1", "(id * 7) % 40 + 3 x1")
+        want = {(r.k, y, x) for r in boxes.collect() for y in range(r.y0, r.y1) for x in range(r.x0, r.x1)}
+        got = [(r.k, y, x) for r in G.rect_slabs(boxes, ["k"]).collect() for y in range(r.y0, r.y1) for x in range(r.x0, r.x1)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("conn", [4, 8])
+@pytest.mark.parametrize("band", [64, 4, 1])
+def test_region_stats_equal_labelled_cells(spark, conn, band):
+    rnd = random.Random(3)
+    cells = [(f, y, x) for f in range(4) for y in range(20) for x in range(20) if rnd.random() < 0.5]
+    runs = spark.createDataFrame([(f, y, x, x + 1) for f, y, x in cells], "f long, y long, x0 long, x1 long")
+    want = label_runs(runs, ["f"], conn).groupBy("f", "region").agg(
+        F.count(F.lit(1)).alias("area"), F.min("y").alias("y0"), F.min("x0").alias("x0"), (F.max("y") + 1).alias("y1"), F.max("x1").alias("x1"))
+    got = region_stats(runs, ["f"], conn, band).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tiles_and_mask_meet_once(spark):
+    rnd = random.Random(8)
+    box = lambda n: [(k, i, y, x, y + rnd.randint(1, 25), x + rnd.randint(1, 25)) for k in (1, 2) for i, (y, x) in enumerate((rnd.randint(-5, 40), rnd.randint(-5, 40)) for _ in range(n))]
+    tiles, boxes = box(20), box(6)
+    s = "k long, id long, y0 int, x0 int, y1 int, x1 int"
+    pixels = {(b[0], y, x) for b in boxes if b[0] == 1 for y in range(b[2], b[4]) for x in range(b[3], b[5])}
+    want = {(t[0], t[1]): sum((t[0], y, x) in pixels for y in range(t[2], t[4]) for x in range(t[3], t[5])) for t in tiles}
+    only = spark.createDataFrame([b for b in boxes if b[0] == 1], s)
+    for mask in (G.rect_slabs(only, ["k"]), G.rect_runs(only, ["k"])):
+        out = tile_mask_overlap(spark.createDataFrame(tiles, s), mask, "k", "id", band=10).collect()
+        assert {(r.k, r.id): r.mask_px for r in out} == want and len(out) == 40
+
+
 def frame(spark):
     return spark.createDataFrame([(1,)], "frame_id long")
 

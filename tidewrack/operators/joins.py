@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.operators.components import as_slabs, cut_to_grid
 from tidewrack.operators.slices import block, micros, place, running, us
 
 
@@ -110,24 +111,18 @@ def crop_matches(pred: DataFrame, manual: DataFrame, image: str = "image_id", pr
 def tile_mask_overlap(tiles: DataFrame, runs: DataFrame, image: str, tile_id: str, band: int = 256, min_fraction: float | None = None) -> DataFrame:
     """Mask pixels inside each tile, their share of the tile, and its label.
 
-    Runs (y, x0, x1; disjoint per row) meet tiles through row bands and column
-    bands. A tile is an observation if it has any mask pixel, or a share of at
-    least ``min_fraction``.
+    ``runs`` is a mask of runs (y, x0, x1) or rectangles (y0, y1, x0, x1), disjoint;
+    they meet tiles in the cells of a grid of ``band`` px. A tile is an observation
+    if it has any mask pixel, or a share of at least ``min_fraction``.
     """
-    t = tiles.select(image, tile_id, *[F.col(c).cast("long").alias(f"t_{c}") for c in ("y0", "x0", "y1", "x1")])
-    t = t.withColumn("_by", F.explode(F.sequence(block(F.col("t_y0"), band), block(F.col("t_y1") - 1, band)))).withColumn(
-        "_bx", F.explode(F.sequence(block(F.col("t_x0"), band), block(F.col("t_x1") - 1, band))))
-    r = runs.withColumn("_bx", F.explode(F.sequence(block(F.col("x0"), band), block(F.col("x1") - 1, band)))).select(
-        image, "y", block(F.col("y"), band).alias("_by"), "_bx",
-        F.greatest(F.col("x0"), F.col("_bx") * band).alias("x0"), F.least(F.col("x1"), (F.col("_bx") + 1) * band).alias("x1"))
-    px = F.least("x1", "t_x1") - F.greatest("x0", "t_x0")
-    hits = (
-        t.join(r, [image, "_by", "_bx"])
-        .filter((F.col("y") >= F.col("t_y0")) & (F.col("y") < F.col("t_y1")) & (px > 0))
-        .groupBy(image, tile_id).agg(F.sum(px).alias("mask_px"))
-    )
+    span = lambda a, b: F.explode_outer(F.sequence(block(F.col(a).cast("long"), band), block(F.col(b).cast("long") - 1, band)))
+    t = tiles.withColumn("_by", span("y0", "y1")).withColumn("_bx", span("x0", "x1"))
+    sides = ("y0", "x0", "y1", "x1")
+    r = cut_to_grid(as_slabs(runs, [image]), band, band, "_by", "_bx").select(image, "_by", "_bx", *[F.col(c).alias(f"_m_{c}") for c in sides])
+    side = lambda lo, hi: F.greatest(F.lit(0).cast("long"), F.least(hi, f"_m_{hi}") - F.greatest(lo, f"_m_{lo}"))
+    px = F.coalesce(F.sum(F.when(F.col("_m_y0").isNotNull(), side("y0", "y1") * side("x0", "x1"))), F.lit(0).cast("long"))
+    out = t.join(r, [image, "_by", "_bx"], "left").groupBy(*tiles.columns).agg(px.alias("mask_px"))
     size = (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
-    out = tiles.join(hits, [image, tile_id], "left").withColumn("mask_px", F.coalesce("mask_px", F.lit(0).cast("long")))
     out = out.withColumn("mask_fraction", F.col("mask_px") / size)
     yes = F.col("mask_px") > 0 if min_fraction is None else F.col("mask_fraction") >= min_fraction
     return out.withColumn("label", F.when(yes, "obs").otherwise("no_obs"))
