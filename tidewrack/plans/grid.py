@@ -270,7 +270,7 @@ CANVAS = dict(height=140, width=140)
 
 
 def _runs(t: Tables) -> DataFrame:
-    return G.rect_runs(t.v_manual, ["image_id"])
+    return G.rect_slabs(t.v_manual, ["image_id"])
 
 
 def _quads(t: Tables, side: int = 35) -> DataFrame:
@@ -342,9 +342,7 @@ def blob_metrics(t: Tables) -> DataFrame:
 @query("G16_largest_blob", f"""WITH RECURSIVE {PIXELS}, {TOUCH}
 SELECT image_id, MAX(px) AS area, COUNT(*) AS blobs FROM blob WHERE px >= 150 GROUP BY image_id""")
 def largest_blob(t: Tables) -> DataFrame:
-    best = G.largest_blob(_runs(t), "image_id", min_size=150).select("image_id", "area")
-    count = G.drop_small(_runs(t), "image_id", 150).groupBy("image_id").agg(F.count(F.lit(1)).alias("blobs"))
-    return best.join(count, "image_id")
+    return G.largest_blob(_runs(t), "image_id", min_size=150).select("image_id", "area", "blobs")
 
 
 @query("G17_mark_selected_tiles", """
