@@ -150,7 +150,7 @@ query("E9_multi_granularity_eval_full", LEVELS)(multi_granularity_eval)
 def _levels(t: Tables, manual: DataFrame) -> DataFrame:
     """Tiles and patches labelled by the boxes of ``manual``."""
     boxes = manual.select(F.floor(F.col("image_id") / 200).alias("frame_id"), "y0", "x0", "y1", "x1")
-    runs = G.rect_runs(boxes, ["frame_id"])
+    runs = G.rect_slabs(boxes, ["frame_id"])
     box = lambda d, y, x, side: d.withColumns({"y0": y.cast("long"), "x0": x.cast("long"), "y1": (y + side).cast("long"), "x1": (x + side).cast("long")})
     at = lambda g: (F.col(g) * 2 + F.col("offset_idx")) * 8
     tiles = box(t.v_tile_score.select("frame_id", "grid_row", "grid_col", "offset_idx", "score"), at("grid_row"), at("grid_col"), 16)
