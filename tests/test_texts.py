@@ -25,3 +25,11 @@ def test_fixed_texts(spark):
     df = spark.createDataFrame([(649.435,), (0.25,), (1e300,), (None,)], "v double")
     got = [r.t for r in df.select(C.fixed(df.v, 2).alias("t")).collect()]
     assert got[:2] == ["649.43", "0.25"] and got[2].startswith("1000000") and len(got[2]) == 304
+
+
+def test_a_sensor_line_is_split_once(spark):
+    lines = spark.createDataFrame([("p:1,h:2.5, h : 3,P:x,P:7,noise,b:,l:1:2,t:1e2",), ("",), (None,)], "line string").withColumn("f", C.sensor_fields("line"))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    want = dict.fromkeys(C.SENSOR_KEYS)
+    assert [r.f for r in lines.collect()] == [want | {"p": 1.0, "h": 3.0, "P": 7.0, "t": 100.0}, want, want]

@@ -43,8 +43,10 @@ def sensor_fields(line: str | Column) -> Column:
     )
     good = F.filter(pairs, lambda e: e["v"].isNotNull())
     wanted = F.array(*[F.lit(k) for k in SENSOR_KEYS])
-    last = lambda k: F.element_at(F.filter(good, lambda e: e["k"] == k), -1)["v"]
-    return F.map_from_arrays(wanted, F.transform(wanted, lambda k: F.when(F.exists(good, lambda e: e["k"] == k), last(k))))
+    none = F.lit(None).cast("double")
+    values = lambda found: F.transform(wanted, lambda k: F.aggregate(found, none, lambda v, e: F.when(e["k"] == k, e["v"]).otherwise(v)))
+    # a list of one: the line is split once, not once per key
+    return F.map_from_arrays(wanted, F.element_at(F.transform(F.array(good), values), 1))
 
 
 def parse_sensor_line(df: DataFrame, line: str = "line", required: Sequence[str] = tuple(SENSOR_KEYS)) -> DataFrame:
