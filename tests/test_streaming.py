@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewrack.operators import pixels as X
@@ -165,3 +166,79 @@ def test_frame_with_missing_tiles_is_released_at_its_deadline(spark, tmp_path):
     whole = df.filter(f"NOT ({held})").unionByName(later)
     assert crops(out) == crops(detect(whole, **SPEC))
     assert [(r.frame_id, r.late_tiles) for r in missed.groupBy("frame_id").agg(F.sum("late_tiles").alias("late_tiles")).collect()] == [(1, 3)]
+
+
+class HeldState:
+    """State of one key in memory: a value, or a map."""
+
+    def __init__(self):
+        self.value, self.map = None, {}
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def keys(self):
+        return iter(list(self.map))
+
+    def getValue(self, key):
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+
+class HeldTimers:
+    def __init__(self):
+        self.timers, self.mark = [], 0
+
+    def getMapState(self, *_):
+        return HeldState()
+
+    getValueState = getMapState
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def test_waiting_rows_are_never_held_together(monkeypatch):
+    """A key's rows are stored as they come and taken piece by piece, with the events of taking them at once."""
+    monkeypatch.setattr(B, "GATHERED", 500)
+    monkeypatch.setattr(B, "TAKEN", 300)
+    rnd, n = random.Random(5), 6000
+    rows = [(1_700_000_000_000_000 + i * 60_000_000, i, float(rnd.choice([1, 1, 50]))) for i in range(n)]
+    table = pd.DataFrame(rows, columns=["t_us", "id", "age_in"])
+    job = B.StageAlerts(["k"], "id", "bigint", 20, 2, 600, None)
+    whole = job.take(table, None, int(table["t_us"].iloc[-1]))[0]
+
+    timers, taken, packed = HeldTimers(), [], []
+    job.init(timers)
+    take, pack = job.take, job._pack
+    monkeypatch.setattr(job, "take", lambda new, *rest: taken.append(len(new)) or take(new, *rest))
+    monkeypatch.setattr(job, "_pack", lambda pdf, part: packed.append(len(pdf)) or pack(pdf, part))
+    mixed = table.sample(frac=1, random_state=1)
+    out = [*job.handleInputRows(("a",), iter([mixed.iloc[i:i + 100] for i in range(0, n, 100)]), timers)]
+    for part in (0.3, 0.301, 2.0):  # the second watermark lies within a packet
+        timers.mark = int(rows[0][0] + part * n * 60_000_000) // 1000
+        out += job.handleExpiredTimer(("a",), timers, None)
+    got = pd.concat(out)
+    assert list(zip(got["id"], got["event"])) == list(zip(whole["id"], whole["event"])) and len(got) > 100
+    assert sum(taken) == n and max(taken) < 500 and max(packed) < 700
+    assert not job.packets.map and not timers.timers

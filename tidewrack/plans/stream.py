@@ -10,7 +10,7 @@ from tidewrack.plans.grid import CUT, MAP, UP, CAND, NMS_SQL
 from tidewrack.plans.pixel import PX, frames
 from tidewrack.plans.registry import _SQL, query, with_views
 from tidewrack.plans.standins import Tables
-from tidewrack.session import scratch_root
+from tidewrack.session import durable, scratch_root
 from tidewrack.sources import files as S
 from tidewrack.streaming import jobs as B
 
@@ -28,18 +28,29 @@ def _stream(t: Tables, df: DataFrame) -> DataFrame:
     return S.stream_files(t.spark, path, df.schema)
 
 
+#: Rows of a file of a replayed table.
+FILE_ROWS = 250_000
+
+
 def _shuffled(t: Tables, df: DataFrame, time: str, tie: str, minutes: int = 8, parts: int = 4) -> DataFrame:
-    """A table replayed file by file, rows up to ``minutes`` out of order, and behind them one row so late that the watermark passes all."""
+    """A table replayed part by part, rows up to ``minutes`` out of order, and behind them one row so late that the watermark passes all.
+
+    Every part is dealt to the same number of files, so that a batch, which takes that many, reads one part.
+    """
     moved = us(time) + F.pmod(F.xxhash64(tie), F.lit(minutes * 60_000_000)) - minutes * 30_000_000
-    rows = df.withColumn("_at", moved)
+    rows = durable(df.withColumn("_at", moved))
     low, high = rows.agg(F.min("_at"), F.max("_at")).first()
+    edges = [low + (high + 1 - low) * k // parts for k in range(parts + 1)]
+    within = [(F.col("_at") >= a) & (F.col("_at") < b) for a, b in zip(edges, edges[1:])]
+    counts = rows.agg(*[F.count_if(w) for w in within]).first()
+    files = max(1, min(n for n in counts if n) // FILE_ROWS)
     path = _dir(t, "source")
-    for k in range(parts):
-        a, b = (low + (high + 1 - low) * (k + d) // parts for d in (0, 1))
-        rows.where((F.col("_at") >= a) & (F.col("_at") < b)).drop("_at").orderBy(F.xxhash64(tie)).coalesce(1).write.mode("append").parquet(path)
-    last = df.orderBy(F.col(time).desc(), tie).limit(1)
+    for part, n in zip(within, counts):
+        if n:
+            rows.where(part).drop("_at").repartition(files, F.xxhash64(tie)).sortWithinPartitions(F.xxhash64(tie)).write.mode("append").parquet(path)
+    last = rows.drop("_at").orderBy(F.col(time).desc(), tie).limit(1)
     last.withColumn(time, F.col(time) + F.expr("INTERVAL 2 DAYS")).coalesce(1).write.mode("append").parquet(path)
-    return S.stream_files(t.spark, path, df.schema, max_files=1)
+    return S.stream_files(t.spark, path, df.schema, max_files=files)
 
 
 def _run(t: Tables, stream: DataFrame) -> DataFrame:

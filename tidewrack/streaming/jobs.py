@@ -69,13 +69,20 @@ def stream_dedup(crops: DataFrame, key: Sequence[str], delay: str, ts: str = "ts
 # ---- keyed state ------------------------------------------------------------------------------------------------
 
 
+#: Time span of a packet of waiting rows, rows gathered before they are dealt to packets, and before they are taken.
+PACKET_US, GATHERED, TAKEN = 3_600_000_000, 100_000, 20_000
+
+
 class EventOrder(StatefulProcessor):
     """Holds a key's rows until the watermark has passed them, and hands them on in event order.
 
     A row arrives at most ``delay`` late, so a row at or below the watermark has
-    nothing before it still to come. A timer at the earliest waiting row wakes the key. Subclasses give
+    nothing before it still to come. A timer at the earliest waiting row wakes the key. Rows wait in packets of
+    ``PACKET_US`` of event time, a column being one array, and are taken a few packets at a time: neither the rows of a key
+    in a batch nor those that wait are ever held together. Subclasses give
     ``waiting`` (columns of a waiting row, t_us first, then the tie), ``kept`` (schema of what they remember) and ``take``,
-    which turns sorted arrays and what was kept into output columns and what is kept next.
+    which turns sorted arrays and what was kept into output columns and what is kept next; it is called once or more for
+    the rows of a timer, perhaps without rows. Rows without time are dropped.
     """
 
     waiting: str
@@ -83,7 +90,9 @@ class EventOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("waiting", self.waiting)
+        packed = ", ".join(f"{n} array<{kind}>" for n, kind in (c.split(" ", 1) for c in self.waiting.split(", ")))
+        self.packets = handle.getMapState("packets", "span long, part long", packed)
+        self.parts = handle.getValueState("parts", "n long")
         self.memory = handle.getValueState("kept", self.kept)
 
     @property
@@ -103,27 +112,58 @@ class EventOrder(StatefulProcessor):
     def _times(self, first_us: int | None, kept) -> list[int]:
         return [x for x in (first_us, self.due(kept)) if x is not None]
 
+    def _pack(self, pdf: pd.DataFrame, part: int) -> None:
+        """Store rows as part ``part`` of their packets."""
+        span = pdf["t_us"].to_numpy(dtype=np.int64) // PACKET_US
+        order = np.argsort(span, kind="stable")
+        span, values = span[order], [_plain(pdf[c].iloc[order]) for c in self.columns]
+        starts = np.flatnonzero(np.diff(span, prepend=span[0] - 1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(span)]):
+            self.packets.updateValue((int(span[a]), part), tuple(v[a:b] for v in values))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        self.rows.appendList(_records(pdf[self.columns]))
-        earliest = min([int(pdf["t_us"].min()), *[t * 1000 - 1000 for t in self.handle.listTimers()]])
-        self._wake([earliest], timerValues.getCurrentWatermarkInMs())
+        part = self.parts.get()[0] if self.parts.exists() else 0
+        earliest = [t * 1000 - 1000 for t in self.handle.listTimers()]
+        for pdf in gathered((b.loc[b["t_us"].notna(), self.columns] for b in rows), GATHERED):
+            earliest.append(int(pdf["t_us"].min()))
+            self._pack(pdf, part)
+            part += 1
+        self.parts.update((part,))
+        self._wake([min(earliest)] if earliest else [], timerValues.getCurrentWatermarkInMs())
         yield self.frame(key, {})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        pdf = pd.DataFrame(list(self.rows.get()) if self.rows.exists() else [], columns=self.columns).sort_values(self.columns[:2], kind="stable", ignore_index=True)
-        ready = (pdf["t_us"] <= mark).to_numpy(dtype=bool)
         kept = self.memory.get() if self.memory.exists() else None
-        out, kept = self.take(pdf[ready].reset_index(drop=True), kept, mark)
+        packets: dict[int, list[int]] = {}
+        for span, part in self.packets.keys():
+            packets.setdefault(span, []).append(part)
+        held, n, first = [], 0, None
+        for span in sorted(packets):
+            if span * PACKET_US > mark:
+                first = first if first is not None else span * PACKET_US
+                break
+            places = [(span, part) for part in sorted(packets[span])]
+            values = [self.packets.getValue(place) for place in places]
+            pdf = pd.DataFrame({c: [x for v in values for x in v[i]] for i, c in enumerate(self.columns)}).sort_values(self.columns[:2], kind="stable", ignore_index=True)
+            ready = (pdf["t_us"] <= mark).to_numpy(dtype=bool)
+            for place in places:
+                self.packets.removeKey(place)
+            if not ready.all():
+                rest = pdf[~ready]
+                first = int(rest["t_us"].iloc[0])
+                self._pack(rest, places[0][1])
+            held.append(pdf[ready])
+            n += len(held[-1])
+            if n >= TAKEN:
+                now = pd.concat(held, ignore_index=True)
+                out, kept = self.take(now, kept, int(now["t_us"].iloc[-1]))
+                yield self.frame(key, out)
+                held, n = [], 0
+        out, kept = self.take(pd.concat(held, ignore_index=True) if held else pd.DataFrame({c: [] for c in self.columns}), kept, mark)
         if kept is not None:
             self.memory.update(kept)
-        rest = pdf[~ready]
-        if len(rest):
-            self.rows.put(_records(rest))
-        else:
-            self.rows.clear()
-        self._wake(self._times(int(rest["t_us"].iloc[0]) if len(rest) else None, kept), timerValues.getCurrentWatermarkInMs())
+        self._wake(self._times(first, kept), timerValues.getCurrentWatermarkInMs())
         yield self.frame(key, out)
 
     def frame(self, key, out: dict) -> pd.DataFrame:
@@ -137,10 +177,28 @@ class EventOrder(StatefulProcessor):
         pass
 
 
+def _plain(column: pd.Series) -> list:
+    """Values as state takes them: plain ones, lists, and None."""
+    known = column.astype(object).where(column.notna(), None)
+    return [v.tolist() if hasattr(v, "tolist") else v for v in known]
+
+
 def _records(pdf: pd.DataFrame) -> list[tuple]:
-    """Rows as state takes them: plain values, lists, and None."""
-    known = pdf.astype(object).where(pdf.notna(), None)
-    return list(zip(*([v.tolist() if hasattr(v, "tolist") else v for v in known[c]] for c in known.columns)))
+    return list(zip(*(_plain(pdf[c]) for c in pdf.columns)))
+
+
+def gathered(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """The rows of ``frames`` in pieces of ``least`` and a little more; the last may be smaller."""
+    held, n = [], 0
+    for pdf in frames:
+        if len(pdf):
+            held.append(pdf)
+            n += len(pdf)
+        if n >= least:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def spaced(times: np.ndarray, gap: int, last: int | None) -> np.ndarray:
