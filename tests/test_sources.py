@@ -84,3 +84,13 @@ def test_replace_partitions_leaves_other_dates_alone(spark, tmp_path):
     replace_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "v int, d string"), path, "d")
     replace_partitions(spark.createDataFrame([(3, "b")], "v int, d string"), path, "d")
     assert sorted((r.v, r.d) for r in spark.read.parquet(path).collect()) == [(1, "a"), (3, "b")]
+
+
+def test_annotation_documents_of_the_query_share_one_folder(spark, monkeypatch, tmp_path):
+    from tidewrack.plans import stream
+    from tidewrack.plans.standins import Tables
+
+    monkeypatch.setattr(stream, "_dir", lambda t, name: str(tmp_path / name))
+    images = {r.image_id for r in stream.read_labelme(Tables(spark, "/root/testdata/sf0.001")).collect()}
+    files = [p for p in (tmp_path / "annotations").rglob("*.txt")]
+    assert len(files) == len({i // 200 for i in images}) > 1 and all(p.parent == tmp_path / "annotations" for p in files)

@@ -186,9 +186,9 @@ def read_labelme(t: Tables) -> DataFrame:
     path = _dir(t, "annotations")
     point = lambda x, y: F.array(F.col(x).cast("double"), F.col(y).cast("double"))
     shape = F.struct(F.col("image_id").cast("string").alias("label"), F.lit("rectangle").alias("shape_type"), F.array(point("x0", "y0"), point("x1", "y1")).alias("points"))
-    # the reader takes one document per file: one per run of 200 images
+    # the reader takes one document per file: one per run of 200 images, in one folder, since a folder each would be listed one by one
     docs = t.v_manual.groupBy(F.floor(F.col("image_id") / 200).alias("d")).agg(F.collect_list(shape).alias("shapes"))
-    docs.repartition("d").select(F.to_json(F.struct("shapes")).alias("value"), "d").write.partitionBy("d").text(path)
+    docs.select(F.to_json(F.struct("shapes")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     shapes = S.read_labelme(t.spark, path)
     return shapes.groupBy(F.col("label").cast("long").alias("image_id")).agg(
         F.count(F.lit(1)).alias("shapes"), F.sum(F.col("points")[0][0]).cast("long").alias("x_sum"), F.sum(F.col("points")[1][1]).cast("long").alias("y_sum"))
