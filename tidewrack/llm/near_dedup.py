@@ -182,6 +182,8 @@ def node_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Dat
                 same = [int(s.sum(dtype=np.uint64).astype(np.int64)) == h1 and int(_mix(s ^ _MULTIPLY[-1]).sum(dtype=np.uint64).astype(np.int64)) == h2 for s, h1, h2 in zip(sets, part.column(1).to_pylist(), part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "content"]).filter(pa.array(same, pa.bool_()))
 
+    # stored first, so that its size is known and texts are not shuffled for a few nodes
+    wanted = durable(wanted.select("node", "doc_id", "h1", "h2"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = texts.join(wanted, "doc_id").select("node", "h1", "h2", "text").mapInArrow(run, "node long, content binary")
     return found.dropDuplicates(["node"])
