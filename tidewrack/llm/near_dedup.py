@@ -36,7 +36,7 @@ from tidewrack.llm.links import SLOT_BITS, link_nodes, relabelled
 
 WORDS, COMPONENTS, SKETCH, MISS = 5, 64, 256, 1e-5
 #: Words whose hashes a task keeps, and more components than a chunk has.
-KEPT_WORDS, LONGEST = 400_000, 32
+KEPT_WORDS, LONGEST = 100_000, 32
 _MULTIPLY = np.random.default_rng(20240501).integers(1 << 62, 1 << 63, SKETCH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD_HASH: dict[bytes, int] = {}
 
